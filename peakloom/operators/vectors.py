@@ -1,0 +1,31 @@
+"""Vector search: exact top-k within a bucket or over the library, two-stage search and evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def dot(a: Column, b: Column) -> Column:
+    """Inner product of two arrays, accumulated in double."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
+def ranked(rows: DataFrame, by: str, key: str, k: int, score: str = "score", rank: str = "rank") -> DataFrame:
+    """The k best rows of each group, ties to the smaller key, with their rank."""
+    order = Window.partitionBy(by).orderBy(F.desc(score), key)
+    return rows.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= k)
+
+
+def bucket_topk(asked: DataFrame, library: DataFrame, bucket: str, query_id: str, key: str, query: str, vector: str, k: int) -> DataFrame:
+    """Exact cosine top-k among the library rows that share the query's bucket; norms are computed once a row, before the join."""
+    left = asked.withColumn("query_norm", norm(F.col(query)))
+    right = library.withColumn("vector_norm", norm(F.col(vector)))
+    pairs = left.join(right, bucket).where(F.col(query_id) != F.col(key))
+    scale = F.col("query_norm") * F.col("vector_norm")
+    score = F.when(scale > 0, dot(F.col(query), F.col(vector)) / scale).otherwise(0.0)
+    return ranked(pairs.select(query_id, key, F.round(score, 6).alias("score")), query_id, key, k)
