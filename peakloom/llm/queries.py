@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from peakloom.llm import licenses, mixing, secret_scan, warc
+from peakloom.llm import decontaminate, licenses, mixing, secret_scan, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,28 @@ q AS (SELECT *, CAST(floor((rate - repeats) * size + {_draw("part")}) AS BIGINT)
 SELECT doc_id, size, source_size, target, repeats * size + part_words AS taken, repeats, part_words,
   CASE WHEN part_words > 0 THEN CAST(floor({_draw("start")} * (size - part_words + 1)) AS BIGINT) END AS part_start FROM q
 """
+
+
+@_query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest")
+
+
+def _plain(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}')"
+
+
+ORACLES["op4_decontamination"] = f"""
+WITH b AS (SELECT item_id, {_plain("text")} AS w FROM benchmark),
+i AS (SELECT item_id, w, least(len(w), 13) AS m FROM b WHERE len(w) > 0),
+g AS (SELECT DISTINCT item_id, m, array_to_string(list_slice(w, p + 1, p + m), ' ') AS g FROM (SELECT *, unnest(range(len(w) - m + 1)) AS p FROM i)),
+d AS (SELECT doc_id, {_plain("text")} AS w FROM documents),
+x AS (SELECT doc_id, p, m, array_to_string(list_slice(w, p + 1, p + m), ' ') AS g
+  FROM (SELECT doc_id, w, m, unnest(range(len(w) - m + 1)) AS p FROM d, (SELECT DISTINCT m FROM g) WHERE len(w) >= m)),
+o AS (SELECT doc_id, p, m, item_id FROM x JOIN g USING (g, m)),
+h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + m)) AS q FROM o) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS listed FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM o) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
