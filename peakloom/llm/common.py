@@ -125,6 +125,7 @@ class Rolling:
 
 
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_LOWERED = np.frombuffer(_TO_LOWER, np.uint8)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _WORD = Rolling(0x2545F4914F6CDD1D)
@@ -144,9 +145,10 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return _WORD.ranges(_BYTES[data], starts, ends)
 
 
-def text_hashes(text: bytes | None, lower: bool) -> np.ndarray:
+def text_hashes(text: bytes | pa.Buffer | None, lower: bool) -> np.ndarray:
     """The hashes of a text's words, in order."""
-    data = np.frombuffer((text.translate(_TO_LOWER) if lower else text) if text else b"", np.uint8)
+    data = np.frombuffer(text or b"", np.uint8)
+    data = _LOWERED[data] if lower else data
     return word_hashes(data, *word_ranges(data))
 
 
