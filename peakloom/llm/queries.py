@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakloom.llm import decontaminate, licenses, minhash, mixing, secret_scan, toxicity, warc
+from peakloom.llm import decontaminate, licenses, minhash, mixing, repeats, secret_scan, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +119,20 @@ r(doc_id, reached) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, l.b F
 c AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
 """
+
+
+@_query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+
+
+ORACLES["op10_substring_dedup"] = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
+x AS (SELECT doc_id, p, array_to_string(list_slice(w, p + 1, p + 50), ' ') AS g FROM (SELECT *, unnest(range(len(w) - 49)) AS p FROM d WHERE len(w) >= 50)),
+m AS (SELECT g, min(doc_id) AS low FROM x GROUP BY g HAVING min(doc_id) < max(doc_id)),
+h AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS p FROM x JOIN m USING (g) WHERE doc_id > low),
+k AS (SELECT doc_id, p, w[p + 1] AS word FROM (SELECT *, unnest(range(len(w))) AS p FROM d)),
+j AS (SELECT k.doc_id, k.p, word, h.p IS NOT NULL AS gone FROM k LEFT JOIN h ON k.doc_id = h.doc_id AND k.p = h.p),
+a AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM j GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)
+"""
