@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakloom.llm import decontaminate, licenses, minhash, mixing, repeats, secret_scan, toxicity, warc
+from peakloom.llm import decontaminate, lattice, licenses, minhash, mixing, repeats, secret_scan, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -136,3 +136,8 @@ j AS (SELECT k.doc_id, k.p, word, h.p IS NOT NULL AS gone FROM k LEFT JOIN h ON
 a AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM j GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)
 """
+
+
+@_query
+def op8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.scan(table(spark, sf_dir, "documents"))
