@@ -33,6 +33,14 @@ def plain_words(text: bytes | None) -> list[bytes]:
     return text.translate(_TO_PLAIN).split() if text else []
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """The name, with underscores put after it until no column of the rows has it (case apart)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_of(key: Column) -> Column:
     """crc32 of a key as text; null for a null key."""
     return F.crc32(key.cast("string").cast("binary"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import pieces, plain_words
+from peakloom.llm.common import fresh, pieces, plain_words
 
 WIDTH, SHARE, BLOCK_BYTES, SHARD_BYTES = 13, 20, 16 << 20, 4 << 20
 
@@ -149,7 +149,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: st
     return rows
 
 
-def judged(found: DataFrame, share: int = SHARE, at: str = "search_") -> dict:
+def judged(share: int = SHARE, at: str = "search_") -> dict:
     """Columns of the judgement on what annotate() has found."""
     n_words, n_hit = F.col(f"{at}.n_words"), F.size(f"{at}.hit").cast("long")
     return {
@@ -162,12 +162,13 @@ def judged(found: DataFrame, share: int = SHARE, at: str = "search_") -> dict:
 def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", *, width: int = WIDTH, share: int = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For each document: key, n_words, n_hit, n_items, items_sha256, contaminated, and the longest matches."""
     found = annotate(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), benchmark, "text", item, item_text, width=width, block_bytes=block_bytes)
-    columns = [c.alias(name) for name, c in judged(found, share).items()]
+    columns = [c.alias(name) for name, c in judged(share).items()]
     return found.select(F.col("key").alias(key), *columns, F.col("search_.longest").alias("longest"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", *, width: int = WIDTH, share: int = SHARE) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    found = annotate(docs, benchmark, text, item, item_text, width=width)
-    kept = found.where(~judged(found, share)["contaminated"])
+    name = fresh(docs, "search_")
+    found = annotate(docs, benchmark, text, item, item_text, width=width, into=name)
+    kept = found.where(~judged(share, name)["contaminated"])
     return kept.select(*[F.col(f"`{text}`").cast("string").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import by_batch, durable, mixed, runs, text_hashes
+from peakloom.llm.common import by_batch, durable, fresh, mixed, runs, text_hashes
 from peakloom.llm.graph import components
 
 SIZE, SIMILAR, COORDINATES, MATCH = 5, (80, 100), 64, 36
@@ -210,5 +210,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **limits) -> DataFrame:
     """One document of each component, the one with the smallest id, with its own columns; wordless documents all stay."""
-    gone = near_duplicates(docs, key, text, **limits).where("NOT kept").select(F.col(key).alias("gone_")).distinct()
-    return docs.join(gone, F.col(key) == F.col("gone_"), "left_anti")
+    name = fresh(docs, "gone_")
+    gone = near_duplicates(docs, key, text, **limits).where("NOT kept").select(F.col(key).alias(name)).distinct()
+    return docs.join(gone, F.col(key) == F.col(name), "left_anti")

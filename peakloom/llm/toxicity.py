@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import by_batch, crc_of, pieces
+from peakloom.llm.common import by_batch, crc_of, fresh, pieces
 
 SYMBOLS, ORDER, DISCOUNT, WINDOW, FIT_ROWS, FIT_SHARE, THRESHOLD = 64, 4, 0.75, 10, 20_000, 0.25, 0.7
 _BITS = 6
@@ -193,5 +193,6 @@ def scan(docs: DataFrame, model: Model, text: str = "text", into: str = "score")
 
 def clean(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", *, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score below the threshold, with their own columns."""
-    scored = scan(docs, train(docs, labels, key, text), text, "score_")
-    return scored.where(F.col("score_") < threshold).drop("score_")
+    name = fresh(docs, "score_")
+    scored = scan(docs, train(docs, labels, key, text), text, name)
+    return scored.where(F.col(name) < threshold).drop(name)
