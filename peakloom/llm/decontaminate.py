@@ -78,7 +78,7 @@ class Windows:
 
 def matches(windows: Windows, window: np.ndarray, start: np.ndarray) -> list[tuple[str, int, int, int]]:
     """(item, start in the document, start in the item, words) of the longest verbatim matches that occurrences make up."""
-    at = sorted((item, p - i, p, i, int(windows.sizes[w])) for w, p in zip(window.tolist(), start.tolist(), strict=True) for item, i in windows.sources[w])
+    at = sorted({(item, p - i, p, i, int(windows.sizes[w])) for w, p in zip(window.tolist(), start.tolist(), strict=True) for item, i in windows.sources[w]})
     out: list[list] = []
     for item, line, p, i, size in at:
         if out and out[-1][:2] == [item, line] and p == out[-1][4] + 1:
