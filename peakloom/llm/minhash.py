@@ -33,7 +33,7 @@ from peakloom.llm.common import by_batch, durable, fresh, mixed, runs, text_hash
 from peakloom.llm.graph import components
 
 SIZE, SIMILAR, COORDINATES, MATCH = 5, (80, 100), 64, 36
-MOST_DOCS, MOST_SHINGLES, HUB_ROUNDS = 4000, 4_000_000, 3
+MOST_DOCS, MOST_SHINGLES, HUB_ROUNDS = 20_000, 4_000_000, 3
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
