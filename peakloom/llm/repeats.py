@@ -93,16 +93,17 @@ def _windows(rows: DataFrame, length: int) -> DataFrame:
 def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """(key, begin, end): ranges of windows of (key, text) rows that start in a document with a smaller key too."""
     found = durable(_anchored(docs, length, seed), "anchors")
-    shared = found.groupBy("anchor").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("anchor", "low")
-    shared = durable(found.join(shared, "anchor"), "shared")
-    firsts = shared.groupBy("anchor", "reach").agg(F.min("key").alias("first"))
+    # What is aggregated is written before it is joined: a join of plain exchanges can split a hot anchor, one above an aggregate can't.
+    several = found.groupBy("anchor").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("anchor")
+    shared = durable(found.join(durable(several, "several"), "anchor"), "shared")
+    firsts = durable(shared.groupBy("anchor", "reach").agg(F.min("key").alias("first")), "firsts")
     told = shared.join(firsts, ["anchor", "reach"])
     whole = told.where("key > first").select("key", "begin", "end")
     # The earliest of each reach; an anchor with one reach has nothing else to compare.
     several = firsts.groupBy("anchor").agg(F.count("*").alias("reaches")).where("reaches > 1").select("anchor")
     open_ = told.where("key = first").join(several, "anchor", "left_semi").groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     windows = durable(_windows(docs.where("key IS NOT NULL").join(open_, "key"), length), "windows")
-    least = windows.groupBy("one", "two").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("one", "two", "low")
+    least = durable(windows.groupBy("one", "two").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("one", "two", "low"), "least")
     single = windows.join(least, ["one", "two"]).where("key > low").select("key", F.col("at").alias("begin"), F.col("at").alias("end"))
     return whole.union(single)
 
