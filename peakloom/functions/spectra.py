@@ -41,10 +41,14 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, body) -> Column:
+    """The body with the value computed once: a name in a lambda isn't computed again for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def unit(a: Column) -> Column:
     """A vector by its length; zeros stay."""
-    n = F.sqrt(dot(a, a))
-    return F.transform(a, lambda x: F.when(n > 0, x / n).otherwise(x))
+    return let(a, lambda v: let(F.sqrt(dot(v, v)), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x))))
 
 
 def greedy_match(query: Column, candidate: Column, width: float) -> Column:
