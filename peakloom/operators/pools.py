@@ -14,9 +14,8 @@ def ranked(rows: DataFrame, order: list[Column], by: list[str] | None = None, in
 def first_wins(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """One row for each key: the first in the order. An aggregate, so repeated keys shrink before the shuffle."""
     others = [c for c in rows.columns if c not in key]
-    names = [f"_o{i}" for i in range(len(order))]
-    held = rows.select(*key, F.struct(*[o.alias(n) for o, n in zip(order, names, strict=True)], *others).alias("_row"))
-    return held.groupBy(*key).agg(F.min("_row").alias("_row")).select(*key, *[F.col(f"_row.{c}").alias(c) for c in others])
+    first = F.min_by(F.struct(*others), F.struct(*order))
+    return rows.groupBy(*key).agg(first.alias("_row")).select(*key, *[F.col(f"_row.{c}").alias(c) for c in others])
 
 
 def merged(pools: list[DataFrame], key: str, score: str, source: str) -> DataFrame:

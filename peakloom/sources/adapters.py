@@ -60,6 +60,11 @@ def _map(values: dict[str, Column]) -> Column:
     return F.map_filter(held, lambda k, v: v.isNotNull())
 
 
+def _typed(values: Column, kind: str) -> Column:
+    """array<struct<alias, alias_type>> of texts of one kind."""
+    return F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x: F.struct(T.squeezed(x).alias("alias"), F.lit(kind).alias("alias_type")))
+
+
 def molecule_id(source: str, source_id: Column, inchikey: Column) -> Column:
     """The structure's key where there is one, else the source's id, else a digest of the row's own id."""
     key = T.blank_to_null(inchikey)
@@ -77,7 +82,7 @@ def profile_text(title: Column, properties: Column, notes: Column | None = None)
 def molecules(rows: DataFrame, source: str, row: str, source_id: Column, inchikey: Column, name: Column, properties: dict[str, Column], labels: Column, doc_type: str, aliases: dict[str, Column], notes: Column | None = None) -> Parts:
     """Molecule rows as nodes, a document each, and aliases by type (arrays of text)."""
     named = F.coalesce(T.blank_to_null(name), T.squeezed(source_id))
-    base = rows.select(F.col(row).cast("long").alias("row"), F.lit(source).alias("source"), molecule_id(source, source_id, inchikey).alias("node_id"), labels.alias("labels"), named.alias("name"), _map({"source_id": source_id, "inchikey": inchikey}).alias("identifiers"), _map({"source_id": source_id, "inchikey": inchikey, **properties}).alias("properties"), (notes if notes is not None else F.lit(None).cast("string")).alias("_notes"), F.flatten(F.array(*[F.transform(F.coalesce(v, F.array().cast("array<string>")), lambda a, k=k: F.struct(T.squeezed(a).alias("alias"), F.lit(k).alias("alias_type"))) for k, v in aliases.items()])).alias("_aliases"))
+    base = rows.select(F.col(row).cast("long").alias("row"), F.lit(source).alias("source"), molecule_id(source, source_id, inchikey).alias("node_id"), labels.alias("labels"), named.alias("name"), _map({"source_id": source_id, "inchikey": inchikey}).alias("identifiers"), _map({"source_id": source_id, "inchikey": inchikey, **properties}).alias("properties"), (notes if notes is not None else F.lit(None).cast("string")).alias("_notes"), F.flatten(F.array(*[_typed(v, k) for k, v in aliases.items()])).alias("_aliases"))
     documents = base.select(T.keyed("doc", F.col("node_id"), F.lit(doc_type), F.col("source")).alias("doc_id"), "node_id", F.col("name").alias("title"), profile_text(F.col("name"), F.col("properties"), F.col("_notes")).alias("text"), F.lit(doc_type).alias("doc_type"), F.map_filter("properties", lambda k, v: k.isin(*METADATA)).alias("metadata"), "source", "row")
     named_as = base.select("node_id", "source", "row", F.inline("_aliases")).where("alias IS NOT NULL AND alias <> '' AND length(alias) <= 512")
     return Parts(base.select(*NODE), None, documents.select(*DOCUMENT), named_as.select(*ALIAS))
@@ -167,8 +172,7 @@ def ontology(nodes: DataFrame, links: DataFrame, source: str, row: str = "row")
     held = nodes.select(term(F.col("id")).alias("node_id"), T.squeezed(F.col("lbl")).alias("name"), F.map_from_entries(pairs).alias("properties"), _map({"source_id": F.col("id")}).alias("identifiers"), F.lit(source).alias("source"), F.col(row).cast("long").alias("row"), F.col("meta.synonyms.val").alias("_s"), F.col("meta.xrefs.val").alias("_x"))
     text = F.concat(F.array_join(F.array_compact(F.array(F.col("name"), F.concat(F.lit("formula "), F.col("properties")["generalized_empirical_formula"]), F.concat(F.lit("SMILES "), F.col("properties")["smiles_string"]))), ". "), F.lit("."))
     documents = held.select(T.keyed("doc", F.col("node_id"), F.lit("ontology_profile"), F.col("source")).alias("doc_id"), "node_id", F.col("name").alias("title"), text.alias("text"), F.lit("ontology_profile").alias("doc_type"), F.col("properties").alias("metadata"), "source", "row")
-    typed = lambda values, kind: F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x: F.struct(T.squeezed(x).alias("alias"), F.lit(kind).alias("alias_type")))
-    aliases = held.select("node_id", "source", "row", F.inline(F.concat(typed(F.array("name"), "name"), typed(F.col("_s"), "synonym"), typed(F.col("_x"), "xref")))).where("alias IS NOT NULL AND alias <> ''")
+    aliases = held.select("node_id", "source", "row", F.inline(F.concat(_typed(F.array("name"), "name"), _typed(F.col("_s"), "synonym"), _typed(F.col("_x"), "xref")))).where("alias IS NOT NULL AND alias <> ''")
     shown = held.withColumn("labels", F.array(F.lit("chebi_entity"), F.lit("ontology_node")))
     return Parts(shown.select(*NODE), edges(links, source, row, term(F.col("sub")), T.squeezed(F.col("pred")), term(F.col("obj")), T.squeezed(F.col("pred"))), documents, aliases.select(*ALIAS))
 

@@ -53,7 +53,12 @@ def blocks(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """Records of key, tab and value lines between blank lines; other keys are left out."""
     rows = spark.read.option("lineSep", "\n\n").text(path).where(F.trim("value") != "")
     pairs = F.transform(F.filter(F.split("value", "\n"), lambda x: F.contains(x, F.lit("\t"))), lambda x: F.struct(F.trim(F.substring_index(x, "\t", 1)).alias("k"), F.trim(F.regexp_replace(x, r"^[^\t]*\t", "")).alias("v")))
-    return rows.select(pairs.alias("_p")).select(*[F.try_element_at(F.transform(F.filter("_p", lambda e, n=n: e["k"] == n), lambda e: e["v"]), F.lit(-1)).alias(n) for n in names])
+
+    def last(name: str) -> Column:
+        own = F.filter("_p", lambda e: e["k"] == name)
+        return F.try_element_at(F.transform(own, lambda e: e["v"]), F.lit(-1)).alias(name)
+
+    return rows.select(pairs.alias("_p")).select(*[last(n) for n in names])
 
 
 OBO = (
