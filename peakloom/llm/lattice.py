@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from peakloom.llm.common import _LOWERED, Rolling, by_batch, crc_of, durable, mixed, pieces, word_hashes, word_ranges
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BUCKET_BYTES, PRIOR, ZIPF, LONG_WORD = 24 << 20, 1000.0, 10.0, 40
+BUCKET_BYTES, PIECE_BYTES, PRIOR, ZIPF = 16 << 20, 2 << 20, 1000.0, 10.0
 _END = int(mixed(np.array([0xE0D], np.uint64)).view(np.int64)[0])
 _PIECE = Rolling(0xBF58476D1CE4E5B9 | 1)
 
@@ -165,7 +165,7 @@ def learned(docs: DataFrame, vocabulary: Vocabulary, prior: float = PRIOR) -> tu
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         total, keys, numbers = np.zeros(len(sent.value.log)), [np.array([_END])], [np.array([float(batch.num_rows)])]
-        for part in pieces(batch, "text"):
+        for part in pieces(batch, "text", PIECE_BYTES):
             data, starts, ends, hashes, _ = _joined([t.as_buffer() for t in part.column(0)])
             own, first, counts = np.unique(hashes, return_index=True, return_counts=True)
             total += sent.value.score(data, starts[first], ends[first], counts.astype(float))[1]
@@ -204,7 +204,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", *, model_file
         out = []
         bucket = batch.column(3).to_numpy()
         for b in np.unique(bucket).tolist():
-            own = [np.unique(_joined([t.as_buffer() for t in part.column(2)])[3]) for part in pieces(batch.filter(pa.array(bucket == b)), "text")]
+            own = [np.unique(_joined([t.as_buffer() for t in part.column(2)])[3]) for part in pieces(batch.filter(pa.array(bucket == b)), "text", PIECE_BYTES)]
             keys = np.unique(np.concatenate([*own, np.array([_END])]))
             out.append((keys, np.full(len(keys), b, np.int32)))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["word", "bucket"])
@@ -219,7 +219,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", *, model_file
         end = int(np.searchsorted(words, _END))
         out = []
         for whole in batches.select(["key", "train", "text"]).to_batches():
-            for part in pieces(whole, "text"):
+            for part in pieces(whole, "text", PIECE_BYTES):
                 data, starts, ends, hashes, n = _joined([t.as_buffer() for t in part.column(2)])
                 at = np.searchsorted(words, hashes)
                 if len(at) and (at.max() >= len(words) or (words[at] != hashes).any()):
