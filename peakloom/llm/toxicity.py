@@ -152,12 +152,13 @@ def held_out(key: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label_key: str = "doc_id", label: str = "toxic", *, fit_rows: int = FIT_ROWS, window: int = WINDOW) -> Model:
     """The model from the rows that are not held out. Texts are joined with their labels on the key, in two passes: counts, and the sample's features."""
     known = labels.where(F.col(label).isNotNull() & F.col(label_key).isNotNull()).groupBy(F.col(label_key).alias("key")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
+    # One plan at every size: both sides are sorted by key, and nothing that grows with the labels is broadcast.
     known = known.where(~held_out(F.col("key")) & F.col("toxic").isin(0, 1))
     drawn = F.pmod(F.xxhash64(F.lit("fit"), F.col("key").cast("string")), F.lit(1 << 30)) / float(1 << 30)
     rows = known.count()
     share = min(FIT_SHARE, fit_rows / max(rows, 1))
     texts = docs.where(~held_out(F.col(key))).select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
-    found = _counts(texts.where(drawn >= share).join(known.where(drawn >= share), "key")).toPandas()
+    found = _counts(texts.where(drawn >= share).join(known.where(drawn >= share).hint("merge"), "key")).toPandas()
     keys, where = np.unique(found["gram"].to_numpy(np.int64), return_inverse=True)
     counts = [np.bincount(where[(y := found["toxic"].to_numpy() == k)], found["n"].to_numpy(float)[y], len(keys)) for k in (0, 1)]
     if not all(c.sum() for c in counts):
@@ -169,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         f = [sent.value.features(t.as_buffer() if t.is_valid else None) for t in batch.column(1)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in f]), pa.array([b for _, b in f])], names=["toxic", "mean", "peak"])
 
-    sample = texts.where(drawn < share).join(known.where(drawn < share), "key").select("toxic", "text")
+    sample = texts.where(drawn < share).join(known.where(drawn < share).hint("merge"), "key").select("toxic", "text")
     fitted = by_batch(sample, work, "toxic int, mean double, peak double").orderBy("mean", "peak", "toxic").toPandas()
     if fitted["toxic"].nunique() == 2:
         model.fit(fitted["mean"].to_numpy(), fitted["peak"].to_numpy(), fitted["toxic"].to_numpy(float))
