@@ -23,3 +23,13 @@ def session(name: str = "peakloom", master: str | None = None, **conf: str) -> S
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def cut_lineage(df):
+    """The rows checkpointed in the cluster's shared folder; a temporary one only where none is set."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        import tempfile
+
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-"))
+    return df.checkpoint()
