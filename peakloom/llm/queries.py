@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,3 +159,27 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
+
+
+def _license_sql() -> str:
+    """The scan without its filters: every block against every template."""
+    known = []
+    for label, notice in licenses.TEMPLATES:
+        tokens = sorted(set(notice.split()))
+        known.append(f"('{label}', {tokens!r}, {math.ceil(licenses.THRESHOLD * len(tokens) - 1e-9)})")
+    named = [(label, " AND ".join(f"w[p + {i + 1}] = '{word}'" for i, word in enumerate(phrase))) for label, phrase in licenses.PHRASES]
+    step = licenses.WIDTH // 2
+    return f"""
+WITH d AS (SELECT doc_id, {_plain("text")} AS w FROM documents), t(label, tokens, need) AS (VALUES {", ".join(known)}),
+b AS (SELECT doc_id, list_distinct(w[i * {step} + 1:i * {step} + {licenses.WIDTH}]) AS b FROM (SELECT doc_id, w, unnest(range(greatest(CAST(ceil((len(w) - {step}) / {step}) AS BIGINT), 1))) AS i FROM d)),
+m AS (SELECT doc_id, label, len(list_intersect(tokens, b)) / len(tokens) AS score FROM b, t WHERE len(b) >= need AND len(list_intersect(tokens, b)) >= need),
+p AS (SELECT doc_id, p, CASE {" ".join(f"WHEN {test} THEN '{label}'" for label, test in named)} END AS label FROM (SELECT doc_id, w, unnest(range(len(w))) AS p FROM d WHERE list_contains(w, 'license'))),
+n AS (SELECT doc_id, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, array_to_string(list_sort(list_distinct(list(label))), ',') AS base_labels FROM p WHERE label IS NOT NULL GROUP BY doc_id),
+l AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels FROM (SELECT doc_id, label FROM m UNION ALL SELECT doc_id, label FROM p WHERE label IS NOT NULL) GROUP BY doc_id),
+s AS (SELECT doc_id, max(score) AS score FROM m GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(score, 0) END AS score FROM d LEFT JOIN n USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN s USING (doc_id)
+"""
+
+
+ORACLES["op2_license_scan"] = _license_sql()
