@@ -12,7 +12,10 @@ def ranked(rows: DataFrame, order: list[Column], by: list[str] | None = None, in
 
 
 def first_wins(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """One row for each key: the first in the order. An aggregate, so repeated keys shrink before the shuffle."""
+    """One row for each key: the one with the least values of the order (a falling one is given by its negative).
+
+    An aggregate, so repeated keys shrink before the shuffle.
+    """
     others = [c for c in rows.columns if c not in key]
     first = F.min_by(F.struct(*others), F.struct(*order))
     return rows.groupBy(*key).agg(first.alias("_row")).select(*key, *[F.col(f"_row.{c}").alias(c) for c in others])
@@ -47,10 +50,11 @@ def floor_then_fill(rows: DataFrame, bucket: str, buckets: list[str], key: str,
     names = F.array(*[F.lit(b) for b in buckets])
     place = F.array_position(names, F.col(bucket)).cast("int")
     place = F.when(place > 0, place).otherwise(len(buckets) + 1)
-    rows = ranked(ranked(rows, order, [bucket], "_in"), order, None, "_nth")
-    rows = rows.withColumn("_tier", F.when(F.col("_in") <= floor, place).otherwise(len(buckets) + 2))
-    kept = first_wins(rows, [key], [F.col("_tier"), F.col("_nth")])
-    return ranked(kept, [F.col("_tier"), F.col("_nth")], None, "merged_rank").where(F.col("merged_rank") <= limit).drop("_in", "_nth", "_tier")
+    # Both sides shrink before they meet: the floors to a few rows a bucket, the rest to the first rows of distinct keys.
+    first = ranked(rows, order, [bucket], "_n").where(F.col("_n") <= floor).drop("_n").withColumn("_tier", place)
+    rest = first_wins(rows, [key], order).orderBy(*order).limit(limit).withColumn("_tier", F.lit(len(buckets) + 2))
+    kept = first_wins(first.unionByName(rest), [key], [F.col("_tier"), *order])
+    return ranked(kept, [F.col("_tier"), *order], None, "merged_rank").where(F.col("merged_rank") <= limit).drop("_tier")
 
 
 def novel(rows: DataFrame, pool: DataFrame, key: str) -> DataFrame:

@@ -11,6 +11,20 @@ def seeded(seed: str, *keys: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), *[k.cast("string") for k in keys]).cast("binary"))
 
 
+def placed(rows: DataFrame, key: str, seed: str, group: list[str]) -> DataFrame:
+    """The rows with their place ``_at`` in the seeded order of their group, from 0, and the group's size ``_n``.
+
+    A group is cut by the first three places of the digest: the pieces are counted, and rows are numbered within a piece,
+    so that no task gets a whole group.
+    """
+    held = rows.withColumn("_d", seeded(seed, F.col(key))).withColumn("_p", F.substring("_d", 1, 3))
+    counts = held.groupBy(*group, "_p").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(*group).orderBy("_p")
+    counts = counts.withColumns({"_before": F.sum("_c").over(before) - F.col("_c"), "_n": F.sum("_c").over(Window.partitionBy(*group))}).drop("_c")
+    within = F.row_number().over(Window.partitionBy(*group, "_p").orderBy("_d", key))
+    return held.withColumn("_r", within - 1).join(counts, [*group, "_p"]).withColumn("_at", F.col("_before") + F.col("_r")).drop("_p", "_r", "_before", "_d")
+
+
 def split(rows: DataFrame, key: str, seed: str, parts: dict[str, int]) -> DataFrame:
     """Each row's part, by hundredths of the seeded digest: no sort, and a row stays where it is when others come."""
     at = F.pmod(F.conv(F.substring(seeded(seed, F.col(key)), 1, 8), 16, 10).cast("long"), F.lit(100))
@@ -65,14 +79,10 @@ def negatives(rows: DataFrame, key: str, bucket: str, seed: str, k: int) -> Data
     The bucket's rows stand in one seeded circle and an anchor takes those after it, so that a bucket of any size gives
     k rows an anchor, never all its pairs.
     """
-    circle = Window.partitionBy(bucket).orderBy("_d", key)
-    placed = rows.select(key, bucket, seeded(seed, F.col(key)).alias("_d"))
-    placed = placed.withColumn("_at", F.row_number().over(circle) - 1)
-    sized = placed.groupBy(bucket).agg(F.count("*").alias("_n"))
-    placed = placed.join(sized, bucket)
-    asked = placed.select(F.col(key).alias("anchor"), bucket, F.explode(F.sequence(F.lit(1), F.least(F.lit(k), F.col("_n") - 1).cast("int"))).alias("nth"), "_at", "_n").where("_n > 1")
-    asked = asked.withColumn("_at", F.pmod(F.col("_at") + F.col("nth"), F.col("_n")))
-    return asked.join(placed.select(F.col(key).alias("negative"), bucket, "_at"), [bucket, "_at"]).select("anchor", "negative", "nth")
+    circle = placed(rows.select(key, bucket), key, seed, [bucket])
+    asked = circle.where("_n > 1").select(F.col(key).alias("anchor"), bucket, F.explode(F.sequence(F.lit(1), F.least(F.lit(k), F.col("_n") - 1).cast("int"))).alias("nth"), "_at", "_n")
+    asked = asked.withColumn("_at", F.pmod(F.col("_at") + F.col("nth"), F.col("_n"))).drop("_n")
+    return asked.join(circle.select(F.col(key).alias("negative"), bucket, "_at"), [bucket, "_at"]).select("anchor", "negative", "nth")
 
 
 def masked_ranks(rows: DataFrame, sample: str, kind: str, at: str, value: str, masked: str) -> DataFrame:
@@ -83,9 +93,8 @@ def masked_ranks(rows: DataFrame, sample: str, kind: str, at: str, value: str, m
 
 def resumed(rows: DataFrame, key: str, seed: str, skip: int, ranks: int = 1, rank: int = 0) -> DataFrame:
     """What is left of a seeded order after ``skip`` rows, for one of several readers that take rows in turn."""
-    order = F.row_number().over(Window.orderBy("_d", key)) - 1
-    placed = rows.withColumn("_d", seeded(seed, F.col(key))).withColumn("nth", order).drop("_d")
-    return placed.where((F.col("nth") >= skip) & (F.pmod(F.col("nth"), F.lit(ranks)) == rank))
+    order = placed(rows, key, seed, []).withColumnRenamed("_at", "nth").drop("_n")
+    return order.where((F.col("nth") >= skip) & (F.pmod(F.col("nth"), F.lit(ranks)) == rank))
 
 
 def flattened(h: Column, c: Column) -> Column:

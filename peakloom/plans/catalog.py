@@ -418,7 +418,7 @@ def pool_quota_select(spark, sf_dir):
     SELECT * FROM (SELECT id, score, source, row, CAST(row_number() OVER (ORDER BY tier, b) AS INTEGER) AS merged_rank FROM f WHERE w = 1) WHERE merged_rank <= 40""",
 )
 def pool_floor_fill(spark, sf_dir):
-    return pools.floor_then_fill(_candidates(spark, sf_dir), "source", ["denovo", "retrieval"], "id", [F.desc("score"), F.col("row")], 40)
+    return pools.floor_then_fill(_candidates(spark, sf_dir), "source", ["denovo", "retrieval"], "id", [-F.col("score"), F.col("row")], 40)
 
 
 @register("pool_novel_anti", f"WITH c AS ({_PRICE}) SELECT id, score, source, row FROM c WHERE source = 'denovo' AND id NOT IN (SELECT id FROM c WHERE source = 'retrieval')")
@@ -796,7 +796,7 @@ def identity_mask(spark, sf_dir):
     return prep.masked_ranks(rows, "l_orderkey", "l_returnflag", "l_linenumber", "l_quantity", "m").select("l_orderkey", "l_linenumber", "shown")
 
 
-@register("resume_order", "SELECT doc_id, CAST(nth AS INTEGER) AS nth FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('r:' || doc_id), doc_id) - 1 AS nth FROM documents) WHERE nth >= 100 AND nth % 4 = 1")
+@register("resume_order", "SELECT doc_id, nth FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('r:' || doc_id), doc_id) - 1 AS nth FROM documents) WHERE nth >= 100 AND nth % 4 = 1")
 def resume_order(spark, sf_dir):
     return prep.resumed(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", "r", 100, 4, 1)
 
