@@ -14,7 +14,7 @@
    are joined to hubs, a few rounds with different ones, then all members that are still in different components; pairs
    that agree on too few coordinates fall out, the rest are confirmed two texts at a time, by joins.
 
-A pair is linked if parts * intersection >= ... is exact integer arithmetic on the sets' sizes.
+Whether a pair is similar is decided in whole numbers: similar = (80, 100) asks for 100 * intersection >= 80 * union.
 Defined cases: a null or wordless text has an empty set and is linked with nothing; a text of fewer words than a shingle is
 one shingle; rows that share an id are one document in components; rows with a null id are linked with nothing and have a
 null component; any length of text is taken whole.

@@ -20,14 +20,13 @@ windows of any of them count as that document's.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import Rolling, by_batch, durable, mixed, runs, text_hashes, word_ranges
+from peakloom.llm.common import Rolling, by_batch, durable, mixed, runs, text_hashes
 
 LENGTH, SEED = 50, 10
 _ONE, _TWO = Rolling(0x9E3779B97F4A7C15), Rolling(0xD6E8FEB86659FD93)
