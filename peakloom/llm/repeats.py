@@ -99,7 +99,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
     told = shared.join(firsts, ["anchor", "reach"])
     whole = told.where("key > first").select("key", "begin", "end")
     # The earliest of each reach; an anchor with one reach has nothing else to compare.
-    several = firsts.groupBy("anchor").agg(F.count("*").alias("reaches")).where("reaches > 1").select("anchor")
+    several = durable(firsts.groupBy("anchor").agg(F.count("*").alias("reaches")).where("reaches > 1").select("anchor"), "open")
     open_ = told.where("key = first").join(several, "anchor", "left_semi").groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     windows = durable(_windows(docs.where("key IS NOT NULL").join(open_, "key"), length), "windows")
     least = durable(windows.groupBy("one", "two").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("one", "two", "low"), "least")
