@@ -1,7 +1,8 @@
 """Secret scan: fixed patterns, and strings in a sensitive context that a dictionary-primed Zstandard can't compress.
 
 The method: a candidate is a run of 16 or more characters of secrets' alphabets that holds letters and digits, and stands
-within ``reach`` characters after a word such as key or token. Its novelty is what it adds to the compressed size of its
+within ``reach`` characters after a word such as key or token. In unspaced KEY=value text the word is part of the run: if the
+run itself isn't reported, what follows each = is a candidate too, up to the first one reported. Its novelty is what it adds to the compressed size of its
 surrounding text, for a compressor primed with common identifiers, in bytes a character. Words and identifiers that stand
 in the dictionary or nearby add little; keys add as much as their entropy. Candidates at or above ``novelty`` are reported,
 unless they touch a span that a pattern has found.
@@ -33,7 +34,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CONTEXT_WORDS = ("password", "passwd", "passphrase", "pwd", "secret", "token", "apikey", "api_key", "api key", "access_key", "private_key", "private key", "auth", "bearer", "credential", "signature", "session", "cookie", "license_key", "client_id")
 CONTEXT = re.compile("|".join(CONTEXT_WORDS), re.ASCII | re.IGNORECASE)
-CANDIDATE, DIGIT, LETTER = re.compile(r"[A-Za-z0-9+/_=.-]{16,}"), re.compile("[0-9]"), re.compile("[A-Za-z]")
+LEAST = 16
+CANDIDATE, DIGIT, LETTER, EQUALS = re.compile(rf"[A-Za-z0-9+/_=.-]{{{LEAST},}}"), re.compile("[0-9]"), re.compile("[A-Za-z]"), re.compile("=+")
 IDENTIFIERS = (
     "import return function const public static private class string value index length config default environment "
     "username password passwd secret token api_key apikey access_key secret_key private_key client_id client_secret "
@@ -75,13 +77,17 @@ def novel_in(text: str, known: list[tuple[int, int, int]], novelty: float = NOVE
         return []
     found = []
     for m in CANDIDATE.finditer(text):
-        start, end = m.span()
-        if not (DIGIT.search(text, start, end) and LETTER.search(text, start, end) and CONTEXT.search(text, max(0, start - reach), start)):
+        first, end = m.span()
+        if not (DIGIT.search(text, first, end) and LETTER.search(text, first, end)):
             continue
-        if any(a < end and start < b for a, _, b in known):
-            continue
-        if novelty_of(text[max(0, start - AROUND) : start], m.group(), text[end : end + AROUND]) >= novelty:
-            found.append((start, 3, end))
+        for start in [first, *(e.end() for e in EQUALS.finditer(text, first, end) if end - e.end() >= LEAST)]:
+            if not (CONTEXT.search(text, max(0, start - reach), start) and DIGIT.search(text, start, end) and LETTER.search(text, start, end)):
+                continue
+            if any(a < end and start < b for a, _, b in known):
+                continue
+            if novelty_of(text[max(0, start - AROUND) : start], text[start:end], text[end : end + AROUND]) >= novelty:
+                found.append((start, 3, end))
+                break
     return found
 
 

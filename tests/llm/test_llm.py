@@ -108,6 +108,26 @@ def test_novel_secrets():
     assert secret_scan.novel_in(f"a plain word {key}", []) == []
 
 
+@pytest.mark.parametrize("name", ["AWS_SECRET_ACCESS_KEY=", "export SESSION_KEY=", "credential=", "pwd=", "--set=auth.signature=", "db.pwd=="])
+@pytest.mark.parametrize("value", ["wJalrXUtnF3MI/K7MDQNG/bPxRf1CYzTq8v", "9fK3xQ7bLw2ZtR8vYc5NsD1h", "Zk8vQ2xLr9Tn4Wb7Yc1HdA=="])
+def test_assigned_secrets(name, value):
+    text = f"plain words before\n{name}{value}\nplain words after"
+    assert secret_scan.patterns_in(text) == []
+    assert [text[a:b] for a, _, b in secret_scan.novel_in(text, [])] == [value]
+
+
+def test_assigned_in_rows(spark):
+    value = "9fK3xQ7bLw2ZtR8vYc5NsD1h"
+    docs = spark.createDataFrame([(1, f"SESSION_KEY={value}"), (2, f"colour_name={value}"), (3, "session_start=2020-01-01T00:00:00Z")], "doc_id long, text string")
+    assert {r.doc_id: r.strings for r in secret_scan.scan(docs).collect()} == {1: [value], 2: [], 3: []}
+    assert {r.doc_id: r.text for r in secret_scan.without_secrets(docs).collect()}[1] == "SESSION_KEY=<secret>"
+
+
+def test_runs_after_words_stay_whole():
+    run = "q8Zr4Lw0Xv7Tn2Yk9Bd5Hc1J=p3Vs6Mf9Gj2Ka8Qe"
+    assert [(a, b) for a, _, b in secret_scan.novel_in(f"auth header {run}", [])] == [(12, 12 + len(run))]
+
+
 def test_without_secrets(docs, rows, none):
     out = secret_scan.without_secrets(docs)
     assert out.columns == docs.columns and out.count() == len(rows)
