@@ -1,4 +1,8 @@
-"""Every query over the driver's tables, by name, with the SQL that it is compared with."""
+"""Every query over the driver's tables, by name, with the SQL that it is compared with.
+
+Where a query's SQL covers only a slice of the rows or texts, the whole job is the query of that name with _whole, which
+has no SQL; both run the same code.
+"""
 
 from __future__ import annotations
 
@@ -161,7 +165,16 @@ def _gaussian_sql(peaks: str, low: float, high: float, width: float) -> str:
     SELECT id, pos, round(x, 6) AS value FROM (SELECT id, unnest(v) AS x, unnest(range(128)) AS pos FROM v) WHERE round(x, 6) > 0""",
 )
 def spec_gaussian_vector(spark, sf_dir):
-    rows = _spectra(spark, sf_dir).where("id % 20 = 0").select("id", F.posexplode(S.gaussian_vector(F.col("c"), *S.CARBON)).alias("pos", "x"))
+    return _gaussian_vectors(_spectra(spark, sf_dir).where("id % 20 = 0"))
+
+
+@register("spec_gaussian_vector_whole")
+def spec_gaussian_vector_whole(spark, sf_dir):
+    return _gaussian_vectors(_spectra(spark, sf_dir))
+
+
+def _gaussian_vectors(spectra: DataFrame) -> DataFrame:
+    rows = spectra.select("id", F.posexplode(S.gaussian_vector(F.col("c"), *S.CARBON)).alias("pos", "x"))
     return rows.select("id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("value")).where("value > 0")
 
 
@@ -173,7 +186,16 @@ def spec_gaussian_vector(spark, sf_dir):
     {_ranked('SELECT * FROM s', 10, 'query_id, vec_id, fallback, score')}""",
 )
 def spec_vector_rerank(spark, sf_dir):
-    rows = _spectra(spark, sf_dir).where("id % 50 = 0").select(F.col("id").alias("vec_id"), S.unit(S.gaussian_vector(F.col("c"), *S.CARBON)).alias("vector"), (F.size("c") > 0).alias("has"))
+    return _vector_reranked(_spectra(spark, sf_dir).where("id % 50 = 0"))
+
+
+@register("spec_vector_rerank_whole")
+def spec_vector_rerank_whole(spark, sf_dir):
+    return _vector_reranked(_spectra(spark, sf_dir))
+
+
+def _vector_reranked(spectra: DataFrame) -> DataFrame:
+    rows = spectra.select(F.col("id").alias("vec_id"), S.unit(S.gaussian_vector(F.col("c"), *S.CARBON)).alias("vector"), (F.size("c") > 0).alias("has"))
     asked = rows.where("vec_id % 500 = 0").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
     pairs = retrieval.met(asked, rows, 1024).where("query_id <> vec_id")
     return retrieval.reranked(pairs, F.col("query"), F.col("vector"), F.col("has"), F.lit(0.5), 10).select("query_id", "vec_id", "fallback", "score", "rank")
@@ -188,7 +210,16 @@ def spec_vector_rerank(spark, sf_dir):
     SELECT id, round(CASE WHEN any_value(len(q)) = 0 OR any_value(m) = 0 THEN 0 ELSE max(acc) / greatest(any_value(len(q)), any_value(m)) END, 6) AS score FROM g GROUP BY id""",
 )
 def spec_greedy_match(spark, sf_dir):
-    return _spectra(spark, sf_dir).where("id % 10 = 0").select("id", F.round(S.greedy_match(F.col("h"), F.col("c"), 10.0), 6).alias("score"))
+    return _greedily_matched(_spectra(spark, sf_dir).where("id % 10 = 0"))
+
+
+@register("spec_greedy_match_whole")
+def spec_greedy_match_whole(spark, sf_dir):
+    return _greedily_matched(_spectra(spark, sf_dir))
+
+
+def _greedily_matched(spectra: DataFrame) -> DataFrame:
+    return spectra.select("id", F.round(S.greedy_match(F.col("h"), F.col("c"), 10.0), 6).alias("score"))
 
 
 @register(
@@ -218,7 +249,7 @@ def spec_set_match(spark, sf_dir):
 def spec_similarity(spark, sf_dir):
     from peakloom.functions.assignment import similarity_udf
 
-    rows = _spectra(spark, sf_dir).where("id % 10 = 0")
+    rows = _spectra(spark, sf_dir)
     return rows.select("id", F.round(similarity_udf("h", "c", F.transform("h", lambda x: x + 0.5), F.transform("c", lambda x: x - 1)), 6).alias("score"))
 
 
@@ -235,7 +266,7 @@ def spec_tolerance_single(spark, sf_dir):
 
 @register("memory_recall")
 def memory_recall(spark, sf_dir):
-    rows = _spectra(spark, sf_dir).where("id % 5 = 0").select(F.col("id").alias("key"), F.pmod("id", F.lit(7)).cast("string").alias("formula"), "h", "c")
+    rows = _spectra(spark, sf_dir).select(F.col("id").alias("key"), F.pmod("id", F.lit(7)).cast("string").alias("formula"), "h", "c")
     asked = rows.where("key % 500 = 0").select(F.col("key").alias("query_id"), F.col("formula").alias("asked_formula"), F.col("h").alias("asked_h"), F.col("c").alias("asked_c"))
     return retrieval.recalled(asked, rows, 5)
 
@@ -261,7 +292,16 @@ def peak_regions(spark, sf_dir):
     f"WITH {_SPECTRA} SELECT id, pos, shift, kind FROM (SELECT id, unnest(list_concat(h, c)) AS shift, unnest(range(len(h) + len(c))) AS pos, unnest(list_concat(list_transform(h, lambda x: 0), list_transform(c, lambda x: 1))) AS kind FROM spectra WHERE id % 7 = 0)",
 )
 def spectrum_flatten(spark, sf_dir):
-    rows = _spectra(spark, sf_dir).where("id % 7 = 0").select("id", F.posexplode(prep.flattened(F.col("h"), F.col("c"))).alias("pos", "p"))
+    return _flattened(_spectra(spark, sf_dir).where("id % 7 = 0"))
+
+
+@register("spectrum_flatten_whole")
+def spectrum_flatten_whole(spark, sf_dir):
+    return _flattened(_spectra(spark, sf_dir))
+
+
+def _flattened(spectra: DataFrame) -> DataFrame:
+    rows = spectra.select("id", F.posexplode(prep.flattened(F.col("h"), F.col("c"))).alias("pos", "p"))
     return rows.select("id", F.col("pos").cast("long").alias("pos"), "p.shift", "p.kind")
 
 
