@@ -341,7 +341,16 @@ def formula_difference(spark, sf_dir):
     SELECT a.p_partkey AS left_id, b.p_partkey AS right_id FROM s a JOIN s b ON a.p_partkey < b.p_partkey AND a.c + b.c = 10 AND a.h + b.h = 16 AND a.o + b.o = 3""",
 )
 def formula_sum_pairs(spark, sf_dir):
-    rows = _formulas(spark, sf_dir).where("p_partkey <= 300").select(F.col("p_partkey").alias("id"), "counts")
+    return _sum_pairs(_formulas(spark, sf_dir).where("p_partkey <= 300"))
+
+
+@register("formula_sum_pairs_whole")
+def formula_sum_pairs_whole(spark, sf_dir):
+    return _sum_pairs(_formulas(spark, sf_dir))
+
+
+def _sum_pairs(formulas: DataFrame) -> DataFrame:
+    rows = formulas.select(F.col("p_partkey").alias("id"), "counts")
     # What is missing to the target is a key: the pairs are an equal join, not all pairs.
     target = S.formula_counts(F.lit("C10H16O3"))
     left = rows.select(F.col("id").alias("left_id"), S.formula_text(S.formula_difference(target, F.col("counts"))).alias("missing"))
@@ -376,9 +385,18 @@ _ENDS = "['C', 'N', 'O'][1 + p_partkey % 3] AS e1, ['C', 'N', 'O'][1 + p_size %
     SELECT DISTINCT q.id AS query_id, k.id AS key_id FROM q JOIN k USING (b, m1, m2) WHERE q.id <> k.id""",
 )
 def frag_mask_join(spark, sf_dir):
+    return _mask_pairs(table(spark, sf_dir, "part").where("p_partkey % 5 = 0"))
+
+
+@register("frag_mask_join_whole")
+def frag_mask_join_whole(spark, sf_dir):
+    return _mask_pairs(table(spark, sf_dir, "part"))
+
+
+def _mask_pairs(part: DataFrame) -> DataFrame:
     pick = lambda values, at: F.get(F.array(*[F.lit(v) for v in values]), at.cast("int"))
     key, size = F.col("p_partkey"), F.col("p_size")
-    rows = table(spark, sf_dir, "part").where("p_partkey % 5 = 0").select(
+    rows = part.select(
         key.alias("id"), F.array(pick("CNO", key % 3), pick("CNO", size % 3)).alias("ends"), F.array(pick("CNO", (key + size) % 3), pick("CO", key % 2)).alias("partners"), F.array("p_brand").alias("bonds"))
     return fragments.mask_pairs(rows, "id", "ends", "partners", "bonds")
 
@@ -403,14 +421,23 @@ def frag_knn_pairs(spark, sf_dir):
     SELECT array_to_string(keys, ',') AS keys, CAST(len(keys) AS INTEGER) AS size, round(score, 4) AS score FROM r WHERE total = 20 AND len(keys) >= 2""",
 )
 def subset_sum_combos(spark, sf_dir):
-    buckets = table(spark, sf_dir, "part").where("p_size <= 12").groupBy("p_size").agg(F.max("p_retailprice").alias("s")).withColumn("counts", F.array("p_size"))
+    return _combinations(table(spark, sf_dir, "part").where("p_size <= 12"))
+
+
+@register("subset_sum_combos_whole")
+def subset_sum_combos_whole(spark, sf_dir):
+    return _combinations(table(spark, sf_dir, "part"))
+
+
+def _combinations(part: DataFrame) -> DataFrame:
+    buckets = part.groupBy("p_size").agg(F.max("p_retailprice").alias("s")).withColumn("counts", F.array("p_size"))
     rows = fragments.bucket_combinations(buckets, F.array(F.lit(20)), "p_size", "counts", "s", 2, 4)
     return rows.select(F.array_join(F.transform("keys", lambda k: k.cast("string")), ",").alias("keys"), "size", F.round("score", 4).alias("score"))
 
 
 @register("subset_sum_choices")
 def subset_sum_choices(spark, sf_dir):
-    part = table(spark, sf_dir, "part").where("p_size <= 12")
+    part = table(spark, sf_dir, "part")
     buckets = part.groupBy("p_size").agg(F.max("p_retailprice").alias("s")).withColumn("counts", F.array("p_size"))
     combos = fragments.bucket_combinations(buckets, F.array(F.lit(20)), "p_size", "counts", "s", 2, 3, beam=4).withColumn("combo", F.array_join(F.transform("keys", lambda k: k.cast("string")), "-"))
     return fragments.choices(combos, part, "combo", "keys", "p_size", "p_partkey", "p_brand", "p_retailprice", 3, 5)

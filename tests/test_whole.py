@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import defaultdict
 
@@ -109,3 +110,58 @@ def test_memory_of_all(spark, sf_dir, spectra):
 def test_flatten_whole(spark, sf_dir, spectra):
     found = {(r.id, r.pos): (r.shift, r.kind) for r in rows_of(spark, sf_dir, "spectrum_flatten_whole")}
     assert found == {(k, i): p for k, (h, c) in spectra.items() for i, p in enumerate([(x, 0) for x in h] + [(x, 1) for x in c])}
+
+
+@pytest.fixture(scope="module")
+def parts(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/part.parquet").collect()
+
+
+def with_later_keys(spark, parts, folder):
+    """A folder whose part table has the same parts, and each again with a key later than 300."""
+    frame = spark.createDataFrame(parts)
+    frame.unionByName(frame.withColumn("p_partkey", frame.p_partkey + 1000)).write.parquet(f"{folder}/part.parquet")
+    return str(folder)
+
+
+def test_sum_pairs_whole(spark, parts, tmp_path):
+    folder = with_later_keys(spark, parts, tmp_path)
+    counts = {k: (1 + p.p_size % 9, 2 + k % 11, max(k % 3, 1)) for p in parts for k in (p.p_partkey, p.p_partkey + 1000)}
+    want = {(a, b) for a, x in counts.items() for b, y in counts.items() if a < b and tuple(i + j for i, j in zip(x, y, strict=True)) == (10, 16, 3)}
+    got = [(r.left_id, r.right_id) for r in rows_of(spark, folder, "formula_sum_pairs_whole")]
+    assert sorted(got) == sorted(want) and any(b > 300 for _, b in want)
+
+
+def test_mask_join_whole(spark, sf_dir, parts):
+    own, asked, held = "CNO", {}, defaultdict(set)
+    for p in parts:
+        k, size = p.p_partkey, p.p_size
+        ends, partners = (own[k % 3], own[size % 3]), (own[(k + size) % 3], "CO"[k % 2])
+        asked[k] = (p.p_brand, *(o if e == "C" else "*" for e, o in zip(ends, partners, strict=True)))
+        for m in ((ends[0], ends[1]), ("*", ends[1]), (ends[0], "*"), ("*", "*")):
+            held[(p.p_brand, *m)].add(k)
+    want = {(q, k) for q, m in asked.items() for k in held[m] if q != k}
+    got = [(r.query_id, r.key_id) for r in rows_of(spark, sf_dir, "frag_mask_join_whole")]
+    assert sorted(got) == sorted(want) and any(q % 5 or k % 5 for q, k in want)
+
+
+def sums(sizes, total, least, most):
+    return {c for n in range(least, most + 1) for c in itertools.combinations_with_replacement(sorted(sizes), n) if sum(c) == total}
+
+
+def test_subset_sums_whole(spark, sf_dir, parts):
+    best = defaultdict(float)
+    for p in parts:
+        best[p.p_size] = max(best[p.p_size], float(p.p_retailprice))
+    want = {",".join(map(str, c)): sum(best[k] for k in c) for c in sums([k for k in best if k < 20], 20, 2, 4)}
+    assert {r["keys"]: r.score for r in rows_of(spark, sf_dir, "subset_sum_combos_whole")} == pytest.approx(want) and any("13" in k for k in want)
+
+
+def test_choices_of_all_sizes(spark, sf_dir, parts):
+    of = {p.p_partkey: p for p in parts}
+    found = rows_of(spark, sf_dir, "subset_sum_choices")
+    for r in found:
+        sizes = [int(k) for k in r.combo.split("-")]
+        assert [of[m].p_size for m in r.members] == sizes and sum(sizes) == 20
+        assert len({of[m].p_brand for m in r.members}) == len(r.members)
+    assert any(int(k) > 12 for r in found for k in r.combo.split("-"))
