@@ -233,6 +233,14 @@ def spec_assign_cost(spark, sf_dir):
     return rows.select("id", F.round("a.cost", 6).alias("cost"), F.size("a.matched").cast("long").alias("pairs"))
 
 
+@register("spec_assign_cost_whole")
+def spec_assign_cost_whole(spark, sf_dir):
+    from peakloom.functions.assignment import assignment_udf
+
+    rows = _spectra(spark, sf_dir).select("id", assignment_udf("h", "c").alias("a"))
+    return rows.select("id", F.round("a.cost", 6).alias("cost"), "a.matched", "a.unmatched", "a.unused")
+
+
 @register(
     "spec_set_match",
     f"""WITH {_SPECTRA}, g AS (SELECT id, list_transform([[1, 2], [2, 1]], lambda p: list_sum(list_transform([1, 2], lambda i: exp(-pow(h[i] - c[p[i]], 2) / 200)))) AS sums FROM spectra WHERE len(h) = 2 AND len(c) = 2)
@@ -245,6 +253,13 @@ def spec_set_match(spark, sf_dir):
     return rows.select("id", F.round(set_match_udf(10.0)("h", "c"), 6).alias("score"))
 
 
+@register("spec_set_match_whole")
+def spec_set_match_whole(spark, sf_dir):
+    from peakloom.functions.assignment import set_match_udf
+
+    return _spectra(spark, sf_dir).select("id", F.round(set_match_udf(10.0)("h", "c"), 6).alias("score"))
+
+
 @register("spec_similarity")
 def spec_similarity(spark, sf_dir):
     from peakloom.functions.assignment import similarity_udf
@@ -264,6 +279,11 @@ def spec_tolerance_single(spark, sf_dir):
     return rows.select("id", "m.matched", "m.score")
 
 
+@register("spec_tolerance_whole")
+def spec_tolerance_whole(spark, sf_dir):
+    return _spectra(spark, sf_dir).select("id", S.tolerance_match(F.col("h"), F.col("c"), 2.0).alias("m")).select("id", "m.*")
+
+
 @register("memory_recall")
 def memory_recall(spark, sf_dir):
     rows = _spectra(spark, sf_dir).select(F.col("id").alias("key"), F.pmod("id", F.lit(7)).cast("string").alias("formula"), "h", "c")

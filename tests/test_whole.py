@@ -165,3 +165,35 @@ def test_choices_of_all_sizes(spark, sf_dir, parts):
         assert [of[m].p_size for m in r.members] == sizes and sum(sizes) == 20
         assert len({of[m].p_brand for m in r.members}) == len(r.members)
     assert any(int(k) > 12 for r in found for k in r.combo.split("-"))
+
+
+def matchings(a, b):
+    """Every one-to-one matching of the smaller set into the larger, as pairs of places."""
+    if len(a) <= len(b):
+        return [list(enumerate(p)) for p in itertools.permutations(range(len(b)), len(a))]
+    return [[(i, j) for j, i in pairs] for pairs in matchings(b, a)]
+
+
+def test_set_match_whole(spark, sf_dir, spectra):
+    found = {r.id: r.score for r in rows_of(spark, sf_dir, "spec_set_match_whole")}
+    gain = lambda h, c: max(sum(math.exp(-((h[i] - c[j]) ** 2) / 200) for i, j in m) for m in matchings(h, c))
+    assert found == pytest.approx({k: gain(h, c) / math.sqrt(len(h) * len(c)) if h and c else 0.0 for k, (h, c) in spectra.items()}, abs=2e-6)
+
+
+def test_assign_cost_whole(spark, sf_dir, spectra):
+    found = {r.id: r for r in rows_of(spark, sf_dir, "spec_assign_cost_whole")}
+    assert set(found) == set(spectra)
+    for k, (h, c) in spectra.items():
+        r = found[k]
+        pairs = [(m["query"], m["predicted"]) for m in r.matched]
+        assert r.cost == pytest.approx(min(sum(abs(h[i] - c[j]) for i, j in m) for m in matchings(h, c)), abs=2e-6)
+        assert r.cost == pytest.approx(sum(abs(h[i] - c[j]) for i, j in pairs), abs=2e-6) and len(pairs) == min(len(h), len(c))
+        assert sorted([i for i, _ in pairs] + r.unmatched) == list(range(len(h))) and sorted([j for _, j in pairs] + r.unused) == list(range(len(c)))
+
+
+def test_tolerance_whole(spark, sf_dir, spectra):
+    found = {r.id: (r.matched, r.total, r.score) for r in rows_of(spark, sf_dir, "spec_tolerance_whole")}
+    assert set(found) == set(spectra)
+    for k, (h, c) in spectra.items():
+        matched, score = tolerance(h, c, 2.0)
+        assert found[k][:2] == (matched, len(h)) and found[k][2] == pytest.approx(score, abs=6e-5)
