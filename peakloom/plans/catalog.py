@@ -141,6 +141,20 @@ def vec_tanimoto(spark, sf_dir):
     return pairs.where((either > 0) & (2 * both >= either)).select("query_id", "vec_id", F.round(both / either, 6).alias("tanimoto"))
 
 
+@register("vec_tanimoto_whole")
+def vec_tanimoto_whole(spark, sf_dir):
+    """Bits of all components, in words of 32."""
+    bit = lambda at: F.when(F.try_element_at(F.col("vector"), at) > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+    word = lambda n: F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.lit(0).cast("long"), lambda s, i: s * 2 + bit((n * 32 + i + 1).cast("int")))
+    rows = _library(spark, sf_dir).where("vector IS NOT NULL").select("vec_id", F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("vector") / 32).cast("int"), F.lit(1)) - 1), word).alias("words"))
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("words").alias("own"))
+    zero = F.lit(0).cast("long")
+    ones = lambda join: F.aggregate(F.zip_with("own", "words", lambda a, b: F.bit_count(join(F.coalesce(a, zero), F.coalesce(b, zero)))), F.lit(0), lambda s, n: s + n)
+    width = asked.agg(F.max(8 * F.size("own"))).first()[0] or 8
+    counted = retrieval.met(asked, rows, 16 + width).where("query_id <> vec_id").select("query_id", "vec_id", ones(lambda a, b: a.bitwiseAND(b)).alias("both"), ones(lambda a, b: a.bitwiseOR(b)).alias("either"))
+    return counted.where("either > 0 AND 2 * both >= either").select("query_id", "vec_id", F.round(F.col("both") / F.col("either"), 6).alias("tanimoto"))
+
+
 # -- spectra ----------------------------------------------------------------------------------------------------
 
 
@@ -573,6 +587,12 @@ def bm25_batch(spark, sf_dir):
     return _bm25(spark, sf_dir, asked, 5)
 
 
+@register("bm25_batch_whole")
+def bm25_batch_whole(spark, sf_dir):
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.query_terms(F.col("text"), 1000).alias("terms"))
+    return _bm25(spark, sf_dir, asked, 5)
+
+
 @register("text_stats", f"SELECT lang, count(*) AS n, round(avg(len({_TOKENS.format('text')})), 6) AS mean_dl, max(len({_TOKENS.format('text')})) AS most FROM documents GROUP BY lang")
 def text_stats(spark, sf_dir):
     n = F.size(T.tokens(F.col("text"))).cast("long")
@@ -799,8 +819,9 @@ def trace_pairs(spark, sf_dir):
 _STATE = "CASE WHEN role = 'user' THEN substr(text, 1, 20) END AS asked, CASE WHEN role = 'assistant' THEN substr(text, 1, 20) END AS said"
 
 
-def _turns(spark, sf_dir):
-    part = lambda role: F.when(F.col("role") == role, F.substring("text", 1, 20))
+def _turns(spark, sf_dir, most: int | None = 20):
+    text = F.col("text") if most is None else F.substring("text", 1, most)
+    part = lambda role: F.when(F.col("role") == role, text)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", part("user").alias("asked"), part("assistant").alias("said"))
 
 
@@ -811,6 +832,13 @@ def session_state(spark, sf_dir):
     return traces.running(_turns(spark, sf_dir), "conv_id", ["turn"], ["asked", "said"])
 
 
+@register("session_state_whole")
+def session_state_whole(spark, sf_dir):
+    from peakloom.streaming import traces
+
+    return traces.running(_turns(spark, sf_dir, None), "conv_id", ["turn"], ["asked", "said"])
+
+
 @register("session_latest", f"SELECT conv_id, count(*) AS turns, arg_max(asked, turn) AS asked, arg_max(said, turn) AS said FROM (SELECT conv_id, turn, {_STATE} FROM conversations) GROUP BY 1")
 def session_latest(spark, sf_dir):
     from peakloom.streaming import traces
@@ -818,6 +846,13 @@ def session_latest(spark, sf_dir):
     return traces.latest(_turns(spark, sf_dir), "conv_id", ["turn"], ["asked", "said"])
 
 
+@register("session_latest_whole")
+def session_latest_whole(spark, sf_dir):
+    from peakloom.streaming import traces
+
+    return traces.latest(_turns(spark, sf_dir, None), "conv_id", ["turn"], ["asked", "said"])
+
+
 @register("session_recent", "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 3")
 def session_recent(spark, sf_dir):
     from peakloom.streaming import traces

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -197,3 +198,56 @@ def test_tolerance_whole(spark, sf_dir, spectra):
     for k, (h, c) in spectra.items():
         matched, score = tolerance(h, c, 2.0)
         assert found[k][:2] == (matched, len(h)) and found[k][2] == pytest.approx(score, abs=6e-5)
+
+
+def read(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").collect()
+
+
+def words(text):
+    return re.findall("[a-z0-9]+", (text or "").lower())
+
+
+def test_bm25_batch_whole(spark, sf_dir):
+    docs = {d.doc_id: Counter(words(d.text)) for d in read(spark, sf_dir, "documents")}
+    df, size = Counter(w for c in docs.values() for w in c), {k: sum(c.values()) for k, c in docs.items()}
+    mean, n = sum(size.values()) / len(docs), len(docs)
+    found = defaultdict(list)
+    for r in sorted(rows_of(spark, sf_dir, "bm25_batch_whole"), key=lambda r: (r.query_id, r.rank)):
+        found[r.query_id].append((r.doc_id, r.score))
+    items = read(spark, sf_dir, "benchmark")
+    assert any(len(i.text) > 80 for i in items)
+    for i in items:
+        scores = defaultdict(float)
+        for w in list(dict.fromkeys(words(i.text)))[:1000]:
+            idf = max(math.log((n - df[w] + 0.5) / (df[w] + 0.5)), 0) or 1e-6
+            for k, c in docs.items():
+                if c[w]:
+                    scores[k] += idf * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * size[k] / mean))
+        assert [s for _, s in found[i.item_id]] == pytest.approx(sorted(scores.values(), reverse=True)[:5], abs=2e-6)
+        assert all(scores[k] == pytest.approx(s, abs=2e-6) for k, s in found[i.item_id])
+
+
+def test_session_texts_whole(spark, sf_dir):
+    threads = defaultdict(list)
+    for r in read(spark, sf_dir, "conversations"):
+        threads[r.conv_id].append(r)
+    state, last = {}, {}
+    for k, turns in threads.items():
+        held = {"user": None, "assistant": None}
+        for r in sorted(turns, key=lambda r: r.turn):
+            if r.text is not None:
+                held[r.role] = r.text
+            state[k, r.turn] = held["user"], held["assistant"]
+        last[k] = len(turns), held["user"], held["assistant"]
+    assert any(len(x or "") > 20 for v in state.values() for x in v)
+    assert {(r.conv_id, r.turn): (r.asked, r.said) for r in rows_of(spark, sf_dir, "session_state_whole")} == state
+    assert {r.conv_id: (r.turns, r.asked, r.said) for r in rows_of(spark, sf_dir, "session_latest_whole")} == last
+
+
+def test_tanimoto_whole(spark, sf_dir):
+    bits = {r.vec_id: {i for i, x in enumerate(r.embedding) if x > 0} for r in read(spark, sf_dir, "embeddings")}
+    pairs = {(q, k): (len(a & b), len(a | b)) for q, a in bits.items() if q % 100 == 0 for k, b in bits.items() if k != q}
+    want = {p: both / either for p, (both, either) in pairs.items() if either and 2 * both >= either}
+    assert {(r.query_id, r.vec_id): r.tanimoto for r in rows_of(spark, sf_dir, "vec_tanimoto_whole")} == pytest.approx(want, abs=2e-6)
+    assert any(i >= 32 for b in bits.values() for i in b)
