@@ -7,8 +7,10 @@ continuation counts of three, two and one symbols that both classes share, so th
 just one has and rarely, say little. The difference of the two log-likelihoods, by symbol, is one table of the runs seen.
 
 The score is a logistic function of the difference per symbol over the whole text and of its highest mean over ``window``
-symbols. The function is fitted on a sample of at most about ``fit_rows`` labelled rows, which the counts leave out; counts
-cover all other labelled rows and are summed in map tasks. There are at most 64^4 runs, whatever the corpus is.
+symbols. Counts cover all labelled rows and are summed in map tasks. The function is fitted on a sample of at most about
+``fit_rows`` of them, drawn by label, with the differences that the rows outside the sample give; a label too rare for its share
+has up to ``FIT_LEAST`` rows in the sample, half of its rows at most, that weigh as much as its share. If a label has
+no row outside, all counts serve. There are at most 64^4 runs, whatever the corpus is.
 
 Defined cases: null is the empty text, and gets the score that the fit has for no evidence; rows with a null id or no label
 are never learned from; of repeated labels the largest holds; without rows of both classes every score is 0.
@@ -20,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakloom.llm.common import by_batch, crc_of, fresh, pieces
 
 SYMBOLS, ORDER, DISCOUNT, WINDOW, FIT_ROWS, FIT_SHARE, THRESHOLD = 64, 4, 0.75, 10, 20_000, 0.25, 0.7
+FIT_LEAST, _DRAWS = 50, 1 << 30
 _BITS = 6
 _SYMBOL = np.array([c - 96 if 97 <= c <= 122 else c - 64 if 65 <= c <= 90 else 27 if 48 <= c <= 57 else 28 + c % 36 if c >= 128 else 0 for c in range(256)], np.int32)
 
@@ -46,14 +49,14 @@ def grams(s: np.ndarray, order: int = ORDER) -> np.ndarray:
 
 
 def _counts(rows: DataFrame) -> DataFrame:
-    """(toxic, gram, documents) of rows (toxic, text), summed by task and then over all."""
+    """(part, gram, documents) of rows (part, text), summed by task and then over all; parts are 0 to 3."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         label = batch.column(0).to_numpy(zero_copy_only=False)
-        parts: dict[int, list] = {0: [], 1: []}
+        parts: dict[int, list] = {y: [] for y in range(4)}
         for part in pieces(batch, "text"):
             seen = part.column(0).to_pylist()
-            for y in (0, 1):
+            for y in parts:
                 if found := [np.unique(grams(symbols(t.as_buffer()))) for t, z in zip(part.column(1), seen, strict=True) if z == y and t.is_valid]:
                     parts[y].append(np.unique(np.concatenate(found), return_counts=True))
         if not len(label):
@@ -65,9 +68,9 @@ def _counts(rows: DataFrame) -> DataFrame:
                 out.append((np.full(len(keys), y), keys, np.bincount(where, np.concatenate([n for _, n in found])).astype(np.int64)))
         if not out:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["toxic", "gram", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["part", "gram", "n"])
 
-    return by_batch(rows.select("toxic", "text"), work, "toxic int, gram int, n long").groupBy("toxic", "gram").agg(F.sum("n").alias("n"))
+    return by_batch(rows.select("part", "text"), work, "part int, gram int, n long").groupBy("part", "gram").agg(F.sum("n").alias("n"))
 
 
 def _interpolated(keys: np.ndarray, counts: np.ndarray, lower: np.ndarray, discount: float) -> np.ndarray:
@@ -122,14 +125,14 @@ class Model:
     def score(self, mean: np.ndarray, peak: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(_design(mean, peak) @ self.weights, -30, 30)))
 
-    def fit(self, mean: np.ndarray, peak: np.ndarray, label: np.ndarray, ridge: float = 1e-2) -> None:
+    def fit(self, mean: np.ndarray, peak: np.ndarray, label: np.ndarray, ridge: float = 1e-2, weight: np.ndarray | float = 1.0) -> None:
         """Iteratively reweighted least squares with a small ridge; evidence for a toxic text never lowers its score."""
         x, active = _design(mean, peak), [0, 1, 2, 3]
         while True:
             part, w = x[:, active], np.zeros(len(active))
             for _ in range(50):
                 p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
-                step = np.linalg.solve(part.T @ (part * (p * (1 - p))[:, None]) + ridge * np.eye(len(w)), part.T @ (label - p) - ridge * w)
+                step = np.linalg.solve(part.T @ (part * (weight * p * (1 - p))[:, None]) + ridge * np.eye(len(w)), part.T @ (weight * (label - p)) - ridge * w)
                 w += step
                 if np.abs(step).max() < 1e-8:
                     break
@@ -149,31 +152,54 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.pmod(crc_of(key), F.lit(3)) == 1, F.lit(False))
 
 
+def _draw() -> Column:
+    return F.pmod(F.xxhash64(F.lit("fit"), F.col("key").cast("string")), F.lit(_DRAWS))
+
+
+def _drawn(labelled: DataFrame, fit_rows: int) -> tuple[list[int], list[float]]:
+    """For both labels of rows (key, toxic): the bound of the draws in the sample, and the weight of its rows."""
+    n = {r.toxic: r.n for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = min(FIT_SHARE, fit_rows / max(sum(n.values()), 1))
+    limit, weight = [int(np.ceil(share * _DRAWS))] * 2, [1.0, 1.0]
+    for y in (0, 1):
+        if not 0 < (expected := share * n.get(y, 0)) < 4 * FIT_LEAST:
+            continue
+        # Few enough to be drawn exactly: the smallest draws of the label.
+        rows = max(round(expected), min(FIT_LEAST, -(-n[y] // 2)))
+        nth = F.row_number().over(Window.partitionBy("toxic").orderBy("draw", "key"))
+        draws = labelled.where(F.col("toxic") == y).select("toxic", "key", _draw().alias("draw")).withColumn("nth", nth).where(F.col("nth") <= rows)
+        limit[y], weight[y] = draws.agg(F.max("draw")).first()[0] + 1, expected / rows
+    return limit, weight
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label_key: str = "doc_id", label: str = "toxic", *, fit_rows: int = FIT_ROWS, window: int = WINDOW) -> Model:
     """The model from the rows that are not held out. Texts are joined with their labels on the key, in two passes: counts, and the sample's features."""
     known = labels.where(F.col(label).isNotNull() & F.col(label_key).isNotNull()).groupBy(F.col(label_key).alias("key")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
     # One plan at every size: both sides are sorted by key, and nothing that grows with the labels is broadcast.
     known = known.where(~held_out(F.col("key")) & F.col("toxic").isin(0, 1))
-    drawn = F.pmod(F.xxhash64(F.lit("fit"), F.col("key").cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    rows = known.count()
-    share = min(FIT_SHARE, fit_rows / max(rows, 1))
     texts = docs.where(~held_out(F.col(key))).select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
-    found = _counts(texts.where(drawn >= share).join(known.where(drawn >= share).hint("merge"), "key")).toPandas()
+    limit, weight = _drawn(known.join(texts.select("key").hint("merge"), "key", "leftsemi"), fit_rows)
+    inside = _draw() < F.when(F.col("toxic") == 1, limit[1]).otherwise(limit[0])
+    found = _counts(texts.join(known.withColumn("part", F.col("toxic") + 2 * inside.cast("int")).hint("merge"), "key")).toPandas()
     keys, where = np.unique(found["gram"].to_numpy(np.int64), return_inverse=True)
-    counts = [np.bincount(where[(y := found["toxic"].to_numpy() == k)], found["n"].to_numpy(float)[y], len(keys)) for k in (0, 1)]
+    parts = [np.bincount(where[(y := found["part"].to_numpy() == k)], found["n"].to_numpy(float)[y], len(keys)) for k in range(4)]
+    counts = [parts[0] + parts[2], parts[1] + parts[3]]
     if not all(c.sum() for c in counts):
         return Model(np.zeros(0, np.int64), np.zeros(0), window)
-    model = Model(keys.astype(np.int32), differences(keys, *counts), window)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    model = others = Model(keys.astype(np.int32), differences(keys, *counts), window)
+    if parts[0].any() and parts[1].any():
+        seen = parts[0] + parts[1] > 0
+        others = Model(keys[seen].astype(np.int32), differences(keys[seen], parts[0][seen], parts[1][seen]), window)
+    sent = docs.sparkSession.sparkContext.broadcast(others)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         f = [sent.value.features(t.as_buffer() if t.is_valid else None) for t in batch.column(1)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in f]), pa.array([b for _, b in f])], names=["toxic", "mean", "peak"])
 
-    sample = texts.where(drawn < share).join(known.where(drawn < share).hint("merge"), "key").select("toxic", "text")
+    sample = texts.where(_draw() < max(limit)).join(known.where(inside).hint("merge"), "key").select("toxic", "text")
     fitted = by_batch(sample, work, "toxic int, mean double, peak double").orderBy("mean", "peak", "toxic").toPandas()
     if fitted["toxic"].nunique() == 2:
-        model.fit(fitted["mean"].to_numpy(), fitted["peak"].to_numpy(), fitted["toxic"].to_numpy(float))
+        model.fit(fitted["mean"].to_numpy(), fitted["peak"].to_numpy(), fitted["toxic"].to_numpy(float), weight=np.array(weight)[fitted["toxic"].to_numpy()])
     return model
 
 

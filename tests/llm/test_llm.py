@@ -308,6 +308,33 @@ def test_toxicity(spark, none):
     assert {x.score for x in toxicity.scan(docs, toxicity.train(docs, labels.where("false"))).collect()} == {0.0}
 
 
+def plain_words(n, toxic):
+    r = random.Random(5)
+    syllables = ["on", "er", "th", "an", "re", "in", "ou", "ha", "le"]
+    free = [i for i in range(2 * n) if zlib.crc32(str(i).encode()) % 3 != 1][:n]
+    bad = set(free[:: n // toxic][:toxic])
+    return bad, [(i, " ".join("".join(r.choice(syllables) for _ in range(3)) for _ in range(20)) + (" zubok quaxit frizmug zubok quaxit" if i in bad else ""), int(i in bad)) for i in free]
+
+
+def test_toxicity_counts_all_rows(spark):
+    _, rows = plain_words(60, 20)
+    rows = [(i, f"{t} {chr(97 + i % 26)}{chr(97 + i // 26)}qz", y) for i, t, y in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs.drop("toxic"), docs.drop("text"))
+    assert {int(g) for _, t, _ in rows for g in toxicity.grams(toxicity.symbols(t.encode()))} == set(model.keys.tolist())
+
+
+@pytest.mark.parametrize("toxic", [1, 2, 3, 5])
+def test_toxicity_with_rare_labels(spark, toxic):
+    bad, rows = plain_words(300, toxic)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs.drop("toxic"), docs.drop("text"))
+    score = {r.doc_id: r.score for r in toxicity.scan(docs, model).collect()}
+    assert model.weights.any() and min(score[i] for i in bad) > max(x for i, x in score.items() if i not in bad)
+    marked = {i for i, x in score.items() if x >= toxicity.THRESHOLD}
+    assert bad <= marked and len(marked - bad) <= 0.01 * len(rows)
+
+
 def test_kneser_ney_is_a_distribution():
     r = np.random.default_rng(0)
     text = bytes(r.choice(list(b"abcd efg"), 3000).astype(np.uint8))
