@@ -13,8 +13,8 @@ computed exactly from the vectors; at most k rows of a block leave it for each q
 Queries come in chunks of at most ``chunk`` to the driver and to all blocks; each chunk is one pass over the index, which
 is written to the shared folder if there is more than one. All rows are indexed and looked at: recall is 1.
 
-Defined cases: vectors that are null or hold null or non-finite components, or whose components reach 2^26 when scaled,
-take no part, nor do null ids; only vectors of equal length are compared; rows that share a query's id aren't its candidates; a
+Defined cases: vectors that are null or hold null or non-finite components take no part, nor do null ids; a finite component
+that reaches 2^26 when scaled ends the job with an error, since its scores could leave 64 bits; only vectors of equal length are compared; rows that share a query's id aren't its candidates; a
 repeated query is one; repeated candidates each count.
 """
 
@@ -37,8 +37,9 @@ INDEX = "dimensions int, bits int, ids binary, base binary, slices binary, vecto
 def quantised(rows: DataFrame, key: str, vector: str, scale: int = SCALE) -> DataFrame:
     """(id, v): the vectors that take part, as arrays of floor(scale * x)."""
     x = F.col(vector).cast("array<double>")
-    fits = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < LARGEST / scale))
-    return rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & fits).select(F.col(key).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c * scale)).alias("v"))
+    finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    whole = lambda c: F.when(F.abs(c) < LARGEST / scale, F.floor(c * scale)).otherwise(F.raise_error(F.lit(f"a component of {LARGEST // scale} or more in absolute value")).cast("long"))
+    return rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & finite).select(F.col(key).cast("long").alias("id"), F.transform(x, whole).alias("v"))
 
 
 def _packed(flags: np.ndarray) -> np.ndarray:

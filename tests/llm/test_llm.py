@@ -276,6 +276,16 @@ def test_topk(spark, block, chunk, batch):
     assert bitslices.search(table.where("false"), table, 5, "vec_id", "embedding").count() == 0
 
 
+@pytest.mark.parametrize("large", [262144.0, -1e30])
+def test_topk_of_large_components(spark, large):
+    rows = lambda x: spark.createDataFrame([(1, [1.0, 2.0]), (2, [262143.0, -262143.0]), (3, [x, 0.0])], "vec_id long, embedding array<double>")
+    for asked in ("vec_id = 1", "vec_id = 3"):
+        with pytest.raises(Exception, match="a component of 262144 or more"):
+            bitslices.search(rows(large).where(asked), rows(large), 5, "vec_id", "embedding").collect()
+        found = bitslices.search(rows(math.inf).where("vec_id = 1"), rows(math.inf), 5, "vec_id", "embedding").collect()
+    assert [(r.vec_id, r.score) for r in found] == [(2, 256 * 262143 * 256 - 512 * 262143 * 256)]
+
+
 # -- 6 ------------------------------------------------------------------------------------------------------------
 
 
