@@ -1,17 +1,22 @@
 """License scan as an exact set-similarity join of word blocks with templates; DataFrame functions only.
 
 Blocks are windows of 64 words, one every 32, so that any 33 words in a row stand in one of them. A block meets a
-template if it holds at least ``threshold`` of the template's distinct words. Words of templates are ordered by the number
-of blocks that hold them, over all blocks, rare ones first. A block that meets the threshold must hold one of the first
-|T| - need + 1 words of T in that order (prefix), hold need words of templates at all (length), and have enough words
-left after the first shared one on both sides (position); only blocks that pass all three are compared in full.
-
-The templates are a fixed list, so that the inner side of the join is an array literal of known size: the join needs no
-shuffle, and a word that stands in a third of all rows costs nothing beyond its rows. The counts that set the order are
-summed in map tasks; one row for each template word comes to the driver.
+template if it holds at least ``threshold`` of the template's distinct words.
+
+1. One pass over the texts writes, for each row, its base columns and its words of templates, as numbers, for every
+   half block of 32 words. Nothing after it reads a text.
+2. The template words are ordered by the number of half blocks that hold them, over all rows, rare ones first; the counts
+   are summed in map tasks, and one row for each template word comes to the driver.
+3. Inverted join: a block that meets the threshold must hold one of the first |T| - need + 1 words of T in that order
+   (prefix). Blocks are exploded to their prefix words, which meet the templates that have them there by an equal join; only
+   blocks with enough template words come so far (length). A pair is kept at its first shared word alone, if enough words are left after it
+   on both sides (position), and what passes is compared in full.
+4. Matches join back by the row's number, which is unique, so no license, however many rows carry it, is a hot key. The
+   templates are the caller's list, so the side that is broadcast has a row for each prefix word of a literal.
 
 Defined cases: null is the empty text, with no words, labels or places and score 0; repeated rows and ids are each scanned
-as they stand; any length of text is scanned whole.
+as they stand; an empty table gives no rows; any length of text is scanned whole; columns beside key and text are not read, whatever
+their names. A template of over 33 words, or of none, is refused, since no block need hold it whole.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import PLAIN, lowered
+from peakloom.llm.common import PLAIN, durable, lowered
 
 THRESHOLD, WIDTH = 0.85, 64
 #: Phrases that name a license, and openings of license notices.
@@ -47,74 +52,71 @@ def _strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
-def _words(docs: DataFrame, text: str, others: list[Column]) -> DataFrame:
-    low = docs.select(*others, lowered(F.coalesce(F.col(text), F.lit(""))).alias("low_"))
-    return low.withColumns({"words_": F.regexp_extract_all("low_", F.lit(PLAIN), F.lit(0)), "named_": F.contains("low_", F.lit("license"))}).drop("low_")
-
-
-def _blocks(vocabulary: list[str], width: int) -> Column:
-    """For each block, the words of templates that it holds, in the order of the vocabulary."""
-    step, ordered = width // 2, _strings(vocabulary)
-    last = F.greatest(F.ceil((F.size("words_") - step) / step) - 1, F.lit(0)).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.array_intersect(ordered, F.slice("words_", i * step + 1, width)))
+def _vocabulary(templates) -> list[str]:
+    return sorted({w for _, t in templates for w in t.split()})
 
 
-def ordered_vocabulary(docs: DataFrame, text: str = "text", templates=TEMPLATES, width: int = WIDTH) -> list[str]:
-    """The distinct words of the templates, those in the fewest blocks first, ties by code point."""
-    vocabulary = sorted({w for _, t in templates for w in t.split()})
-    held = _words(docs, text, []).select(F.explode(F.flatten(_blocks(vocabulary, width))).alias("word"))
-    counts = {r["word"]: r["n"] for r in held.groupBy("word").agg(F.count("*").alias("n")).collect()}
-    return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
+def _places() -> Column:
+    """(start, label) of the phrases in words_, in order."""
 
-
-def _matches(vocabulary: list[str], templates, threshold: float, width: int) -> Column:
-    """array<struct<label, score>> of the pairs of block and template that meet the threshold."""
-    place = {w: i for i, w in enumerate(vocabulary)}
-    known, prefixes, least = [], set(), math.inf
+    def here(w: Column, i: Column) -> Column:
+        found = F.lit(None).cast("struct<start:bigint,label:string>")
+        for label, phrase in PHRASES:
+            ends = w == phrase[-1]
+            for back, word in enumerate(reversed(phrase[:-1]), 1):
+                ends = ends & (F.get("words_", i - back) == word)
+            found = F.when(ends, F.struct((i - (len(phrase) - 1)).cast("long").alias("start"), F.lit(label).alias("label"))).otherwise(found)
+        return found
+
+    return F.array_compact(F.transform("words_", here))
+
+
+def halves(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEMPLATES, width: int = WIDTH) -> DataFrame:
+    """(row, key, n_words, places, halves): for each half block of a text the numbers of the template words in it, written once."""
+    vocabulary, half = _vocabulary(templates), width // 2
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), lowered(F.coalesce(F.col(text), F.lit(""))).alias("low_"))
+    rows = rows.select("row", "key", F.regexp_extract_all("low_", F.lit(PLAIN), F.lit(0)).alias("words_"), F.contains("low_", F.lit("license")).alias("named_"))
+    number = lambda w: F.array_position(_strings(vocabulary), w).cast("short")
+    held = lambda i: F.array_distinct(F.transform(F.filter(F.slice("words_", i * half + 1, half), lambda w: w.isin(vocabulary)), number))
+    last = F.greatest(F.ceil(F.size("words_") / half) - 1, F.lit(0)).cast("int")
+    places = F.when(F.col("named_"), _places())
+    return durable(rows.select("row", "key", F.size("words_").cast("long").alias("n_words"), places.alias("places"), F.transform(F.sequence(F.lit(0), last), held).alias("halves")), "halves")
+
+
+def ordered_vocabulary(held: DataFrame, templates=TEMPLATES) -> list[str]:
+    """The distinct words of the templates, those in the fewest half blocks first, ties by code point."""
+    vocabulary = _vocabulary(templates)
+    words = held.select(F.explode("halves").alias("half")).select(F.explode("half").alias("word"))
+    counts = {r["word"]: r["n"] for r in words.groupBy("word").agg(F.count("*").alias("n")).collect()}
+    return sorted(vocabulary, key=lambda w: (counts.get(vocabulary.index(w) + 1, 0), w))
+
+
+def matched(held: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """(row, matches): the distinct (label, score) of the pairs of block and template that meet the threshold."""
+    vocabulary, order = _vocabulary(templates), ordered_vocabulary(held, templates)
+    rank = {w: i for i, w in enumerate(order)}
+    posted, prefixes, least = [], set(), math.inf
     for label, notice in templates:
-        tokens = sorted(set(notice.split()), key=place.__getitem__)
+        tokens = sorted(rank[w] for w in set(notice.split()))
         need = math.ceil(threshold * len(tokens) - 1e-9)
-        prefix = tokens[: len(tokens) - need + 1]
-        prefixes |= set(prefix)
-        least = min(least, need)
-        known.append(F.struct(F.lit(label).alias("label"), F.lit(need).alias("need"), _strings(tokens).alias("tokens"), _strings(prefix).alias("prefix")))
-    possible = F.filter(_blocks(vocabulary, width), lambda b: (F.size(b) >= least) & F.arrays_overlap(b, _strings(sorted(prefixes))))
-
-    def compared(block: Column) -> Column:
-        def passes(t: Column) -> Column:
-            first = F.get(F.array_intersect(t["prefix"], block), 0)
-            left = F.least(F.size(t["tokens"]) - F.array_position(t["tokens"], first), F.size(block) - F.array_position(block, first))
-            return (F.size(block) >= t["need"]) & F.arrays_overlap(t["prefix"], block) & (left + 1 >= t["need"])
-
-        shared = lambda t: F.size(F.array_intersect(t["tokens"], block))
-        full = F.filter(F.filter(F.array(*known), passes), lambda t: shared(t) >= t["need"])
-        return F.transform(full, lambda t: F.struct(t["label"].alias("label"), (shared(t) / F.size(t["tokens"])).alias("score")))
-
-    return F.flatten(F.transform(possible, compared))
-
-
-def _phrases() -> Column:
-    """One pass over the words with the two before: number of phrases, smallest and largest start, and which."""
-    start = F.struct(
-        F.lit(0).cast("long").alias("i"), F.lit("").alias("one"), F.lit("").alias("two"), F.lit(0).cast("long").alias("n"),
-        F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"), *[F.lit(False).alias(label) for label, _ in PHRASES],
-    )
-
-    def step(s: Column, w: Column) -> Column:
-        back = (w, s["one"], s["two"])
-        found, begin = {}, F.lit(None).cast("long")
-        for label, phrase in PHRASES:
-            here = F.lit(True)
-            for k, word in enumerate(reversed(phrase)):
-                here = here & (back[k] == word)
-            found[label] = here
-            begin = F.when(here, s["i"] - (len(phrase) - 1)).otherwise(begin)
-        return F.struct(
-            (s["i"] + 1).alias("i"), w.alias("one"), s["one"].alias("two"), (s["n"] + begin.isNotNull().cast("long")).alias("n"),
-            F.coalesce(s["first"], begin).alias("first"), F.coalesce(begin, s["last"]).alias("last"), *[(s[k] | v).alias(k) for k, v in found.items()],
-        )
-
-    return F.aggregate("words_", start, step)
+        listed = F.array(*[F.lit(t) for t in tokens]).alias("tokens")
+        for i in range(len(tokens) - need + 1):
+            posted.append(F.struct(F.lit(tokens[i]).alias("word"), F.lit(i).alias("nth"), F.lit(label).alias("label"), F.lit(need).alias("need"), listed))
+        prefixes, least = prefixes | set(tokens[: len(tokens) - need + 1]), min(least, need)
+    index = held.sparkSession.range(1).select(F.inline(F.array(*posted)))
+    ranks = F.array(*[F.lit(rank[w]) for w in vocabulary])
+    numbers = F.array_union(F.col("half"), F.coalesce(F.get("halves", F.col("at") + 1), F.array().cast("array<smallint>")))
+    # The last half is the second one of its block, unless it is the only one.
+    blocks = held.select("row", "halves", F.posexplode("halves").alias("at", "half")).where((F.col("at") == 0) | (F.col("at") < F.size("halves") - 1))
+    blocks = blocks.select("row", "at", F.sort_array(F.transform(numbers, lambda n: F.get(ranks, n - 1))).alias("block")).where(F.size("block") >= least)
+    probes = blocks.select("row", "block", F.explode(F.array_intersect("block", F.array(*[F.lit(p) for p in sorted(prefixes)]))).alias("word"))
+    pairs = probes.join(F.broadcast(index), "word").where(F.size("block") >= F.col("need"))
+    first = ~F.arrays_overlap(F.slice("tokens", 1, F.col("nth")), "block")
+    left = F.least(F.size("tokens") - F.col("nth"), F.size("block") - F.array_position("block", F.col("word")) + 1)
+    pairs = pairs.where(first & (left >= F.col("need")))
+    shared = F.size(F.array_intersect("tokens", "block"))
+    found = pairs.withColumn("shared", shared).where("shared >= need").select("row", F.struct("label", (F.col("shared") / F.size("tokens")).alias("score")).alias("match"))
+    return found.groupBy("row").agg(F.sort_array(F.collect_set("match")).alias("matches"))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", *, templates=TEMPLATES, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
@@ -122,17 +124,17 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", *, templates=
 
     The score is the largest containment that meets the threshold, 1 where a phrase stands, else 0.
     """
-    vocabulary = ordered_vocabulary(docs, text, templates, width)
-    rows = _words(docs, text, [F.col(key).alias("key_")])
-    rows = rows.select(
-        "key_", F.size("words_").cast("long").alias("n_words"), F.when(F.col("named_"), _phrases()).alias("base_"),
-        F.array_distinct(_matches(vocabulary, templates, threshold, width)).alias("matches"),
-    )
-    base = F.array_compact(F.array(*[F.when(F.col(f"base_.{label}"), F.lit(label)) for label, _ in PHRASES]))
-    rows = rows.withColumns({"n_base": F.coalesce("base_.n", F.lit(0).cast("long")), "own_": base})
+    for label, notice in templates:
+        if not 0 < len(notice.split()) <= width // 2 + 1:
+            raise ValueError(f"a template of {label} has {len(notice.split())} words; blocks of {width} words hold up to {width // 2 + 1} whole")
+    held = halves(docs, key, text, templates, width)
+    matches = durable(matched(held, templates, threshold), "matches")
+    rows = held.select("row", "key", "n_words", F.coalesce("places", F.array().cast("array<struct<start:bigint,label:string>>")).alias("places")).join(matches, "row", "left")
+    none = F.array().cast("array<struct<label:string,score:double>>")
+    rows = rows.withColumns({"n_base": F.size("places").cast("long"), "own": F.col("places.label"), "matches": F.coalesce("matches", none)})
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     return rows.select(
-        F.col("key_").alias(key), "n_words", "n_base", F.col("base_.first").alias("first_word"), F.col("base_.last").alias("last_word"),
-        joined(F.col("own_")).alias("base_labels"), joined(F.concat("own_", F.col("matches.label"))).alias("labels"),
+        F.col("key").alias(key), "n_words", "n_base", F.get("places", F.lit(0))["start"].alias("first_word"), F.get("places", F.size("places") - 1)["start"].alias("last_word"),
+        joined(F.col("own")).alias("base_labels"), joined(F.concat("own", F.col("matches.label"))).alias("labels"),
         F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce(F.array_max("matches.score"), F.lit(0.0))).alias("score"), "matches",
     )
