@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words between ASCII white space; and words of letters and digits, where every code point from U+0080 counts as a letter.
 SPACED, PLAIN = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between PLAIN words; cutting at it is several times faster on the JVM than matching the words.
+PLAIN_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _TO_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _TO_PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 

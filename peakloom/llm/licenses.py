@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import PLAIN, durable, lowered
+from peakloom.llm.common import PLAIN_GAP, durable, lowered
 
 THRESHOLD, WIDTH = 0.85, 64
 #: Phrases that name a license, and openings of license notices.
@@ -75,7 +75,7 @@ def halves(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=T
     """(row, key, n_words, places, halves): for each half block of a text the numbers of the template words in it, written once."""
     vocabulary, half = _vocabulary(templates), width // 2
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), lowered(F.coalesce(F.col(text), F.lit(""))).alias("low_"))
-    rows = rows.select("row", "key", F.regexp_extract_all("low_", F.lit(PLAIN), F.lit(0)).alias("words_"), F.contains("low_", F.lit("license")).alias("named_"))
+    rows = rows.select("row", "key", F.array_remove(F.split("low_", PLAIN_GAP), "").alias("words_"), F.contains("low_", F.lit("license")).alias("named_"))
     number = lambda w: F.array_position(_strings(vocabulary), w).cast("short")
     held = lambda i: F.array_distinct(F.transform(F.filter(F.slice("words_", i * half + 1, half), lambda w: w.isin(vocabulary)), number))
     last = F.greatest(F.ceil(F.size("words_") / half) - 1, F.lit(0)).cast("int")
