@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -49,12 +51,14 @@ def crc_of(key: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one, for one machine, only where none is set."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir; where none is set, a temporary one if all runs on this machine."""
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
     known = spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
         known = spark.sparkContext.getCheckpointDir()
     return known.rstrip("/")
@@ -63,12 +67,26 @@ def shared_dir(spark: SparkSession) -> str:
 def durable(df: DataFrame, name: str) -> DataFrame:
     """The rows written to a table in the shared folder and read again: computed once, and not lost with an executor.
 
-    The folder stays until the cluster clears spark.checkpoint.dir, since results that are read lazily may need it.
+    The table stays until ``removed`` takes it away, or the cluster clears spark.checkpoint.dir: results that are read lazily may need it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(table)] = (weakref.ref(table, lambda _, key=id(table): _WRITTEN.pop(key, None)), path)
+    return table
+
+
+_WRITTEN: dict[int, tuple] = {}
+
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes tables that ``durable`` has written; nothing that is still to be computed may read them."""
+    for table in tables:
+        if (known := _WRITTEN.pop(id(table), None)) is not None:
+            context = table.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(known[1])
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def by_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
@@ -111,59 +129,36 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Rolling:
-    """Polynomial hashes modulo 2^64 of any range of a sequence, from prefix sums; the base is odd and so has an inverse."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 1 << 16)
-            for name, b in (("up", self.base), ("down", self.inverse)):
-                steps = np.full(n, b, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
-
-    def ranges(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The hash of values[start:end] for each pair; equal ranges get equal hashes wherever they stand."""
-        self._powers(len(values) + 1)
-        sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * self.up[: len(values)], dtype=np.uint64, out=sums[1:])
-        return mixed((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+class _Hashes(dict):
+    """64-bit BLAKE2b hashes of words, kept for as many short words as fit."""
 
+    def __init__(self, most: int = 1 << 18, longest: int = 64):
+        self.most, self.longest = most, longest
 
-_BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_LOWERED = np.frombuffer(_TO_LOWER, np.uint8)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_WORD = Rolling(0x2545F4914F6CDD1D)
+    def __missing__(self, word: bytes) -> int:
+        found = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = found
+        return found
 
 
-def word_ranges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words between white space in an array of bytes."""
-    if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = np.concatenate(([False], ~_SPACE[data], [False]))
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    return edges[::2], edges[1::2]
+_HASHES = _Hashes()
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def hashes_of(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash for each word, the same in every process."""
-    return _WORD.ranges(_BYTES[data], starts, ends)
+    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
 def text_hashes(text: bytes | pa.Buffer | None, lower: bool) -> np.ndarray:
     """The hashes of a text's words, in order."""
-    data = np.frombuffer(text or b"", np.uint8)
-    data = _LOWERED[data] if lower else data
-    return word_hashes(data, *word_ranges(data))
+    return hashes_of(spaced_words(bytes(text) if text else b"", lower))
 
 
 def runs(hashes: np.ndarray, size: int) -> np.ndarray:
-    """A hash for every run of so many words."""
+    """A hash for every run of so many words; for a few words, since it is linear in their hashes until it is mixed."""
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)

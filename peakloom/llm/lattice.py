@@ -2,33 +2,65 @@
 
 A word, with a gap in front, can be cut into the vocabulary's pieces in many ways; its probability is the sum over all of them,
 by the forward recursion over its bytes in log space. Pieces never cross a gap, so a text's probability is the product over
-its words and one end. Pieces weigh as the vocabulary's own scores say, which are ranks, taken as Zipf's law; one round of
-expected counts over all training words (forward and backward) then fits the weights to the corpus, with the vocabulary's
-as a prior. The pieces stay as they are. Single bytes are pieces too, so every text has a probability.
+its words and one end. Pieces weigh as the vocabulary's own scores say; in this file these are ranks, taken by Zipf's law.
+Single bytes are pieces too, so every text has a probability. ``score`` is by these weights. ``fitted_score`` is by weights that one
+round of expected counts over all training words (forward and backward) has fitted, with the vocabulary's as a prior.
+Beside them the base score: words' counts in the training texts with one added.
 
-Beside it the base score: words' counts in the training texts with one added.
+1. One pass over the texts writes the distinct words of each text with their counts, as 64-bit BLAKE2b hashes, and the
+   spelling and training count of the distinct words of each few MB of text.
+2. The latter are summed to one row for each word of the corpus; each of these is spelled out and scored once.
+3. The words of each text meet these rows by a sort-merge join of written tables, so that a word that stands in a third of all
+   texts is split like any skewed key, and the texts' sums are grouped by a number of the row. No text is shuffled.
 
-Counts are summed by batch before they are shuffled. For scoring, texts are dealt out once, into buckets of bounded size; a
-bucket asks for the totals of its distinct words, and they go to it, where its texts are scored. So a word that stands in
-a third of all documents has one row for each bucket, and such rows are split like any skewed join. Word hashes have 64 bits.
+A word of over ``LONG`` bytes is scored in segments, with one number for each byte of it.
 
 Words are those between ASCII white space, A to Z in lower case, then one end. Defined cases: null is the empty text, of
-one token, the end; rows with a null id are training texts; repeated rows each count; any length of text is taken whole.
+one token, the end; rows with a null id are training texts; repeated rows each count; an empty table gives no rows; any length of
+text, and of a word, is taken whole; columns beside key and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+from array import array
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import _LOWERED, Rolling, by_batch, crc_of, durable, mixed, pieces, word_hashes, word_ranges
+from peakloom.llm.common import by_batch, crc_of, durable, hashes_of, mixed, pieces, removed, spaced_words
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BUCKET_BYTES, PIECE_BYTES, PRIOR, ZIPF = 16 << 20, 2 << 20, 1000.0, 10.0
-_END = int(mixed(np.array([0xE0D], np.uint64)).view(np.int64)[0])
-_PIECE = Rolling(0xBF58476D1CE4E5B9 | 1)
+PIECE_BYTES, PRIOR, ZIPF, LONG, SEGMENT = 2 << 20, 1000.0, 10.0, 1024, 1 << 15
+
+
+class _Rolling:
+    """Polynomial hashes modulo 2^64 of ranges of short byte strings, from prefix sums; the base is odd and so has an inverse."""
+
+    def __init__(self, base: int):
+        self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def powers(self, n: int) -> None:
+        if len(self.up) < n:
+            n = max(n, 1 << 16)
+            for name, b in (("up", self.base), ("down", self.inverse)):
+                steps = np.full(n, b, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
+
+    def ranges(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The hash of values[start:end] for each pair; equal ranges get equal hashes wherever they stand."""
+        self.powers(len(values) + 1)
+        sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * self.up[: len(values)], dtype=np.uint64, out=sums[1:])
+        return mixed((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+
+
+_PIECE = _Rolling(0xBF58476D1CE4E5B9 | 1)
 
 
 def held_out(key: Column) -> Column:
@@ -82,7 +114,7 @@ class Vocabulary:
     def lattice(self, words: np.ndarray) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
         """For each end in words of one length (rows of bytes): (start, rows, pieces) of the arcs that end there."""
         rows, n = words.shape
-        _PIECE._powers(n + 1)
+        _PIECE.powers(n + 1)
         sums = np.zeros((rows, n + 1), np.uint64)
         np.cumsum(mixed(words.astype(np.uint64) + np.uint64(1)) * _PIECE.up[:n], axis=1, dtype=np.uint64, out=sums[:, 1:])
         arcs: list[list] = [[] for _ in range(n + 1)]
@@ -119,17 +151,68 @@ class Vocabulary:
                 out += np.bincount(piece, np.exp(alpha[start][held] + tail - alpha[n][held]) * weights[held], len(out))
         return out
 
-    def score(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray | None = None):
-        """Natural log probability of each word of an array of bytes; with weights, the expected counts of pieces too."""
-        scores, counts = np.zeros(len(starts)), np.zeros(len(self.log))
-        sizes = ends - starts
+    def segments(self, word: np.ndarray, backward: bool = False) -> Iterator[list[tuple[int, int, int, float]]]:
+        """The arcs (start, end, piece, log weight) of a long word, in order of their starts, a segment of starts at a time."""
+        n = len(word)
+        begins = range(0, n, SEGMENT)
+        for a in reversed(begins) if backward else begins:
+            b = min(a + SEGMENT, n)
+            part = word[a : min(b + self.longest, n)]
+            starts, ends, found = [np.arange(b - a)], [np.arange(b - a) + 1], [part[: b - a].astype(np.int64)]
+            for size in range(1, min(len(part), self.longest) + 1):
+                at = np.arange(min(b - a, len(part) - size + 1))
+                pieces_at = self.find(_PIECE.ranges(mixed(part.astype(np.uint64) + np.uint64(1)), at, at + size))
+                held = np.flatnonzero(pieces_at >= 0)
+                starts.append(held)
+                ends.append(held + size)
+                found.append(pieces_at[held])
+            starts, ends, found = (np.concatenate(c) for c in (starts, ends, found))
+            order = np.argsort(-starts if backward else starts, kind="stable")
+            yield list(zip((starts[order] + a).tolist(), (ends[order] + a).tolist(), found[order].tolist(), self.log[found[order]].tolist(), strict=True))
+
+    def score_long(self, word: np.ndarray, counts: np.ndarray | None = None, weight: float = 1.0) -> float:
+        """Natural log probability of one word of any length; adds to the expected counts of pieces, if given."""
+        n, none = len(word), -math.inf
+        alpha = array("d", [none]) * (n + 1)
+        alpha[0] = 0.0
+        for arcs in self.segments(word):
+            for start, end, _, log in arcs:
+                x, y = alpha[end], alpha[start] + log
+                high, low = (x, y) if x > y else (y, x)
+                alpha[end] = high if low == none else high + math.log1p(math.exp(low - high))
+        if counts is not None:
+            beta = array("d", [none]) * (n + 1)
+            beta[n] = 0.0
+            for arcs in self.segments(word, backward=True):
+                for start, end, piece, log in arcs:
+                    x, y = beta[start], beta[end] + log
+                    high, low = (x, y) if x > y else (y, x)
+                    beta[start] = high if low == none else high + math.log1p(math.exp(low - high))
+                    counts[piece] += weight * math.exp(alpha[start] + y - alpha[n])
+        return alpha[n]
+
+    def score(self, words: list[bytes], weights: np.ndarray | None = None):
+        """Natural log probability of each word; with weights, the expected counts of pieces too. The empty word is the end."""
+        scores, counts = np.zeros(len(words)), np.zeros(len(self.log))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        data = np.frombuffer(b"".join(words), np.uint8)
+        starts = np.cumsum(sizes) - sizes
         for size in np.unique(sizes).tolist():
             every = np.flatnonzero(sizes == size)
+            if size == 0:
+                scores[every] = self.log[-1]
+                counts[-1] += 0.0 if weights is None else weights[every].sum()
+                continue
+            if size > LONG:
+                for i in every.tolist():
+                    word = np.append(np.uint8(32), data[starts[i] : starts[i] + size])
+                    scores[i] = self.score_long(word, None if weights is None else counts, 1.0 if weights is None else float(weights[i]))
+                continue
             most = max(1, (1 << 18) // (size + 1))
             for i in range(0, len(every), most):
                 at = every[i : i + most]
-                words = np.concatenate((np.full((len(at), 1), 32, np.uint8), data[starts[at][:, None] + np.arange(size)]), axis=1)
-                arcs = self.lattice(words)
+                rows = np.concatenate((np.full((len(at), 1), 32, np.uint8), data[starts[at][:, None] + np.arange(size)]), axis=1)
+                arcs = self.lattice(rows)
                 alpha = self.forward(arcs, len(at))
                 scores[at] = alpha[-1]
                 if weights is not None:
@@ -137,104 +220,83 @@ class Vocabulary:
         return scores, counts
 
 
-def _tokens(text: pa.Buffer | bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    data = _LOWERED[np.frombuffer(text, np.uint8)]
-    starts, ends = word_ranges(data)
-    return data, starts, ends, word_hashes(data, starts, ends).view(np.int64)
+def occurrences(rows: DataFrame) -> DataFrame:
+    """From (row, key, train, text): for each row its distinct words with their counts, and, with a null row, the spelling and training count of words."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text", PIECE_BYTES) if batch.num_rows else ():
+                yield one(part)
+
+    def one(part: pa.RecordBatch) -> pa.RecordBatch:
+        spelled: dict[int, bytes] = {}
+        sums: dict[int, int] = {}
+        words, counts, sizes = [], [], []
+        for text, train in zip(part.column(3).to_pylist(), part.column(2).to_pylist(), strict=True):
+            tokens = [*spaced_words(text, lower=True), b""]
+            hashes = hashes_of(tokens).view(np.int64)
+            found, first, n = np.unique(hashes, return_index=True, return_counts=True)
+            words.append(found)
+            counts.append(n)
+            sizes.append(len(tokens))
+            for h, i, k in zip(found.tolist(), first.tolist(), n.tolist(), strict=True):
+                if h not in spelled:
+                    spelled[h], sums[h] = tokens[i], 0
+                if train:
+                    sums[h] += k
+        words.append(np.fromiter(spelled, np.int64, len(spelled)))
+        counts.append(np.fromiter(sums.values(), np.int64, len(sums)))
+        ends = pa.array(np.append(0, np.cumsum([len(w) for w in words])).astype(np.int32))
+        n = part.num_rows
+        more = lambda column, kind: pa.concat_arrays([column.cast(kind), pa.nulls(1, kind)])
+        letters = pa.ListArray.from_arrays(pa.array([0] * (n + 1) + [len(spelled)], pa.int32()), pa.array(list(spelled.values()), pa.binary()))
+        columns = [more(part.column(0), pa.int64()), more(part.column(1), pa.int64()), more(part.column(2), pa.bool_()), pa.array([*sizes, None], pa.int64())]
+        columns += [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(c))) for c in (words, counts)]
+        return pa.RecordBatch.from_arrays([*columns, letters], names=["row", "key", "train", "n_tokens", "words", "counts", "spelled"])
+
+    return durable(rows.select("row", "key", "train", "text").mapInArrow(work, "row long, key long, train boolean, n_tokens long, words array<long>, counts array<long>, spelled array<binary>"), "occurrences")
+
+
+def fitted(words: DataFrame, vocabulary: Vocabulary, prior: float = PRIOR) -> np.ndarray:
+    """Log weights after one round of expected counts over (spelled, total) rows; one row for each piece comes to the driver."""
+    sent = words.sparkSession.sparkContext.broadcast(vocabulary)
 
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts = sent.value.score(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float))[1]
+        held = np.flatnonzero(counts)
+        return pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[held])], names=["piece", "n"])
 
-def _joined(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, word starts, word ends and hashes of several texts, and the number of words in each."""
-    parts, shift = [_tokens(t) for t in texts], 0
-    data = np.concatenate([p[0] for p in parts])
-    starts, ends = [], []
-    for p in parts:
-        starts.append(p[1] + shift)
-        ends.append(p[2] + shift)
-        shift += len(p[0])
-    return data, np.concatenate(starts), np.concatenate(ends), np.concatenate([p[3] for p in parts]), np.array([len(p[1]) for p in parts])
-
-
-def learned(docs: DataFrame, vocabulary: Vocabulary, prior: float = PRIOR) -> tuple[Vocabulary, DataFrame]:
-    """The vocabulary with fitted weights, and (word, total), from one pass over all training rows (train, text).
-
-    A batch sums its words and pieces before they are shuffled. The totals are written to the shared folder; one row for
-    each piece comes to the driver.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    counts = np.zeros(len(vocabulary.log))
+    for r in by_batch(words.where("total > 0").select("spelled", "total"), work, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
+        counts[r["piece"]] = r["n"]
+    return np.log((counts + prior * np.exp(vocabulary.log)) / (counts.sum() + prior))
+
+
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", *, model_file: str = MODEL) -> DataFrame:
+    """For each row: key, held_out, n_tokens, n_known, train_tokens, base_score, score and fitted_score, all log10."""
+    spark, vocabulary = docs.sparkSession, Vocabulary(model_file)
+    texts = F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text")
+    found = occurrences(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("key"), (~held_out(F.col(key))).alias("train"), texts))
+    listed = found.where("row IS NULL").select(F.explode(F.arrays_zip("words", "counts", "spelled")).alias("w")).select("w.words", "w.counts", "w.spelled")
+    words = durable(listed.groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("total"), F.any_value("spelled").alias("spelled")), "words")
+    train_tokens, distinct_tokens = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count(F.when(F.col("total") > 0, 1))).first()
+    other = Vocabulary(model_file)
+    other.log = fitted(words, vocabulary)
+    sent = spark.sparkContext.broadcast((vocabulary, other))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        total, keys, numbers = np.zeros(len(sent.value.log)), [np.array([_END])], [np.array([float(batch.num_rows)])]
-        for part in pieces(batch, "text", PIECE_BYTES):
-            data, starts, ends, hashes, _ = _joined([t.as_buffer() for t in part.column(0)])
-            own, first, counts = np.unique(hashes, return_index=True, return_counts=True)
-            total += sent.value.score(data, starts[first], ends[first], counts.astype(float))[1]
-            keys.append(own)
-            numbers.append(counts.astype(float))
-        words, where = np.unique(np.concatenate(keys), return_inverse=True)
-        total[-1] += batch.num_rows
-        held = np.flatnonzero(total)
-        of_piece = np.repeat([False, True], [len(words), len(held)])
-        n = np.concatenate((np.bincount(where, np.concatenate(numbers)), total[held]))
-        return pa.RecordBatch.from_arrays([pa.array(of_piece), pa.array(np.concatenate((words, held))), pa.array(n)], names=["of_piece", "id", "n"])
-
-    rows = by_batch(docs.where("train").select("text"), work, "of_piece boolean, id long, n double")
-    sums = durable(rows.groupBy("of_piece", "id").agg(F.sum("n").alias("n")), "counts")
-    counts = np.zeros(len(vocabulary.log))
-    for r in sums.where("of_piece").collect():
-        counts[r["id"]] = r["n"]
-    vocabulary.log = np.log((counts + prior * np.exp(vocabulary.log)) / (counts.sum() + prior))
-    return vocabulary, sums.where("NOT of_piece").select(F.col("id").alias("word"), F.col("n").cast("long").alias("total"))
-
-
-_SCORED = "key long, held_out boolean, n_tokens long, n_known long, logs double, score double"
-
-
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", *, model_file: str = MODEL, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """For each row: key, held_out, n_tokens, n_known, train_tokens, base_score and score, both log10."""
-    rows = docs.select(F.col(key).cast("long").alias("key"), (~held_out(F.col(key))).alias("train"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
-    vocabulary, totals = learned(rows, Vocabulary(model_file))
-    train_tokens, distinct_tokens = totals.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count("*")).first()
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(8, -(-size // bucket_bytes))
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "text"), F.lit(buckets)).cast("int")).repartition(buckets, "bucket")
-
-    def words(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        bucket = batch.column(3).to_numpy()
-        for b in np.unique(bucket).tolist():
-            own = [np.unique(_joined([t.as_buffer() for t in part.column(2)])[3]) for part in pieces(batch.filter(pa.array(bucket == b)), "text", PIECE_BYTES)]
-            keys = np.unique(np.concatenate([*own, np.array([_END])]))
-            out.append((keys, np.full(len(keys), b, np.int32)))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["word", "bucket"])
-
-    held = by_batch(dealt.select("key", "train", "text", "bucket"), words, "word long, bucket int")
-    known = held.join(totals, "word", "left").select("word", "bucket", F.coalesce("total", F.lit(0).cast("long")).alias("total"))
-
-    def score(batches: pa.Table, looked_up: pa.Table) -> pa.Table:
-        words, where = np.unique(looked_up["word"].to_numpy(), return_index=True)
-        totals = looked_up["total"].to_numpy()[where]
-        logs, kept = np.log10(totals + 1), np.full(len(words), np.nan)
-        end = int(np.searchsorted(words, _END))
-        out = []
-        for whole in batches.select(["key", "train", "text"]).to_batches():
-            for part in pieces(whole, "text", PIECE_BYTES):
-                data, starts, ends, hashes, n = _joined([t.as_buffer() for t in part.column(2)])
-                at = np.searchsorted(words, hashes)
-                if len(at) and (at.max() >= len(words) or (words[at] != hashes).any()):
-                    raise ValueError("a word that its bucket hasn't counted")
-                new, first = np.unique(at, return_index=True)
-                first, new = first[np.isnan(kept[new])], new[np.isnan(kept[new])]
-                kept[new] = sent.value.score(data, starts[first], ends[first])[0]
-                edges = np.append(0, np.cumsum(n))
-                total = lambda values: np.array([values[a:b].sum() for a, b in zip(edges[:-1], edges[1:], strict=True)])
-                known = total((totals[at] > 0).astype(np.int64)) + int(totals[end] > 0)
-                lattice = (total(kept[at]) + sent.value.log[-1]) / np.log(10)
-                columns = [part.column(0), pa.array(~part.column(1).to_numpy(zero_copy_only=False)), pa.array(n + 1), pa.array(known.astype(np.int64)), pa.array(total(logs[at]) + logs[end]), pa.array(lattice)]
-                out.append(pa.RecordBatch.from_arrays(columns, names=["key", "held_out", "n_tokens", "n_known", "logs", "score"]))
-        return pa.Table.from_batches(out) if out else pa.table({f.split()[0]: pa.array([], t) for f, t in zip(_SCORED.split(", "), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
-
-    scored = dealt.select("key", "train", "text", "bucket").groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(score, _SCORED)
+        spelled, own = batch.column(2).to_pylist(), batch.column(1).to_numpy()
+        logs = [pa.array(v.score(spelled)[0] / np.log(10)) for v in sent.value]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(own > 0), pa.array(np.log10(own + 1.0)), *logs], names=["word", "known", "log", "own", "fit"])
+
+    scored = durable(by_batch(words.select("word", "total", "spelled"), work, "word long, known boolean, log double, own double, fit double"), "scored")
+    tokens = found.where("row IS NOT NULL").select("row", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    # One plan at every size: the words' rows grow with the corpus, and are never broadcast.
+    met = tokens.join(scored.hint("merge"), "word")
+    total = lambda c: F.sum(F.col("n") * F.col(c))
+    sums = met.groupBy("row").agg(F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("n_known"), total("log").alias("logs"), total("own").alias("score"), total("fit").alias("fitted_score"))
+    sums = durable(sums, "sums")
+    removed(words, scored)
+    out = found.where("row IS NOT NULL").select("row", "key", "train", "n_tokens").join(sums, "row")
     base = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(train_tokens + distinct_tokens + 1))
-    return scored.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return out.select(F.col("key").alias(key), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "fitted_score")

@@ -2,38 +2,39 @@
 
 1. Equal sets are one class, by count and two 64-bit sums over their hashed shingles; from here on a class is one row.
 2. Each coordinate of a class's signature, with its value, is a token. Two sets of the wanted similarity agree on at least
-   ``match`` of ``coordinates`` (set so that a pair just at the threshold misses that a few times in a million).
+   ``match`` of ``coordinates``; at the threshold itself a pair misses that about once in a thousand million times.
    Tokens are ordered by frequency; of a pair that agrees on so many, both have a common token among their first
-   coordinates - match + 1. Only those are posted: the longest lists, of boilerplate, are skipped, and tokens that occur
-   once are never shuffled again.
-3. Posted lists link their members to their smallest one; no list is expanded into pairs. The components of these
-   links hold every pair that could be similar, so each is finished by itself: its texts come together once, collisions are
-   counted by an inverted index of the full sets, and components of the confirmed links follow from a search over documents
-   not yet reached.
-4. A component of more than ``most_docs`` documents or ``most_shingles`` shingles is never brought together. Its lists
-   are joined to hubs, a few rounds with different ones, then all members that are still in different components; pairs
-   that agree on too few coordinates fall out, the rest are confirmed two texts at a time, by joins.
+   coordinates - match + 1 (prefix). Only those are posted: the longest lists, of boilerplate, are never merged, they are
+   probed instead (skip), by the signatures that the posted rows carry, a byte for each coordinate. Bytes agree wherever
+   coordinates do, so their count of collisions is never too small.
+3. The members of a posted list meet one of them, its hub: first the one whose tokens are the most frequent, the text that
+   the others vary, then others by a seeded draw. A pair is retained if it has ``match`` collisions, and confirmed on the full
+   sets, shingle by shingle. Members that are known to be connected with the hub are not compared again; after
+   ``hub_rounds`` rounds the pairs of members of a list that are still in different groups are all counted.
+4. Components of the confirmed links, once. Links between members of a group that a hub has joined are contracted before.
+
+Every set takes these steps, however large its group is. Tables that are aggregated are written before they are joined, so that
+adaptive execution can split a hot token, hub or class; no list is expanded into pairs that are known to be connected. A
+group of which all members are near, but below, the threshold to each other costs a count for each of its pairs, though no row.
 
 Whether a pair is similar is decided in whole numbers: similar = (80, 100) asks for 100 * intersection >= 80 * union.
 Defined cases: a null or wordless text has an empty set and is linked with nothing; a text of fewer words than a shingle is
-one shingle; rows that share an id are one document in components; rows with a null id are linked with nothing and have a
-null component; any length of text is taken whole.
+one shingle; rows that share an id are one document in components, with the links of each of its texts; rows with a null id
+are linked with nothing and have a null component; an empty table gives no rows; any length of text is taken whole; columns beside
+key and text are not read by ``near_duplicates``, and ``deduplicated`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import by_batch, durable, fresh, mixed, runs, text_hashes
+from peakloom.llm.common import by_batch, durable, fresh, mixed, removed, runs, spaced_words, text_hashes
 from peakloom.llm.graph import components
 
-SIZE, SIMILAR, COORDINATES, MATCH = 5, (80, 100), 64, 36
-MOST_DOCS, MOST_SHINGLES, HUB_ROUNDS = 20_000, 4_000_000, 3
+SIZE, SIMILAR, COORDINATES, MATCH, HUB_ROUNDS = 5, (80, 100), 64, 32, 3
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -82,130 +83,99 @@ def _bytes(text: str):
 
 
 def postings(classes: DataFrame, coordinates: int, match: int) -> DataFrame:
-    """(token, rep): the tokens of each class that the prefix rule posts and another class holds."""
-    tokens = classes.select("rep", F.explode("signature").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    """(token, rep, weight, sketch): the tokens of each class that the prefix rule posts and another class holds.
+
+    The weight is the number of rows in all lists that would have the class, the sketch a byte of each coordinate.
+    """
+    tokens = classes.select("rep", "signature", F.explode("signature").alias("token")).select("rep", "token")
+    shared = durable(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     ordered = tokens.join(shared, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("held"))
-    room = F.size("held") - match + 1  # those that occur once come first in the order
-    return ordered.where(room > 0).select("rep", F.explode(F.slice("held", 1, room)).alias("held")).select("held.token", "rep")
-
-
-def _linked(members: list[np.ndarray], similar: tuple[int, int]) -> np.ndarray:
-    """For each set, the place of the first set in its component; links are confirmed on the full sets."""
-    n, sizes = len(members), np.array([len(m) for m in members])
-    _, where = np.unique(np.concatenate(members), return_inverse=True)
-    order = np.argsort(where, kind="stable")
-    owners = np.repeat(np.arange(n), sizes)[order]
-    ends = np.cumsum(np.bincount(where))
-    begins = np.append(0, ends[:-1])
-    own = np.split(where, np.cumsum(sizes)[:-1])
-    of = np.full(n, -1)
-    for first in range(n):
-        if of[first] >= 0:
-            continue
-        of[first] = first
-        queue = [first]
-        while queue and (of < 0).any():
-            x = queue.pop()
-            common = np.bincount(np.concatenate([owners[begins[i] : ends[i]] for i in own[x]]), minlength=n)
-            near = np.flatnonzero((of < 0) & (common * similar[1] >= similar[0] * (sizes + sizes[x] - common)) & (common > 0))
-            of[near] = first
-            queue += near.tolist()
-    return of
-
-
-def _finished(grouped: DataFrame, size: int, similar: tuple[int, int]) -> DataFrame:
-    """(node, component) from rows (candidate, node, text), in whole candidate components, one after another."""
-
-    def finish(nodes: list[int], texts: list[bytes]) -> pa.RecordBatch:
-        of = _linked([shingles(t, size) for t in texts], similar)
-        least: dict[int, int] = {}
-        for node, i in zip(nodes, of.tolist(), strict=True):
-            least[i] = min(node, least.get(i, node))
-        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([least[i] for i in of.tolist()], pa.int64())], names=["node", "component"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, nodes, texts = None, [], []
-        for batch in batches:
-            for group, node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if group != now:
-                    if nodes:
-                        yield finish(nodes, texts)
-                    now, nodes, texts = group, [], []
-                nodes.append(node)
-                texts.append(text.as_py())
-        if nodes:
-            yield finish(nodes, texts)
-
-    return grouped.repartition("candidate").sortWithinPartitions("candidate").select("candidate", "node", "text").mapInArrow(run, "node long, component long")
-
-
-def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, similar: tuple[int, int], match: int) -> DataFrame:
-    """The pairs (a, b) that agree on enough coordinates and whose full sets are similar."""
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("signature").alias(f"signature_{x}"))
-    agree = F.size(F.array_intersect("signature_a", "signature_b"))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(agree >= match).select("a", "b")
-    text = lambda x: texts.select(F.col("key").alias(x), F.col("text").alias(f"text_{x}"))
+    room = F.size("held") - match + 1  # those that occur once come first in the order, so all of the last ones may be skipped
+    ordered = durable(ordered.where(room > 0).select("rep", F.aggregate("held.n", F.lit(0).cast("long"), lambda x, n: x + n).alias("weight"), F.slice("held.token", 1, room).alias("tokens")), "ordered")
+    sketch = F.transform("signature", lambda v: (v.bitwiseAND(255) - 128).cast("byte"))
+    found = durable(ordered.join(classes.select("rep", sketch.alias("sketch")), "rep").select(F.explode("tokens").alias("token"), "rep", "weight", "sketch"), "postings")
+    removed(shared, ordered)
+    return found
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for a, b in zip(batch.column(2), batch.column(3), strict=True):
-            left, right = shingles(a.as_buffer(), size), shingles(b.as_buffer(), size)
-            common = len(np.intersect1d(left, right, assume_unique=True))
-            keep.append(common > 0 and common * similar[1] >= similar[0] * (len(left) + len(right) - common))
-        return batch.filter(pa.array(keep)).select(["a", "b"])
 
-    return by_batch(pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b"), work, "a long, b long")
+def _collisions(a: str, b: str) -> Column:
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
 
 
-def _giant(posted: DataFrame, classes: DataFrame, texts: DataFrame, size: int, similar: tuple[int, int], match: int) -> DataFrame:
-    """(node, component) of components too large for one task: hubs first, then members still apart."""
-    nodes = posted.select(F.col("rep").alias("node")).distinct()
-    labels, links = nodes.withColumn("label", F.col("node")), None
-    for turn in range(HUB_ROUNDS + 1):
-        lists = posted.join(labels.withColumnRenamed("node", "rep"), "rep")
-        ends = lists.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)), F.col("rep").alias("hub"), F.col("label").alias("hub_label"))).alias("m"))
-        unfinished = lists.join(ends.where("low <> high").select("token", "m.hub", "m.hub_label"), "token")
-        if turn < HUB_ROUNDS:
-            pairs = unfinished.where("label <> hub_label").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-        else:
-            left, right = (unfinished.select("token", F.col("rep").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
-            pairs = left.join(right, "token").where("label_a < label_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = durable(_confirmed(pairs.distinct(), classes, texts, size, similar, match), "giant")
-        links = found if links is None else links.union(found)
-        labels = nodes.join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("label"))
-    return labels.withColumnRenamed("label", "component")
+def _shingle_set(text: bytes, size: int) -> frozenset:
+    words = spaced_words(text, lower=True)
+    return frozenset(zip(*(words[i:] for i in range(size)), strict=False)) if len(words) >= size else frozenset({tuple(words)})
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *, size: int = SIZE, similar: tuple[int, int] = SIMILAR, coordinates: int = COORDINATES, match: int = MATCH, most_docs: int = MOST_DOCS, most_shingles: int = MOST_SHINGLES) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, size: int, similar: tuple[int, int]) -> DataFrame:
+    """The pairs (rep, hub) whose full sets are similar, by the shingles themselves; texts are (key, text)."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep, last, right = [], None, frozenset()
+        for hub, a, b in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            if last != (hub, other := b.as_py()):
+                last, right = (hub, other), _shingle_set(other, size)
+            left = _shingle_set(a.as_py(), size)
+            common = len(left & right)
+            keep.append(common > 0 and common * similar[1] >= similar[0] * (len(left) + len(right) - common))
+        return batch.filter(pa.array(keep)).select(["rep", "hub"])
+
+    text = lambda x: texts.select(F.col("key").alias(x), F.col("text").alias(f"text_{x}"))
+    both = pairs.join(text("rep"), "rep").join(text("hub"), "hub").select("rep", "hub", "text_rep", "text_hub")
+    return by_batch(both, work, "rep long, hub long")
+
+
+def links(posted: DataFrame, texts: DataFrame, size: int, similar: tuple[int, int], match: int, hub_rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(node, group), and the confirmed links (rep, hub); nodes of one group are connected by links."""
+    groups = durable(posted.select(F.col("rep").alias("node")).distinct().withColumn("group", F.col("node")), "groups")
+    lists, found = posted, None
+    for turn in range(hub_rounds + 1):
+        now = lists.join(groups.withColumnRenamed("node", "rep"), "rep")
+        order = F.col("weight") if turn == 0 else F.xxhash64("rep", F.lit(turn))
+        hub = F.max(F.struct(order.alias("order"), -F.col("rep"), F.col("rep").alias("hub"), F.col("group").alias("hub_group"), F.col("sketch").alias("hub_sketch"))).alias("m")
+        ends = now.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high"), hub).where("low <> high")
+        ends = durable(ends.select("token", "m.hub", "m.hub_group", "m.hub_sketch"), "ends")
+        if turn < hub_rounds:
+            pairs = now.join(ends, "token").where(F.col("group") != F.col("hub_group"))
+        else:
+            others = now.select("token", F.col("rep").alias("hub"), F.col("group").alias("hub_group"), F.col("sketch").alias("hub_sketch"))
+            pairs = now.join(ends.select("token"), "token").join(others, "token").where(F.col("group") < F.col("hub_group"))
+        pairs = durable(pairs.where(_collisions("sketch", "hub_sketch") >= match).select("rep", "hub").distinct(), "pairs")
+        some = durable(confirmed(pairs, texts, size, similar), "links")
+        removed(pairs, ends)
+        found = some if found is None else found.union(some)
+        # What a hub is linked with gets the hub's group, if that is the smallest of those that link it.
+        step = some.join(groups.select(F.col("node").alias("hub"), F.col("group").alias("of")), "hub").groupBy(F.col("rep").alias("node")).agg(F.min("of").alias("of"))
+        step = durable(step, "step")
+        after = durable(groups.join(step, "node", "left").select("node", F.coalesce("of", "group").alias("group")), "groups")
+        removed(groups, step)
+        groups = after
+    return groups, found
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *, size: int = SIZE, similar: tuple[int, int] = SIMILAR, coordinates: int = COORDINATES, match: int = MATCH, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     """For each row: key, n_shingles, component_id (the smallest id that links reach) and kept (whether that is its own)."""
     drawn = durable(sketches(docs, key, text, size, coordinates), "sketches")
-    classes = drawn.where("n > 0 AND key IS NOT NULL").groupBy("n", "one", "two").agg(F.min("key").alias("rep"), F.any_value("signature").alias("signature"))
-    classes = durable(classes, "classes")
-    posted = durable(postings(classes, coordinates, match), "postings")
-    hubs = posted.groupBy("token").agg(F.min("rep").alias("a"))
-    candidates = components(posted.join(hubs, "token").select("a", F.col("rep").alias("b"))).withColumnRenamed("component", "candidate")
-    # A class's text is that of its smallest id; ids that are in no candidate need none.
-    sized = candidates.join(classes.select(F.col("rep").alias("node"), "n"), "node")
-    sized = durable(sized, "candidates")
-    large = sized.groupBy("candidate").agg(F.count("*").alias("docs"), F.sum("n").alias("total")).where((F.col("docs") > most_docs) | (F.col("total") > most_shingles))
-    giants = large.select("candidate", F.lit(True).alias("giant"))
-    texts = docs.select(F.col(key).cast("long").alias("key"), _bytes(text))
-    if large.isEmpty():
-        grouped = sized.select("candidate", "node")
-        done = None
-    else:
-        marked = durable(sized.join(giants, "candidate", "left").select("candidate", "node", F.coalesce("giant", F.lit(False)).alias("giant")), "marked")
-        grouped = marked.where("NOT giant").select("candidate", "node")
-        inside = marked.where("giant").select(F.col("node").alias("rep"))
-        done = _giant(posted.join(inside, "rep"), classes.join(inside, "rep"), texts.join(inside.withColumnRenamed("rep", "key"), "key"), size, similar, match)
-    found = _finished(grouped.join(texts.withColumnRenamed("key", "node"), "node"), size, similar)
-    found = found.union(done.select("node", "component")) if done is not None else found
-    found = found.groupBy("node").agg(F.min("component").alias("component")).where("component <> node")
-    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "one", "two", F.coalesce("component", "rep").alias("component"))
-    rows = drawn.select("key", "n", "one", "two").join(named, ["n", "one", "two"], "left")
+    rows = drawn.where("n > 0 AND key IS NOT NULL")
+    classes = durable(rows.groupBy("n", "one", "two").agg(F.min("key").alias("rep"), F.any_value("signature").alias("signature")), "classes")
+    posted = postings(classes, coordinates, match)
+    nodes = durable(posted.select(F.col("rep").alias("key")).distinct(), "nodes")
+    texts = durable(docs.select(F.col(key).cast("long").alias("key"), _bytes(text)).join(nodes, "key").distinct(), "texts")
+    groups, found = links(posted, texts, size, similar, match, hub_rounds)
+    group = lambda x: groups.select(F.col("node").alias(x), F.col("group").alias(f"of_{x}"))
+    met = found.join(group("rep"), "rep").join(group("hub"), "hub").where("of_rep <> of_hub").select(F.col("of_rep").alias("a"), F.col("of_hub").alias("b"))
+    own = groups.where("node <> group").select(F.col("node").alias("a"), F.col("group").alias("b"))
+    # An id with several texts is one document: it is linked with the class of each.
+    several = durable(rows.select("key", "n", "one", "two").groupBy("key").agg(F.min(F.struct("n", "one", "two")).alias("low"), F.max(F.struct("n", "one", "two")).alias("high")).where("low <> high").select("key"), "several")
+    if not several.isEmpty():
+        same = rows.select("key", "n", "one", "two").join(several, "key").join(classes.drop("signature"), ["n", "one", "two"])
+        own = own.union(same.select(F.col("key").alias("a"), F.col("rep").alias("b")))
+    joined = components(met.distinct().union(own.where("a <> b")))
+    named = durable(classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("n", "one", "two", F.coalesce("component", "rep").alias("component")), "named")
+    removed(posted, nodes, texts, groups, several, joined, classes)
     component = F.when(F.col("key").isNotNull(), F.coalesce("component", "key"))
-    return rows.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("key"), F.lit(True)).alias("kept"))
+    out = drawn.select("key", "n", "one", "two").join(named, ["n", "one", "two"], "left")
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("key"), F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **limits) -> DataFrame:

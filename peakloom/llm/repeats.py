@@ -2,7 +2,7 @@
 
 Seeds: every window of ``length`` words has one anchor, the run of ``seed`` words in it with the least hash (the first of
 equals), so equal windows have equal anchors at equal places. Windows in a row share their anchor; such a group is one
-row with the hash of the anchor and of its reach, all the words that its windows cover. About one word in twenty starts an anchor.
+row with the hash of the anchor and a digest of its reach, all the words that its windows cover. About one word in twenty starts an anchor.
 
 Extension: documents are joined on anchors, never with each other. Of rows with equal anchors and equal reaches, those
 in later documents are repeats as a whole: the match extends both ways to the ends of the reach. Where reaches differ, one
@@ -10,26 +10,29 @@ row of each (the earliest) is extended window by window: only these windows are
 found. Removed windows that overlap or touch make up the maximal repeats.
 
 Counts and minima are taken by grouped aggregation, and joins are on hashes or ids, so an anchor or window that a third
-of all documents hold is pre-aggregated and then split. Windows are compared by 128 bits of hash.
+of all documents hold is pre-aggregated and then split. Whether reaches or windows are equal is decided by 128-bit BLAKE2b
+digests of their words themselves, not by rolling hashes; an anchor's hash only brings together what is then compared.
+The tables written on the way are removed once the repeats are known.
 
 Words are those between ASCII white space, unchanged. Defined cases: null and wordless texts keep nothing and remove nothing;
 rows with null ids are left whole, and other rows don't see them; rows that share an id don't repeat each other, and the
-windows of any of them count as that document's.
+windows of any of them count as that document's; an empty table gives no rows; texts of any length are taken whole; columns
+beside key and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import Rolling, by_batch, durable, mixed, runs, text_hashes
+from peakloom.llm.common import by_batch, durable, hashes_of, removed, runs
 
 LENGTH, SEED = 50, 10
-_ONE, _TWO = Rolling(0x9E3779B97F4A7C15), Rolling(0xD6E8FEB86659FD93)
 
 
 def first_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -45,46 +48,60 @@ def first_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(words: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, ...]:
-    """For each group of windows with one anchor: its hash, the hash of its reach, and the first and last window."""
+    """For each group of windows with one anchor: its hash, its distance from the first window, and the first and last window."""
     seeds = runs(words, seed)
     at = first_least(seeds, length - seed + 1)
     begin = np.append(0, np.flatnonzero(at[1:] != at[:-1]) + 1)
     end = np.append(begin[1:], len(at)) - 1
-    reach = _ONE.ranges(words, begin, end + length)
-    reach = mixed(reach + mixed(((at[begin] - begin) * 4096 + (end - begin)).astype(np.uint64)))
-    return seeds[at[begin]], reach, begin, end
+    return seeds[at[begin]], at[begin] - begin, begin, end
+
+
+def _digests(words: list[bytes], spans: list[tuple[int, int, bytes]]) -> bytes:
+    """For each (begin, end, more) 16 bytes of BLAKE2b over words[begin:end], which hold no space, and more."""
+    whole = b" ".join(words)
+    at = [0, *accumulate(len(w) + 1 for w in words)]
+    digest = hashlib.blake2b
+    return b"".join(digest(whole[at[a] : at[b]].rstrip() + more, digest_size=16).digest() for a, b, more in spans)
+
+
+def _halves(digests: list[bytes]) -> list[pa.Array]:
+    return [pa.array(np.ascontiguousarray(c)) for c in np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2).T]
 
 
 def _anchored(docs: DataFrame, length: int, seed: int) -> DataFrame:
+    """(anchor, one, two, key, begin, end); one and two identify the words of the reach and the anchor's place in it."""
+
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        parts, keys = [], []
+        parts, digests = [], []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            words = text_hashes(text.as_buffer(), lower=False)
+            words = text.as_py().split()
             if len(words) >= length:
-                found = anchors(words, length, seed)
-                parts.append(found)
-                keys.append(np.full(len(found[0]), key, np.int64))
+                anchor, distance, begin, end = anchors(hashes_of(words), length, seed)
+                places = (b" %d %d" % x for x in zip(distance.tolist(), (end - begin).tolist(), strict=True))
+                digests.append(_digests(words, list(zip(begin.tolist(), (end + length).tolist(), places, strict=True))))
+                parts.append((anchor, np.full(len(anchor), key, np.int64), begin.astype(np.int32), end.astype(np.int32)))
         if not parts:
             return None
-        anchor, reach, begin, end = (np.concatenate(c) for c in zip(*parts, strict=True))
-        columns = [anchor.view(np.int64), reach.view(np.int64), np.concatenate(keys), begin.astype(np.int32), end.astype(np.int32)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "reach", "key", "begin", "end"])
+        anchor, key, begin, end = (np.concatenate(c) for c in zip(*parts, strict=True))
+        columns = [pa.array(anchor.view(np.int64)), *_halves(digests), pa.array(key), pa.array(begin), pa.array(end)]
+        return pa.RecordBatch.from_arrays(columns, names=["anchor", "one", "two", "key", "begin", "end"])
 
-    return by_batch(docs.where("key IS NOT NULL"), work, "anchor long, reach long, key long, begin int, end int")
+    return by_batch(docs.where("key IS NOT NULL"), work, "anchor long, one long, two long, key long, begin int, end int")
 
 
 def _windows(rows: DataFrame, length: int) -> DataFrame:
-    """(one, two, key, at): both hashes of every window of (key, text, spans) rows."""
+    """(one, two, key, at): the digest of every window of (key, text, spans) rows."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        parts = []
+        keys, places, digests = [], [], []
         for key, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-            words = text_hashes(text.as_buffer(), lower=False)
+            words = text.as_py().split()
             at = np.unique(np.concatenate([np.arange(s["begin"], s["end"] + 1) for s in spans]))
             at = at[at + length <= len(words)]
-            parts.append((_ONE.ranges(words, at, at + length), _TWO.ranges(words, at, at + length), np.full(len(at), key, np.int64), at.astype(np.int32)))
-        one, two, key, at = (np.concatenate(c) for c in zip(*parts, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (one.view(np.int64), two.view(np.int64), key, at)], names=["one", "two", "key", "at"])
+            digests.append(_digests(words, [(a, a + length, b"") for a in at.tolist()]))
+            keys.append(np.full(len(at), key, np.int64))
+            places.append(at.astype(np.int32))
+        return pa.RecordBatch.from_arrays([*_halves(digests), pa.array(np.concatenate(keys)), pa.array(np.concatenate(places))], names=["one", "two", "key", "at"])
 
     return by_batch(rows.select("key", "text", "spans"), work, "one long, two long, key long, at int")
 
@@ -93,10 +110,12 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
     """(key, begin, end): ranges of windows of (key, text) rows that start in a document with a smaller key too."""
     found = durable(_anchored(docs, length, seed), "anchors")
     # What is aggregated is written before it is joined: a join of plain exchanges can split a hot anchor, one above an aggregate can't.
-    several = found.groupBy("anchor").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("anchor")
-    shared = durable(found.join(durable(several, "several"), "anchor"), "shared")
-    firsts = durable(shared.groupBy("anchor", "reach").agg(F.min("key").alias("first")), "firsts")
-    told = shared.join(firsts, ["anchor", "reach"])
+    several = durable(found.groupBy("anchor").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("anchor"), "several")
+    shared = durable(found.join(several, "anchor"), "shared")
+    removed(found, several)
+    reach = ["anchor", "one", "two"]
+    firsts = durable(shared.groupBy(reach).agg(F.min("key").alias("first")), "firsts")
+    told = shared.join(firsts, reach)
     whole = told.where("key > first").select("key", "begin", "end")
     # The earliest of each reach; an anchor with one reach has nothing else to compare.
     several = durable(firsts.groupBy("anchor").agg(F.count("*").alias("reaches")).where("reaches > 1").select("anchor"), "open")
@@ -104,7 +123,9 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
     windows = durable(_windows(docs.where("key IS NOT NULL").join(open_, "key"), length), "windows")
     least = durable(windows.groupBy("one", "two").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("one", "two", "low"), "least")
     single = windows.join(least, ["one", "two"]).where("key > low").select("key", F.col("at").alias("begin"), F.col("at").alias("end"))
-    return whole.union(single)
+    spans = durable(whole.union(single), "repeats")
+    removed(shared, firsts, several, windows, least)
+    return spans
 
 
 def _removed(spans: list[dict] | None, length: int, n: int) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import random
@@ -382,7 +383,7 @@ def plain_components(rows, size, similar=(80, 100)):
     return [(rows[i][0], len(sets[i]), None if rows[i][0] is None else min(rows[j][0] for j in group[root(i)])) for i in range(len(rows))]
 
 
-@pytest.mark.parametrize(("size", "limits"), [(4, {}), (5, {}), (4, {"most_docs": 2})])
+@pytest.mark.parametrize(("size", "limits"), [(4, {}), (5, {}), (4, {"hub_rounds": 0}), (4, {"match": 20})])
 def test_minhash(docs, rows, size, limits):
     found = minhash.near_duplicates(docs, size=size, **limits).collect()
     some = lambda x: tuple(-1 if y is None else y for y in x)
@@ -417,11 +418,27 @@ def test_lattice(docs, rows, none):
     held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, *_ in rows]
     counts = Counter(w for t, h in zip(tokens, held, strict=True) if not h for w in t)
     n, v = sum(counts.values()), len(counts)
-    found = lattice.scan(docs, bucket_bytes=20_000).collect()
+    found = lattice.scan(docs).collect()
     want = sorted((-1 if i is None else i, h, len(t), sum(counts[w] > 0 for w in t), n) for (i, *_), t, h in zip(rows, tokens, held, strict=True))
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in found) == want
     base = {i: sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t) for (i, *_), t in zip(rows, tokens, strict=True)}
-    assert all(math.isclose(r.base_score, base[r.doc_id], rel_tol=1e-9) and r.score < 0 for r in found)
+    assert all(math.isclose(r.base_score, base[r.doc_id], rel_tol=1e-9) for r in found)
+    # The score of a text is that of its words, each summed over all cuts by the plain recursion; the fit raises the training texts.
+    vocabulary = lattice.Vocabulary()
+    weights = defaultdict(float)
+    for piece, log in zip(vocabulary.texts, vocabulary.log, strict=False):
+        weights[piece] += math.exp(log)
+
+    @functools.cache
+    def plain(word):
+        parts = [math.log(weights[word[:i]]) + plain(word[i:]) for i in range(1, min(len(word), vocabulary.longest) + 1) if word[:i] in weights]
+        return float(np.logaddexp.reduce(parts)) if word else 0.0
+
+    for (i, *_), t in zip(rows, tokens, strict=True):
+        if max(map(len, t)) < 500 and i is not None:
+            want = (sum(plain(b" " + w) for w in t[:-1]) + vocabulary.log[-1]) / math.log(10)
+            assert math.isclose(next(r.score for r in found if r.doc_id == i), want, rel_tol=1e-9)
+    assert sum(r.fitted_score for r in found if not r.held_out) > sum(r.score for r in found if not r.held_out)
     assert lattice.scan(none).count() == 0
 
 
@@ -435,15 +452,23 @@ def test_lattice_sums_over_all_cuts():
         return 1.0 if not word else sum(weights[word[:i]] * plain(word[i:]) for i in range(1, len(word) + 1) if weights.get(word[:i]))
 
     words = [b"the", b"there", b"\xc3\xa9t\xc3\xa9", b"q#z", b"international"[:9], b"a"]
-    data = np.frombuffer(b" ".join(words), np.uint8)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = ends - [len(w) for w in words]
-    scores, counts = vocabulary.score(data, starts, ends, np.ones(len(words)))
+    scores, counts = vocabulary.score(words, np.ones(len(words)))
     assert np.allclose(scores, [math.log(plain(b" " + w)) for w in words])
     sizes = np.array([len(t) for t in vocabulary.texts])
     assert math.isclose((counts[:-1] * sizes).sum(), sum(len(w) + 1 for w in words))
 
 
+def test_lattice_of_long_words(monkeypatch):
+    vocabulary = lattice.Vocabulary()
+    r = random.Random(1)
+    words = ["".join(r.choice(["the", "é", "漢字", "tion", "zq", "0"]) for _ in range(k)).encode() for k in (3, 40, 150, 150)]
+    want, counts = vocabulary.score(words, np.arange(1.0, 5.0))
+    monkeypatch.setattr(lattice, "LONG", 5)
+    monkeypatch.setattr(lattice, "SEGMENT", 37)
+    long, more = vocabulary.score(words, np.arange(1.0, 5.0))
+    assert np.allclose(long, want) and np.allclose(more, counts)
+
+
 # -- 9 ------------------------------------------------------------------------------------------------------------
 
 
