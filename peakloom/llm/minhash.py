@@ -7,15 +7,18 @@
    coordinates - match + 1 (prefix). Only those are posted: the longest lists, of boilerplate, are never merged, they are
    probed instead (skip), by the signatures that the posted rows carry, a byte for each coordinate. Bytes agree wherever
    coordinates do, so their count of collisions is never too small.
-3. The members of a posted list meet one of them, its hub: first the one whose tokens are the most frequent, the text that
-   the others vary, then others by a seeded draw. A pair is retained if it has ``match`` collisions, and confirmed on the full
-   sets, shingle by shingle. Members that are known to be connected with the hub are not compared again; after
-   ``hub_rounds`` rounds the pairs of members of a list that are still in different groups are all counted.
-4. Components of the confirmed links, once. Links between members of a group that a hub has joined are contracted before.
+3. The members of a posted list meet one of them, its hub: the one whose tokens are the most frequent, the text that
+   the others vary (in further rounds, if any, another by a seeded draw). A pair is retained if it has ``match`` collisions, and
+   confirmed on the full sets of shingles, by 64-bit hashes of BLAKE2b word digests. Members that are then known to be connected with the hub have its group.
+4. Lists whose members are still in different groups are finished in cells. Classes are dealt into blocks of about ``block`` by the most
+   frequent token that they are posted under, so that near texts stand together; every two blocks that meet in such a list are a
+   cell, once, whatever the number of lists. A cell is one bounded step of a task: it counts the collisions of all pairs of
+   different groups in its two blocks, retains and confirms them in the same way, and gives links only, no candidate pairs.
+5. Components of the confirmed links, once. Links between members of a group that a hub has joined are contracted before.
 
 Every set takes these steps, however large its group is. Tables that are aggregated are written before they are joined, so that
-adaptive execution can split a hot token, hub or class; no list is expanded into pairs that are known to be connected. A
-group of which all members are near, but below, the threshold to each other costs a count for each of its pairs, though no row.
+adaptive execution can split a hot token, hub or class. A group of which all members are near, but below, the threshold to each
+other costs a count in a cell for each of its pairs, and each of its texts goes to as many cells as the group has blocks.
 
 Whether a pair is similar is decided in whole numbers: similar = (80, 100) asks for 100 * intersection >= 80 * union.
 Defined cases: a null or wordless text has an empty set and is linked with nothing; a text of fewer words than a shingle is
@@ -26,15 +29,17 @@ key and text are not read by ``near_duplicates``, and ``deduplicated`` keeps the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import by_batch, durable, fresh, mixed, removed, runs, spaced_words, text_hashes
+from peakloom.llm.common import by_batch, durable, fresh, mixed, removed, runs, text_hashes
 from peakloom.llm.graph import components
 
-SIZE, SIMILAR, COORDINATES, MATCH, HUB_ROUNDS = 5, (80, 100), 64, 32, 3
+SIZE, SIMILAR, COORDINATES, MATCH, HUB_ROUNDS, BLOCK = 5, (80, 100), 64, 32, 1, 256
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,10 +64,10 @@ def signature(found: np.ndarray, coordinates: int, step: int = 1 << 14) -> np.nd
 
 
 def sketches(docs: DataFrame, key: str, text: str, size: int = SIZE, coordinates: int = COORDINATES) -> DataFrame:
-    """(key, n, one, two, signature) of each row; one and two identify the set."""
+    """(key, n, one, two, signature, sketch) of each row; one and two identify the set, the sketch has a byte of each coordinate, eight to a number."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, one, two, flat, ends = [], [], [], [], [0]
+        n, one, two, flat, packed, ends = [], [], [], [], [], [0]
         for value in batch.column(1):
             found = shingles(value.as_buffer() if value.is_valid else None, size)
             n.append(len(found))
@@ -70,78 +75,170 @@ def sketches(docs: DataFrame, key: str, text: str, size: int = SIZE, coordinates
             two.append(int(mixed(found ^ _GOLDEN).sum(dtype=np.uint64).astype(np.int64)))
             if len(found):
                 flat.append(signature(found, coordinates).view(np.int64))
+                packed.append(np.pad(flat[-1].astype(np.uint8), (0, -coordinates % 8)).view(np.int64))
             ends.append(ends[-1] + (coordinates if len(found) else 0))
         values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64))
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists], names=["key", "n", "one", "two", "signature"])
+        short = pa.ListArray.from_arrays(pa.array([e // coordinates * -(-coordinates // 8) for e in ends], pa.int32()), pa.array(np.concatenate(packed) if packed else np.zeros(0, np.int64)))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists, short], names=["key", "n", "one", "two", "signature", "sketch"])
 
-    return by_batch(docs.select(F.col(key).cast("long").alias("key"), _bytes(text)), work, "key long, n long, one long, two long, signature array<long>")
+    return by_batch(docs.select(F.col(key).cast("long").alias("key"), _bytes(text)), work, "key long, n long, one long, two long, signature array<long>, sketch array<long>")
 
 
 def _bytes(text: str):
     return F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text")
 
 
-def postings(classes: DataFrame, coordinates: int, match: int) -> DataFrame:
-    """(token, rep, weight, sketch): the tokens of each class that the prefix rule posts and another class holds.
+def postings(classes: DataFrame, coordinates: int, match: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(token, rep, weight, block, sketch): the tokens of each class that the prefix rule posts and another class holds; and (rep, block).
 
-    The weight is the number of rows in all lists that would have the class, the sketch a byte of each coordinate.
+    The weight is the number of rows in all lists that would have the class.
     """
-    tokens = classes.select("rep", "signature", F.explode("signature").alias("token")).select("rep", "token")
+    tokens = classes.select("rep", F.explode("signature").alias("token"))
     shared = durable(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     ordered = tokens.join(shared, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("held"))
     room = F.size("held") - match + 1  # those that occur once come first in the order, so all of the last ones may be skipped
-    ordered = durable(ordered.where(room > 0).select("rep", F.aggregate("held.n", F.lit(0).cast("long"), lambda x, n: x + n).alias("weight"), F.slice("held.token", 1, room).alias("tokens")), "ordered")
-    sketch = F.transform("signature", lambda v: (v.bitwiseAND(255) - 128).cast("byte"))
-    found = durable(ordered.join(classes.select("rep", sketch.alias("sketch")), "rep").select(F.explode("tokens").alias("token"), "rep", "weight", "sketch"), "postings")
-    removed(shared, ordered)
-    return found
+    weight = F.aggregate("held.n", F.lit(0).cast("long"), lambda x, n: x + n)
+    home = F.element_at("held", F.least(room, F.size("held")))
+    dealt = F.pmod(F.xxhash64("rep"), F.ceil(home["n"] / block))
+    rows = ordered.where(room > 0).select("rep", weight.alias("weight"), F.xxhash64(home["token"], dealt).alias("block"), F.slice("held.token", 1, room).alias("tokens"))
+    ordered = durable(rows.join(classes.select("rep", "sketch"), "rep"), "ordered")
+    removed(shared)
+    return durable(ordered.select(F.explode("tokens").alias("token"), "rep", "weight", "block", "sketch"), "postings"), ordered.select("rep", "block", "sketch")
+
+
+def _collisions(a: str, b: str, coordinates: int) -> Column:
+    """The number of equal bytes in two sketches: those of their exclusive or that are 0."""
+    differ = F.lit(0)
+    for i in range(-(-coordinates // 8)):
+        x = F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))
+        for by in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, by))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return F.lit(coordinates) - differ
+
+
+def full_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(key, shingles): the full sets of (key, text) rows, as sorted 64-bit hashes."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingles(text.as_buffer(), size).tobytes() for text in batch.column(1)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["key", "shingles"])
+
+    return by_batch(texts.select("key", "text"), work, "key long, shingles binary")
 
 
-def _collisions(a: str, b: str) -> Column:
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
+def _set(shingles: bytes) -> frozenset:
+    return frozenset(np.frombuffer(shingles, np.uint64).tolist())
 
 
-def _shingle_set(text: bytes, size: int) -> frozenset:
-    words = spaced_words(text, lower=True)
-    return frozenset(zip(*(words[i:] for i in range(size)), strict=False)) if len(words) >= size else frozenset({tuple(words)})
+def _alike(one: frozenset, two: frozenset, similar: tuple[int, int]) -> bool:
+    if min(len(one), len(two)) * similar[1] < similar[0] * max(len(one), len(two)):
+        return False
+    common = len(one & two)
+    return common > 0 and common * similar[1] >= similar[0] * (len(one) + len(two) - common)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, similar: tuple[int, int]) -> DataFrame:
-    """The pairs (rep, hub) whose full sets are similar, by the shingles themselves; texts are (key, text)."""
+def confirmed(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """The pairs (rep, hub) whose full sets are similar."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep, last, right = [], None, frozenset()
-        for hub, a, b in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-            if last != (hub, other := b.as_py()):
-                last, right = (hub, other), _shingle_set(other, size)
-            left = _shingle_set(a.as_py(), size)
-            common = len(left & right)
-            keep.append(common > 0 and common * similar[1] >= similar[0] * (len(left) + len(right) - common))
+        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            if last != b:
+                last, right = b, _set(b)
+            keep.append(_alike(_set(a), right, similar))
         return batch.filter(pa.array(keep)).select(["rep", "hub"])
 
-    text = lambda x: texts.select(F.col("key").alias(x), F.col("text").alias(f"text_{x}"))
-    both = pairs.join(text("rep"), "rep").join(text("hub"), "hub").select("rep", "hub", "text_rep", "text_hub")
-    return by_batch(both, work, "rep long, hub long")
-
-
-def links(posted: DataFrame, texts: DataFrame, size: int, similar: tuple[int, int], match: int, hub_rounds: int) -> tuple[DataFrame, DataFrame]:
+    side = lambda x: sets.select(F.col("key").alias(x), F.col("shingles").alias(f"set_{x}"))
+    return by_batch(pairs.join(side("rep"), "rep").join(side("hub"), "hub").select("rep", "hub", "set_rep", "set_hub"), work, "rep long, hub long")
+
+
+def _in_cells(rows: DataFrame, similar: tuple[int, int], match: int, coordinates: int) -> DataFrame:
+    """The links (rep, hub) between the two blocks of each cell, from (one, two, side, node, group, sketch, shingles); a side of 0 is both."""
+
+    def finish(cell: list[tuple]) -> tuple[list[int], list[int]]:
+        side, node, group = (np.array([r[i] for r in cell], np.int64) for i in range(3))
+        left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+        if not len(left) or not len(right) or (group == group[0]).all():
+            return [], []
+        sketch = np.array([r[3] for r in cell], np.int64).view(np.uint8).reshape(len(cell), -1)[:, :coordinates]
+        sets: dict[int, frozenset] = {}
+        parent = {g: g for g in group.tolist()}
+
+        def root(g: int) -> int:
+            while parent[g] != g:
+                parent[g] = g = parent[parent[g]]
+            return g
+
+        def held(i: int) -> frozenset:
+            if i not in sets:
+                sets[i] = _set(cell[i][4])
+            return sets[i]
+
+        a, b = [], []
+        step = max(1, (1 << 22) // (coordinates * len(right)))
+        for k in range(0, len(left), step):
+            some = left[k : k + step]
+            near = (sketch[some][:, None, :] == sketch[right][None, :, :]).sum(axis=2, dtype=np.int32) >= match
+            near &= (group[some][:, None] != group[right]) & ((side[right] != 0) | (right > some[:, None]))
+            for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+                i, j = int(some[i]), int(right[j])
+                x, y = root(int(group[i])), root(int(group[j]))
+                if x == y:
+                    continue
+                if _alike(held(i), held(j), similar):
+                    parent[x] = y
+                    a.append(int(node[i]))
+                    b.append(int(node[j]))
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, cell = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            a, b = finish(cell) if len(cell) > 1 else ([], [])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["rep", "hub"])
+
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(2)]
+            for key, *row in zip(zip(*columns, strict=True), *(batch.column(i).to_pylist() for i in range(2, 7)), strict=True):
+                if key != now:
+                    yield from done()
+                    now, cell = key, []
+                cell.append(tuple(row))
+        yield from done()
+
+    order = ["one", "two"]
+    return rows.repartition(*order).sortWithinPartitions(*order).select(*order, "side", "node", "group", "sketch", "shingles").mapInArrow(run, "rep long, hub long")
+
+
+def _cells(lists: DataFrame) -> DataFrame:
+    """(one, two, block, side): the blocks that meet in a list, each two once."""
+    blocks = durable(lists.select("token", "block").distinct(), "blocks")
+    met = blocks.withColumnRenamed("block", "one").join(blocks.withColumnRenamed("block", "two"), "token").where("one <= two")
+    cells = durable(met.select("one", "two").distinct(), "cells")
+    removed(blocks)
+    whole = F.lit(0).alias("side")
+    same = cells.where("one = two").select("one", "two", F.col("one").alias("block"), whole)
+    return same.union(cells.where("one < two").select("one", "two", F.explode(F.array(F.struct(F.col("one").alias("block"), F.lit(1).alias("side")), F.struct(F.col("two").alias("block"), F.lit(2).alias("side")))).alias("s")).select("one", "two", "s.block", "s.side"))
+
+
+def links(posted: DataFrame, nodes: DataFrame, sets: DataFrame, similar: tuple[int, int], match: int, hub_rounds: int, coordinates: int) -> tuple[DataFrame, DataFrame]:
     """(node, group), and the confirmed links (rep, hub); nodes of one group are connected by links."""
-    groups = durable(posted.select(F.col("rep").alias("node")).distinct().withColumn("group", F.col("node")), "groups")
-    lists, found = posted, None
-    for turn in range(hub_rounds + 1):
-        now = lists.join(groups.withColumnRenamed("node", "rep"), "rep")
+    groups = durable(nodes.select(F.col("rep").alias("node"), F.col("rep").alias("group")), "groups")
+    found = None
+    of = lambda x: groups.select(F.col("node").alias(x), "group")
+    for turn in range(hub_rounds):
+        now = posted.join(of("rep"), "rep")
         order = F.col("weight") if turn == 0 else F.xxhash64("rep", F.lit(turn))
         hub = F.max(F.struct(order.alias("order"), -F.col("rep"), F.col("rep").alias("hub"), F.col("group").alias("hub_group"), F.col("sketch").alias("hub_sketch"))).alias("m")
         ends = now.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high"), hub).where("low <> high")
         ends = durable(ends.select("token", "m.hub", "m.hub_group", "m.hub_sketch"), "ends")
-        if turn < hub_rounds:
-            pairs = now.join(ends, "token").where(F.col("group") != F.col("hub_group"))
-        else:
-            others = now.select("token", F.col("rep").alias("hub"), F.col("group").alias("hub_group"), F.col("sketch").alias("hub_sketch"))
-            pairs = now.join(ends.select("token"), "token").join(others, "token").where(F.col("group") < F.col("hub_group"))
-        pairs = durable(pairs.where(_collisions("sketch", "hub_sketch") >= match).select("rep", "hub").distinct(), "pairs")
-        some = durable(confirmed(pairs, texts, size, similar), "links")
+        pairs = now.join(ends, "token").where((F.col("group") != F.col("hub_group")) & (_collisions("sketch", "hub_sketch", coordinates) >= match))
+        pairs = durable(pairs.select("rep", "hub").distinct(), "pairs")
+        some = durable(confirmed(pairs, sets, similar), "links")
         removed(pairs, ends)
         found = some if found is None else found.union(some)
         # What a hub is linked with gets the hub's group, if that is the smallest of those that link it.
@@ -150,29 +247,35 @@ def links(posted: DataFrame, texts: DataFrame, size: int, similar: tuple[int, in
         after = durable(groups.join(step, "node", "left").select("node", F.coalesce("of", "group").alias("group")), "groups")
         removed(groups, step)
         groups = after
-    return groups, found
+    now = posted.select("token", "rep", "block").join(of("rep"), "rep")
+    open_ = durable(now.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("token"), "open")
+    cells = _cells(now.join(open_, "token"))
+    members = nodes.withColumnRenamed("rep", "node").join(groups, "node").join(sets.withColumnRenamed("key", "node"), "node")
+    some = durable(_in_cells(cells.join(durable(members, "members"), "block"), similar, match, coordinates), "links")
+    return groups, some if found is None else found.union(some)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *, size: int = SIZE, similar: tuple[int, int] = SIMILAR, coordinates: int = COORDINATES, match: int = MATCH, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *, size: int = SIZE, similar: tuple[int, int] = SIMILAR, coordinates: int = COORDINATES, match: int = MATCH, hub_rounds: int = HUB_ROUNDS, block: int = BLOCK) -> DataFrame:
     """For each row: key, n_shingles, component_id (the smallest id that links reach) and kept (whether that is its own)."""
     drawn = durable(sketches(docs, key, text, size, coordinates), "sketches")
     rows = drawn.where("n > 0 AND key IS NOT NULL")
-    classes = durable(rows.groupBy("n", "one", "two").agg(F.min("key").alias("rep"), F.any_value("signature").alias("signature")), "classes")
-    posted = postings(classes, coordinates, match)
-    nodes = durable(posted.select(F.col("rep").alias("key")).distinct(), "nodes")
-    texts = durable(docs.select(F.col(key).cast("long").alias("key"), _bytes(text)).join(nodes, "key").distinct(), "texts")
-    groups, found = links(posted, texts, size, similar, match, hub_rounds)
+    classes = durable(rows.groupBy("n", "one", "two").agg(F.min("key").alias("rep"), F.any_value("signature").alias("signature"), F.any_value("sketch").alias("sketch")), "classes")
+    posted, posting = postings(classes, coordinates, match, block)
+    nodes = durable(posting.groupBy("rep").agg(F.min("block").alias("block"), F.any_value("sketch").alias("sketch")), "nodes")
+    texts = docs.select(F.col(key).cast("long").alias("key"), _bytes(text)).join(nodes.select(F.col("rep").alias("key")), "key")
+    sets = durable(full_sets(texts, size).distinct(), "sets")
+    groups, found = links(posted, nodes, sets, similar, match, hub_rounds, coordinates)
     group = lambda x: groups.select(F.col("node").alias(x), F.col("group").alias(f"of_{x}"))
     met = found.join(group("rep"), "rep").join(group("hub"), "hub").where("of_rep <> of_hub").select(F.col("of_rep").alias("a"), F.col("of_hub").alias("b"))
     own = groups.where("node <> group").select(F.col("node").alias("a"), F.col("group").alias("b"))
     # An id with several texts is one document: it is linked with the class of each.
     several = durable(rows.select("key", "n", "one", "two").groupBy("key").agg(F.min(F.struct("n", "one", "two")).alias("low"), F.max(F.struct("n", "one", "two")).alias("high")).where("low <> high").select("key"), "several")
     if not several.isEmpty():
-        same = rows.select("key", "n", "one", "two").join(several, "key").join(classes.drop("signature"), ["n", "one", "two"])
+        same = rows.select("key", "n", "one", "two").join(several, "key").join(classes.select("rep", "n", "one", "two"), ["n", "one", "two"])
         own = own.union(same.select(F.col("key").alias("a"), F.col("rep").alias("b")))
     joined = components(met.distinct().union(own.where("a <> b")))
     named = durable(classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("n", "one", "two", F.coalesce("component", "rep").alias("component")), "named")
-    removed(posted, nodes, texts, groups, several, joined, classes)
+    removed(posted, nodes, sets, groups, several, joined, classes)
     component = F.when(F.col("key").isNotNull(), F.coalesce("component", "key"))
     out = drawn.select("key", "n", "one", "two").join(named, ["n", "one", "two"], "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("key"), F.lit(True)).alias("kept"))

@@ -207,13 +207,26 @@ def test_warc(spark):
 
         whole = zstandard.ZstdDecompressor().stream_reader(bytes(a.archive), read_across_frames=True).read()
         assert whole.count(b"WARC/1.1\r\n") == a.records == len(a["index"])
-    wanted = warc.index(archives).select("record_id").where("record_id <> ''").limit(4)
+    every = warc.index(archives).collect()
+    assert len({x.record_id for x in every}) == len(pages) and sorted(x.page_id or -1 for x in every) == sorted(p or -1 for p, *_ in pages)
+    wanted = warc.index(archives).select("record_id").where("page_id IN (1, 7, 8)")
     some = warc.lookup(archives, wanted).collect()
     assert {x.record_id for x in some} == {x.record_id for x in wanted.collect()}
-    assert all(x.headers["WARC-Record-ID"] == f"<{x.record_id}>" for x in some)
+    assert len(some) == 4 and all(x.headers["WARC-Record-ID"] == f"<{x.record_id}>" and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", x.headers["WARC-Date"]) for x in some)
+    assert all(bytes(x.body).startswith(b"HTTP/1.1 200 OK\r\n") and int(x.headers["Content-Length"]) == len(x.body) for x in some)
+    assert {x.headers["WARC-Refers-To-Target-URI"] for x in some if x.headers["WARC-Type"] == "revisit"} <= {"u", "uv", ""}
     assert warc.records(warc.archive(table.where("false"))).count() == 0
 
 
+def test_warc_of_one_payload(spark):
+    rows = [(i if i % 9 else None, f"u{i}", "same " * 300 if i % 3 else f"{i} " * 400, 1, "x") for i in range(900)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, digest int, payload string").repartition(5)
+    found = warc.records(warc.archive(table)).collect()
+    first = max(r[0] for r in rows if r[0] is not None and r[2].startswith("same"))
+    assert len(found) == 900 and sum(r.record_type == "revisit" for r in found) == sum(r[2].startswith("same") for r in rows) - 1
+    assert {r.refers_to for r in found} == {None, first}
+
+
 def test_warc_files(spark, tmp_path):
     table = spark.createDataFrame([(i, "u", "text" * i) for i in range(20)], "page_id long, url string, html string")
     archives = warc.archive(table, bundle=300)
