@@ -50,13 +50,16 @@ def test_anchors_cover_every_window_once(words, length, seed):
 @given(st.lists(st.sampled_from("ab c"), max_size=12).map("".join), st.lists(st.lists(st.sampled_from("ab c"), max_size=8).map("".join), max_size=4), st.integers(1, 4))
 @settings(max_examples=200, deadline=None)
 def test_suffix_array_finds_every_place(text, items, width):
-    windows = decontaminate.Windows([(i, t.encode()) for i, t in enumerate(items)], width)
+    block = decontaminate.Items([(i, t.encode()) for i, t in enumerate(items)], width)
     words = common.plain_words(text.encode())
-    numbers = np.array([windows.vocabulary.get(w, 0) for w in words] + [0], np.int64)
-    found = set(zip(*(x.tolist() for x in windows.places(numbers)), strict=True))
-    rows = [tuple(int(x) for x in r[:n]) for r, n in zip(windows.low, windows.sizes, strict=True)]
-    want = {(w, p) for w, r in enumerate(rows) for p in range(len(words) - len(r) + 1) if tuple(numbers[p : p + len(r)].tolist()) == r}
-    assert found == want
+    found = decontaminate.searched(block, [text.encode()])[0]
+    hit = set()
+    for t in items:
+        v = common.plain_words(t.encode())
+        m = min(width, len(v))
+        for q in range(len(v) - m + 1 if m else 0):
+            hit |= {x for p in range(len(words) - m + 1) if words[p : p + m] == v[q : q + m] for x in range(p, p + m)}
+    assert {x for r in found["ranges"] for x in range(r["begin"], r["end"])} == hit
 
 
 @given(st.text(st.sampled_from("tokenTOKEN=:\"' ab0_-AKIZ9"), max_size=80))

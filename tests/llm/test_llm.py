@@ -258,7 +258,7 @@ def test_decontamination(spark, docs, rows, none):
     items = [(1, part(0, 5, 40)), (2, part(5, 12, 30).upper()), (10, part(7, 0, 13)), (3, part(8, 0, 12)), (4, "x"), (5, None), (6, "..."), (7, part(5, 12, 30)), (None, part(9, 0, 20)), (1, part(0, 5, 40)), (8, "again " * 15)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     for bytes_ in (1 << 20, 100):
-        found = by_text(decontaminate.scan(docs, bench, block_bytes=bytes_).collect(), "doc_id")
+        found = by_text(decontaminate.scan(docs, bench, block_bytes=bytes_, longest=True).collect(), "doc_id")
         for doc_id, text, *_ in rows:
             assert tuple(found[doc_id])[1:6] == plain_contamination(text, items)
     r = found[0]
@@ -269,6 +269,32 @@ def test_decontamination(spark, docs, rows, none):
     assert decontaminate.scan(none, bench).count() == 0 and not any(x.contaminated for x in decontaminate.scan(docs, bench.where("false")).collect())
 
 
+def test_longest_matches():
+    r = random.Random(2)
+    for _ in range(60):
+        items = [(i, " ".join(r.choice("abc") for _ in range(r.randint(0, 12)))) for i in range(3)]
+        texts = [" ".join(r.choice("abcd") for _ in range(r.randint(0, 30))) for _ in range(4)]
+        block = decontaminate.Items([(i, t.encode()) for i, t in items], 4)
+        for text, found in zip(texts, decontaminate.searched(block, [t.encode() for t in texts], True), strict=True):
+            w = text.split()
+            for m in found["longest"]:
+                v = dict((str(i), t) for i, t in items)[m["item"]].split()
+                assert w[m["start"] : m["start"] + m["words"]] == v[m["item_start"] : m["item_start"] + m["words"]] and m["words"] >= min(4, len(v))
+            want = set()
+            for i, t in items:
+                v = t.split()
+                m = min(4, len(v))
+                if m and any(w[p : p + m] == v[q : q + m] for p in range(len(w) - m + 1) for q in range(len(v) - m + 1)):
+                    want.add(str(i))
+            assert set(found["items"]) == want and found["n_words"] == len(w)
+
+
+def test_repeated_words_cost_no_product():
+    block = decontaminate.Items([(1, b"x " * 1000)], 13)
+    found = decontaminate.searched(block, [b"x " * 20000, b"y " + b"x " * 12], True)
+    assert found[0]["ranges"] == [{"begin": 0, "end": 20000}] and found[0]["longest"] == [{"item": "1", "start": 0, "item_start": 0, "words": 1000}] and not found[1]["items"]
+
+
 # -- 5 ------------------------------------------------------------------------------------------------------------
 
 
