@@ -8,8 +8,12 @@ Sampling: a source's rate (target / size) is a number of whole repetitions of ea
 The fraction is a run of the document's words from a seeded place; its length is rounded up or down by a seeded draw for
 each document, so that a source's total comes within a few words of its target, however few or uneven its documents are.
 
+Sizes are counted in one pass, which writes key, source and size; the rest works on that table.
+
 Defined cases: a null text has size 0; null sources are one source, ordered last; a source or a corpus without words has
-target 0; null ids share one draw; repeated rows each count, and get equal results. An empty table gives no rows.
+target 0; rows with null ids draw by their place in the table, so reruns agree as long as its files stay as they are; repeated rows
+each count, and get equal results; texts of any length are counted whole; an empty table gives no rows; columns that are not
+named are not read.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import SPACED
+from peakloom.llm.common import SPACED, durable
 
 WEIGHTS, EPOCHS, SEED = (1, 2, 3), 3, "mix-1"
 
@@ -50,7 +54,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
 
 def draw(seed: str, what: str, key: Column) -> Column:
     """A number from 0 up to 1 that depends on the seed, its purpose and the key alone."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:{what}:"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:{what}:"), key.cast("string")).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
@@ -61,14 +65,15 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     shuffled; the join on a source that holds a third of the rows is split by adaptive execution.
     """
     kept = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]
-    sized = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *kept)
+    place = F.when(F.col(key).isNull(), F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string"))).otherwise(F.col(key).cast("string"))
+    sized = durable(docs.select(F.col(key).alias("key"), place.alias("drawn_by"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *kept), "sizes")
     goal = targets(sized.select("source", "size"), weights, epochs).withColumnRenamed("source", "of")
     rows = sized.join(goal, F.col("source").eqNullSafe(F.col("of")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("rate", rate).withColumn("repeats", F.floor("rate"))
-    part = F.floor((F.col("rate") - F.col("repeats")) * F.col("size") + draw(seed, "part", F.col("key")))
+    part = F.floor((F.col("rate") - F.col("repeats")) * F.col("size") + draw(seed, "part", F.col("drawn_by")))
     rows = rows.withColumn("part_words", part)
-    start = F.floor(draw(seed, "start", F.col("key")) * (F.col("size") - F.col("part_words") + 1))
+    start = F.floor(draw(seed, "start", F.col("drawn_by")) * (F.col("size") - F.col("part_words") + 1))
     return rows.select(
         F.col("key").alias(key), "size", "source_size", "target", (F.col("repeats") * F.col("size") + F.col("part_words")).alias("taken"),
         "repeats", "part_words", F.when(F.col("part_words") > 0, start).alias("part_start"), *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)],

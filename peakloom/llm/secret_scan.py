@@ -3,18 +3,24 @@
 The method: a candidate is a run of 16 or more characters of secrets' alphabets that holds letters and digits, and stands
 within ``reach`` characters after a word such as key or token. In unspaced KEY=value text the word is part of the run: if the
 run itself isn't reported, what follows each = is a candidate too, up to the first one reported. Its novelty is what it adds to the compressed size of its
-surrounding text, for a compressor primed with common identifiers, in bytes a character. Words and identifiers that stand
+surrounding text, for a compressor primed with a dictionary of identifiers, in bytes a character. The dictionary holds common ones and,
+nearest to the text, those that stand in the most documents of the table; only letters and underscores make an identifier, so
+that no key can enter it, however many copies of it there are. Words and identifiers that stand
 in the dictionary or nearby add little; keys add as much as their entropy. Candidates at or above ``novelty`` are reported,
 unless they touch a span that a pattern has found.
 
-Each text is scanned whole and by itself; there is no shuffle. Defined cases: null is the empty text; repeated rows are
-each scanned; offsets count code points, the end is exclusive; without spans the digest is that of the empty string.
+Surroundings are up to ``AROUND`` characters on either side. Each text is scanned whole and by itself, in time that grows with its
+length and its spans; only counts of identifiers, summed in map tasks, are shuffled, and at most ``LISTED`` of them come to the driver.
+Defined cases: null is the empty text; repeated rows are each scanned; offsets count code points, the end is exclusive; without spans the
+digest is that of the empty string; an empty table gives no rows; columns beside key and text are not read by ``scan``, and
+``without_secrets`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
@@ -24,7 +30,7 @@ from pyspark.sql import functions as F
 
 from peakloom.llm.common import by_batch
 
-NOVELTY, REACH, AROUND = 0.5, 48, 256
+NOVELTY, REACH, AROUND, LISTED = 0.5, 48, 256, 2000
 KINDS = ("assign", "access", "hex", "novel")
 #: Patterns of secrets. A hexadecimal or access key pattern with a least length finds what the plain one
 #: finds and the length test keeps, since either match ends where the run of its characters ends.
@@ -46,15 +52,34 @@ IDENTIFIERS = (
 )
 
 
-@lru_cache(1)
-def _primed() -> zstandard.ZstdCompressor:
-    words = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+#: Two or more parts of letters, joined by underscores or by a capital.
+IDENTIFIER = re.compile(r"(?<![A-Za-z0-9_])(?:[A-Za-z]+(?:_+[A-Za-z]+)+|[a-z]+(?:[A-Z][a-z]+)+)(?![A-Za-z0-9_])")
+
+
+def identifiers(docs: DataFrame, text: str = "text", most: int = LISTED, longest: int = 40) -> str:
+    """The identifiers of the most texts, each counted once a text, the most frequent ones last; ties by code point."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        counts: Counter[str] = Counter()
+        for value in batch.column(0).to_pylist():
+            if value:
+                counts.update({w for w in IDENTIFIER.findall(value) if len(w) <= longest})
+        return pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["word", "n"]) if counts else None
+
+    sums = by_batch(docs.select(F.col(text).alias("text")), work, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return " ".join(r["word"] for r in reversed(sums.orderBy(F.desc("n"), "word").limit(most).collect()))
+
+
+@lru_cache(4)
+def _primed(known: str) -> zstandard.ZstdCompressor:
+    words = zstandard.ZstdCompressionDict(f"{IDENTIFIERS} {known}".encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    words.precompute_compress(level=3)
     return zstandard.ZstdCompressor(level=3, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def novelty_of(before: str, candidate: str, after: str) -> float:
+def novelty_of(before: str, candidate: str, after: str, known: str = "") -> float:
     """Compressed bytes that the candidate adds to its surroundings, for each of its characters."""
-    size = lambda s: len(_primed().compress(s.encode("utf-8", "replace")))
+    size = lambda s: len(_primed(known).compress(s.encode("utf-8", "replace")))
     return (size(f"{before} {after} {candidate}") - size(f"{before} {after} ")) / len(candidate)
 
 
@@ -70,22 +95,33 @@ def patterns_in(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def novel_in(text: str, known: list[tuple[int, int, int]], novelty: float = NOVELTY, reach: int = REACH) -> list[tuple[int, int, int]]:
+def _touches(known: list[tuple[int, int, int]], at: int, start: int, end: int) -> bool:
+    while at < len(known) and known[at][0] < end:
+        if start < known[at][2]:
+            return True
+        at += 1
+    return False
+
+
+def novel_in(text: str, known: list[tuple[int, int, int]], novelty: float = NOVELTY, reach: int = REACH, words: str = "") -> list[tuple[int, int, int]]:
     """(start, kind, end) of candidates that the method reports beside the known spans."""
     low = text.lower()
     if not any(w in low for w in CONTEXT_WORDS):
         return []
-    found = []
+    found, at = [], 0
     for m in CANDIDATE.finditer(text):
         first, end = m.span()
+        # Known spans are in order of their starts; those that end before this run are passed for good.
+        while at < len(known) and known[at][2] <= first:
+            at += 1
         if not (DIGIT.search(text, first, end) and LETTER.search(text, first, end)):
             continue
         for start in [first, *(e.end() for e in EQUALS.finditer(text, first, end) if end - e.end() >= LEAST)]:
             if not (CONTEXT.search(text, max(0, start - reach), start) and DIGIT.search(text, start, end) and LETTER.search(text, start, end)):
                 continue
-            if any(a < end and start < b for a, _, b in known):
+            if _touches(known, at, start, end):
                 continue
-            if novelty_of(text[max(0, start - AROUND) : start], text[start:end], text[end : end + AROUND]) >= novelty:
+            if novelty_of(text[max(0, start - AROUND) : start], text[start:end], text[end : end + AROUND], words) >= novelty:
                 found.append((start, 3, end))
                 break
     return found
@@ -94,12 +130,14 @@ def novel_in(text: str, known: list[tuple[int, int, int]], novelty: float = NOVE
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", *, novelty: float = NOVELTY, reach: int = REACH) -> DataFrame:
     """For each row: key, n_assign, n_access, n_hex, n_novel, base_sha256, spans (kind:start:end, comma-joined), and the marked strings."""
 
+    words = identifiers(docs, text)
+
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, digests, spans, strings = [[], [], [], []], [], [], []
         for value in batch.column(1):
             one = value.as_py() or ""
             base = patterns_in(one)
-            every = sorted(base + novel_in(one, base, novelty, reach))
+            every = sorted(base + novel_in(one, base, novelty, reach, words))
             listed = lambda found: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in found)
             for k, column in enumerate(counts):
                 column.append(sum(x[1] == k for x in every))
@@ -118,7 +156,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", *, novelty: f
 def without_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "<secret>", **limits) -> DataFrame:
     """The rows with every span replaced by a mark, all other columns as they are; texts without spans, and nulls, don't change."""
     novelty, reach = limits.get("novelty", NOVELTY), limits.get("reach", REACH)
-    at = docs.columns.index(text)
+    at, words = docs.columns.index(text), identifiers(docs, text)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = []
@@ -127,7 +165,7 @@ def without_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", ma
             if one:
                 base = patterns_in(one)
                 cut, parts = 0, []
-                for start, _, end in sorted(base + novel_in(one, base, novelty, reach)):
+                for start, _, end in sorted(base + novel_in(one, base, novelty, reach, words)):
                     if start >= cut:
                         parts += [one[cut:start], mark]
                     cut = max(cut, end)

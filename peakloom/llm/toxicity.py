@@ -1,7 +1,7 @@
 """Toxicity by two class-conditional Kneser-Ney models over characters.
 
-Texts become sequences of 64 symbols: a to z in either case, digits, one gap for any run of other ASCII, and classes of
-the bytes of other scripts. Each class counts runs of four symbols, each once a
+Texts become sequences of 64 symbols: a to z in either case, digits, one gap for any run of other ASCII, and 36 classes of
+the bytes of other scripts, by their remainder, so that unrelated letters of these share symbols. Each class counts runs of four symbols, each once a
 document, so that one that repeats its lines has no more say than others; what discounting leaves goes to Kneser-Ney
 continuation counts of three, two and one symbols that both classes share, so that runs that neither class has seen, or
 just one has and rarely, say little. The difference of the two log-likelihoods, by symbol, is one table of the runs seen.
@@ -13,7 +13,8 @@ has up to ``FIT_LEAST`` rows in the sample, half of its rows at most, that weigh
 no row outside, all counts serve. There are at most 64^4 runs, whatever the corpus is.
 
 Defined cases: null is the empty text, and gets the score that the fit has for no evidence; rows with a null id or no label
-are never learned from; of repeated labels the largest holds; without rows of both classes every score is 0.
+are never learned from; of repeated labels the largest holds; without rows of both classes every score is 0; repeated rows each
+count and are each scored; an empty table gives no rows; texts of any length are taken whole; ``clean`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -204,7 +205,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def scan(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
-    """The rows with one more column, the score from 0 to 1. Only a map over the rows; the text stays as it is."""
+    """The rows with one more column, the score from 0 to 1, in place of one of that name. Only a map over the rows; the text stays as it is."""
+    docs = docs.drop(*[c for c in docs.columns if c.lower() == into.lower()])
     at, columns = docs.columns.index(text), docs.columns
     if not len(model.keys):
         return docs.withColumn(into, F.lit(0.0))
