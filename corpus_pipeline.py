@@ -4,9 +4,11 @@
 2. near_duplicates: one document of each group of near copies stays (five words a shingle, similarity 0.8).
 3. decontamination: documents that hold benchmark passages go.
 4. secrets: every secret that the scan finds is replaced by a mark; no document goes.
-5. mixing: how often each document is taken, for sources to come near their target weights.
+5. mixing: how often each document is taken, for sources to come near their target weights; the text, as cleaned, stands beside it.
 
-All but the last return the columns of the documents that they get, whatever these are.
+All but the last return the columns of the documents that they get, whatever these are. Nulls, repeated rows, empty texts and empty
+tables are as the operators define them: a null text is never toxic, contaminated or a copy, and has no secrets; repeated ids are one
+document in components; an empty table gives no rows in any stage.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ def _secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, keep=("source",))
+    return mixing.mix(docs, keep=("source", "text"))
 
 
 STAGES = [
