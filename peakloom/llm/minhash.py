@@ -8,12 +8,13 @@
    probed instead (skip), by the signatures that the posted rows carry, a byte for each coordinate. Bytes agree wherever
    coordinates do, so their count of collisions is never too small.
 3. The members of a posted list meet one of them, its hub: the one whose tokens are the most frequent, the text that
-   the others vary (in further rounds, if any, another by a seeded draw). A pair is retained if it has ``match`` collisions, and
-   confirmed on the full sets of shingles, by 64-bit hashes of BLAKE2b word digests. Members that are then known to be connected with the hub have its group.
-4. Lists whose members are still in different groups are finished in cells. Classes are dealt into blocks of about ``block`` by the most
-   frequent token that they are posted under, so that near texts stand together; every two blocks that meet in such a list are a
-   cell, once, whatever the number of lists. A cell is one bounded step of a task: it counts the collisions of all pairs of
-   different groups in its two blocks, retains and confirms them in the same way, and gives links only, no candidate pairs.
+   the others vary. A pair is retained if it has ``match`` collisions, and confirmed on the full sets of shingles, by 64-bit
+   hashes of BLAKE2b word digests. Members that are then known to be connected with the hub have its group.
+4. Lists whose members are still in different groups are finished in cells. Classes that share such lists are dealt into blocks
+   of at most about ``block`` by the weightiest hub that their lists lead to in two steps, so that near texts stand together; a
+   block by itself, and every two blocks that still meet in such a list, are a cell, once, whatever the number of lists. A cell is
+   one bounded step of a task: it counts the collisions of all pairs of different groups in it, retains and confirms them in the
+   same way, and gives links only, no candidate pairs.
 5. Components of the confirmed links, once. Links between members of a group that a hub has joined are contracted before.
 
 Every set takes these steps, however large its group is. Tables that are aggregated are written before they are joined, so that
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from peakloom.llm.common import by_batch, durable, fresh, mixed, removed, runs, text_hashes
 from peakloom.llm.graph import components
 
-SIZE, SIMILAR, COORDINATES, MATCH, HUB_ROUNDS, BLOCK = 5, (80, 100), 64, 32, 1, 256
+SIZE, SIMILAR, COORDINATES, MATCH, BLOCK, BLOCK_BYTES, CACHED = 5, (80, 100), 64, 32, 1024, 32 << 20, 1 << 22
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -89,8 +90,8 @@ def _bytes(text: str):
     return F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text")
 
 
-def postings(classes: DataFrame, coordinates: int, match: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """(token, rep, weight, block, sketch): the tokens of each class that the prefix rule posts and another class holds; and (rep, block).
+def postings(classes: DataFrame, coordinates: int, match: int) -> DataFrame:
+    """(token, rep, weight): the tokens of each class that the prefix rule posts and another class holds.
 
     The weight is the number of rows in all lists that would have the class.
     """
@@ -99,12 +100,9 @@ def postings(classes: DataFrame, coordinates: int, match: int, block: int) -> tu
     ordered = tokens.join(shared, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("held"))
     room = F.size("held") - match + 1  # those that occur once come first in the order, so all of the last ones may be skipped
     weight = F.aggregate("held.n", F.lit(0).cast("long"), lambda x, n: x + n)
-    home = F.element_at("held", F.least(room, F.size("held")))
-    dealt = F.pmod(F.xxhash64("rep"), F.ceil(home["n"] / block))
-    rows = ordered.where(room > 0).select("rep", weight.alias("weight"), F.xxhash64(home["token"], dealt).alias("block"), F.slice("held.token", 1, room).alias("tokens"))
-    ordered = durable(rows.join(classes.select("rep", "sketch"), "rep"), "ordered")
+    found = durable(ordered.where(room > 0).select("rep", weight.alias("weight"), F.explode(F.slice("held.token", 1, room)).alias("token")).select("token", "rep", "weight"), "postings")
     removed(shared)
-    return durable(ordered.select(F.explode("tokens").alias("token"), "rep", "weight", "block", "sketch"), "postings"), ordered.select("rep", "block", "sketch")
+    return found
 
 
 def _collisions(a: str, b: str, coordinates: int) -> Column:
@@ -173,6 +171,8 @@ def _in_cells(rows: DataFrame, similar: tuple[int, int], match: int, coordinates
 
         def held(i: int) -> frozenset:
             if i not in sets:
+                if sum(map(len, sets.values())) > CACHED:
+                    sets.clear()
                 sets[i] = _set(cell[i][4])
             return sets[i]
 
@@ -214,57 +214,68 @@ def _in_cells(rows: DataFrame, similar: tuple[int, int], match: int, coordinates
     return rows.repartition(*order).sortWithinPartitions(*order).select(*order, "side", "node", "group", "sketch", "shingles").mapInArrow(run, "rep long, hub long")
 
 
-def _cells(lists: DataFrame) -> DataFrame:
-    """(one, two, block, side): the blocks that meet in a list, each two once."""
-    blocks = durable(lists.select("token", "block").distinct(), "blocks")
-    met = blocks.withColumnRenamed("block", "one").join(blocks.withColumnRenamed("block", "two"), "token").where("one <= two")
+def _blocks(lists: DataFrame, ends: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
+    """(rep, block) for the members of lists (token, rep): those whose lists lead to the same hub, a bounded number of them in a block."""
+    near = lists.join(ends, "token").groupBy("rep").agg(F.max(F.struct("weight", "hub")).alias("home"))
+    homes = durable(near, "homes")
+    ends = durable(lists.join(homes, "rep").groupBy("token").agg(F.max("home").alias("home")), "ends")
+    found = durable(lists.join(ends, "token").groupBy("rep").agg(F.max("home.hub").alias("home")).join(nodes.select("rep", "n"), "rep"), "homes")
+    parts = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") * 8 / BLOCK_BYTES))
+    sizes = durable(found.groupBy("home").agg(parts.alias("parts")), "sizes")
+    blocks = durable(found.join(sizes, "home").select("rep", F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("block")), "blocks")
+    removed(homes, ends, found, sizes)
+    return blocks
+
+
+def _cells(lists: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(one, two, block, side): each block by itself, and the blocks that meet in a list, each two once."""
+    held = durable(lists.join(blocks, "rep").select("token", "block").distinct(), "held")
+    several = durable(held.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "several")
+    some = durable(held.join(several, "token"), "held")
+    met = some.withColumnRenamed("block", "one").join(some.withColumnRenamed("block", "two"), "token").where("one < two")
     cells = durable(met.select("one", "two").distinct(), "cells")
-    removed(blocks)
-    whole = F.lit(0).alias("side")
-    same = cells.where("one = two").select("one", "two", F.col("one").alias("block"), whole)
-    return same.union(cells.where("one < two").select("one", "two", F.explode(F.array(F.struct(F.col("one").alias("block"), F.lit(1).alias("side")), F.struct(F.col("two").alias("block"), F.lit(2).alias("side")))).alias("s")).select("one", "two", "s.block", "s.side"))
+    removed(held, several, some)
+    sides = F.explode(F.array(F.struct(F.col("one").alias("block"), F.lit(1).alias("side")), F.struct(F.col("two").alias("block"), F.lit(2).alias("side"))))
+    same = blocks.select("block").distinct().select(F.col("block").alias("one"), F.col("block").alias("two"), "block", F.lit(0).alias("side"))
+    return same.union(cells.select("one", "two", sides.alias("s")).select("one", "two", "s.block", "s.side"))
 
 
-def links(posted: DataFrame, nodes: DataFrame, sets: DataFrame, similar: tuple[int, int], match: int, hub_rounds: int, coordinates: int) -> tuple[DataFrame, DataFrame]:
+def links(posted: DataFrame, nodes: DataFrame, sets: DataFrame, similar: tuple[int, int], match: int, coordinates: int, block: int) -> tuple[DataFrame, DataFrame]:
     """(node, group), and the confirmed links (rep, hub); nodes of one group are connected by links."""
-    groups = durable(nodes.select(F.col("rep").alias("node"), F.col("rep").alias("group")), "groups")
-    found = None
-    of = lambda x: groups.select(F.col("node").alias(x), "group")
-    for turn in range(hub_rounds):
-        now = posted.join(of("rep"), "rep")
-        order = F.col("weight") if turn == 0 else F.xxhash64("rep", F.lit(turn))
-        hub = F.max(F.struct(order.alias("order"), -F.col("rep"), F.col("rep").alias("hub"), F.col("group").alias("hub_group"), F.col("sketch").alias("hub_sketch"))).alias("m")
-        ends = now.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high"), hub).where("low <> high")
-        ends = durable(ends.select("token", "m.hub", "m.hub_group", "m.hub_sketch"), "ends")
-        pairs = now.join(ends, "token").where((F.col("group") != F.col("hub_group")) & (_collisions("sketch", "hub_sketch", coordinates) >= match))
-        pairs = durable(pairs.select("rep", "hub").distinct(), "pairs")
-        some = durable(confirmed(pairs, sets, similar), "links")
-        removed(pairs, ends)
-        found = some if found is None else found.union(some)
-        # What a hub is linked with gets the hub's group, if that is the smallest of those that link it.
-        step = some.join(groups.select(F.col("node").alias("hub"), F.col("group").alias("of")), "hub").groupBy(F.col("rep").alias("node")).agg(F.min("of").alias("of"))
-        step = durable(step, "step")
-        after = durable(groups.join(step, "node", "left").select("node", F.coalesce("of", "group").alias("group")), "groups")
-        removed(groups, step)
-        groups = after
-    now = posted.select("token", "rep", "block").join(of("rep"), "rep")
+    hub = F.max(F.struct("weight", (-F.col("rep")).alias("order"))).alias("m")
+    ends = durable(posted.groupBy("token").agg(hub).select("token", "m.weight", (-F.col("m.order")).alias("hub")), "ends")
+    pairs = durable(posted.select("token", "rep").join(ends.select("token", "hub"), "token").where("rep <> hub").select("rep", "hub").distinct(), "pairs")
+    sketch = lambda x: nodes.select(F.col("rep").alias(x), F.col("sketch").alias(f"sketch_{x}"))
+    counted = pairs.join(sketch("rep"), "rep").join(sketch("hub"), "hub").where(_collisions("sketch_rep", "sketch_hub", coordinates) >= match)
+    retained = durable(counted.select("rep", "hub"), "retained")
+    found = durable(confirmed(retained, sets, similar), "links")
+    # What a hub is linked with gets the hub's group, if that is the smallest of those that link it.
+    step = durable(found.groupBy(F.col("rep").alias("node")).agg(F.min("hub").alias("of")), "step")
+    groups = durable(nodes.select(F.col("rep").alias("node")).join(step, "node", "left").select("node", F.coalesce("of", "node").alias("group")), "groups")
+    now = posted.select("token", "rep").join(groups.withColumnRenamed("node", "rep"), "rep")
     open_ = durable(now.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("token"), "open")
-    cells = _cells(now.join(open_, "token"))
-    members = nodes.withColumnRenamed("rep", "node").join(groups, "node").join(sets.withColumnRenamed("key", "node"), "node")
-    some = durable(_in_cells(cells.join(durable(members, "members"), "block"), similar, match, coordinates), "links")
-    return groups, some if found is None else found.union(some)
+    lists = durable(posted.select("token", "rep").join(open_, "token"), "lists")
+    blocks = _blocks(lists, ends, nodes, block)
+    cells = _cells(lists, blocks)
+    members = blocks.withColumnRenamed("rep", "node").join(groups, "node").join(nodes.select(F.col("rep").alias("node"), "sketch"), "node").join(sets.withColumnRenamed("key", "node"), "node")
+    members = durable(members, "members")
+    some = durable(_in_cells(cells.join(members, "block"), similar, match, coordinates), "links")
+    removed(ends, pairs, retained, step, open_, lists, blocks, members)
+    return groups, found.union(some)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *, size: int = SIZE, similar: tuple[int, int] = SIMILAR, coordinates: int = COORDINATES, match: int = MATCH, hub_rounds: int = HUB_ROUNDS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *, size: int = SIZE, similar: tuple[int, int] = SIMILAR, coordinates: int = COORDINATES, match: int = MATCH, block: int = BLOCK) -> DataFrame:
     """For each row: key, n_shingles, component_id (the smallest id that links reach) and kept (whether that is its own)."""
     drawn = durable(sketches(docs, key, text, size, coordinates), "sketches")
     rows = drawn.where("n > 0 AND key IS NOT NULL")
     classes = durable(rows.groupBy("n", "one", "two").agg(F.min("key").alias("rep"), F.any_value("signature").alias("signature"), F.any_value("sketch").alias("sketch")), "classes")
-    posted, posting = postings(classes, coordinates, match, block)
-    nodes = durable(posting.groupBy("rep").agg(F.min("block").alias("block"), F.any_value("sketch").alias("sketch")), "nodes")
-    texts = docs.select(F.col(key).cast("long").alias("key"), _bytes(text)).join(nodes.select(F.col("rep").alias("key")), "key")
+    posted = postings(classes, coordinates, match)
+    ids = durable(posted.select("rep").distinct(), "ids")
+    nodes = durable(classes.select("rep", "n", "sketch").join(ids, "rep").groupBy("rep").agg(F.max("n").alias("n"), F.any_value("sketch").alias("sketch")), "nodes")
+    # One plan at every size: the ids grow with the corpus, and are never broadcast.
+    texts = docs.select(F.col(key).cast("long").alias("key"), _bytes(text)).join(ids.select(F.col("rep").alias("key")).hint("merge"), "key")
     sets = durable(full_sets(texts, size).distinct(), "sets")
-    groups, found = links(posted, nodes, sets, similar, match, hub_rounds, coordinates)
+    groups, found = links(posted, nodes, sets, similar, match, coordinates, block)
     group = lambda x: groups.select(F.col("node").alias(x), F.col("group").alias(f"of_{x}"))
     met = found.join(group("rep"), "rep").join(group("hub"), "hub").where("of_rep <> of_hub").select(F.col("of_rep").alias("a"), F.col("of_hub").alias("b"))
     own = groups.where("node <> group").select(F.col("node").alias("a"), F.col("group").alias("b"))
@@ -275,7 +286,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
         own = own.union(same.select(F.col("key").alias("a"), F.col("rep").alias("b")))
     joined = components(met.distinct().union(own.where("a <> b")))
     named = durable(classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("n", "one", "two", F.coalesce("component", "rep").alias("component")), "named")
-    removed(posted, nodes, sets, groups, several, joined, classes)
+    removed(posted, ids, nodes, sets, groups, several, joined, classes)
     component = F.when(F.col("key").isNotNull(), F.coalesce("component", "key"))
     out = drawn.select("key", "n", "one", "two").join(named, ["n", "one", "two"], "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("key"), F.lit(True)).alias("kept"))

@@ -508,7 +508,7 @@ def plain_components(rows, size, similar=(80, 100)):
     return [(rows[i][0], len(sets[i]), None if rows[i][0] is None else min(rows[j][0] for j in group[root(i)])) for i in range(len(rows))]
 
 
-@pytest.mark.parametrize(("size", "limits"), [(4, {}), (5, {}), (4, {"hub_rounds": 0}), (4, {"match": 20})])
+@pytest.mark.parametrize(("size", "limits"), [(4, {}), (5, {}), (4, {"block": 3}), (4, {"match": 20})])
 def test_minhash(docs, rows, size, limits):
     found = minhash.near_duplicates(docs, size=size, **limits).collect()
     some = lambda x: tuple(-1 if y is None else y for y in x)
@@ -516,6 +516,31 @@ def test_minhash(docs, rows, size, limits):
     assert all(r.kept == (r.doc_id == r.component_id or r.doc_id is None) for r in found)
 
 
+def test_minhash_near_the_threshold(spark):
+    """Sets at 78 to 82 % similarity, in pairs and in one group: recall is 1, whatever the size of the blocks."""
+    r = random.Random(9)
+    rows = []
+    for i in range(300):
+        words = [f"{i}w{k}" for k in range(900)]
+        # Of 897 shingles of four words, c changed words far from each other take four each: (897 - 4c) / (897 + 4c).
+        changed = list(words)
+        for k in r.sample(range(10, 890, 10), (23, 24, 25, 26)[i % 4]):
+            changed[k] += "x"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(changed))]
+    base = [f"b{k}" for k in range(300)]
+    for i in range(150):
+        near = list(base)
+        for k in r.sample(range(5, 295, 5), r.choice([3, 5, 8, 9])):
+            near[k] = f"v{i}x{k}"
+        rows.append((1000 + i, " ".join(near)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = sorted(plain_components([(i, t) for i, t in rows], 4))
+    for block in (minhash.BLOCK, 40):
+        assert sorted(tuple(x)[:3] for x in minhash.near_duplicates(docs, size=4, block=block).collect()) == want
+    similar = [(897 - 4 * c) / (897 + 4 * c) for c in (23, 24, 25, 26)]
+    assert similar[1] > 0.8 > similar[2]
+
+
 def test_deduplicated(docs, rows, none):
     kept = minhash.deduplicated(docs)
     want = {i for i, _, c in plain_components(rows, 5) if i == c}
