@@ -3,15 +3,15 @@
 A word, with a gap in front, can be cut into the vocabulary's pieces in many ways; its probability is the sum over all of them,
 by the forward recursion over its bytes in log space. Pieces never cross a gap, so a text's probability is the product over
 its words and one end. Pieces weigh as the vocabulary's own scores say; in this file these are ranks, taken by Zipf's law.
-Single bytes are pieces too, so every text has a probability. ``score`` is by these weights. ``fitted_score`` is by weights that one
-round of expected counts over all training words (forward and backward) has fitted, with the vocabulary's as a prior.
-Beside them the base score: words' counts in the training texts with one added.
+Single bytes are pieces too, so every text has a probability. The pieces and their weights are as the vocabulary has them; what is
+learned from the training texts is the base score: words' counts with one added.
 
-1. One pass over the texts writes the distinct words of each text with their counts, as 64-bit BLAKE2b hashes, and the
-   spelling and training count of the distinct words of each few MB of text.
-2. The latter are summed to one row for each word of the corpus; each of these is spelled out and scored once.
-3. The words of each text meet these rows by a sort-merge join of written tables, so that a word that stands in a third of all
-   texts is split like any skewed key, and the texts' sums are grouped by a number of the row. No text is shuffled.
+1. One pass over the texts writes a row for every few MB of them: a dictionary of the distinct words, as 64-bit BLAKE2b hashes with
+   their spelling and training count, and for each text its words as places in that dictionary, with counts.
+2. The dictionaries are summed to one row for each word of the corpus; each of these is scored once.
+3. Dictionary entries meet the words' rows by a sort-merge join of written tables, so that a word that stands in a third of all
+   texts has one row for each few MB, and is split like any skewed key; what they are told is grouped by dictionary and joined
+   to its texts. No text is shuffled, and no word is read twice.
 
 A word of over ``LONG`` bytes is scored in segments, with one number for each byte of it.
 
@@ -23,6 +23,7 @@ text, and of a word, is taken whole; columns beside key and text are not read, w
 from __future__ import annotations
 
 import math
+import uuid
 from array import array
 from collections.abc import Iterator
 
@@ -31,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import by_batch, crc_of, durable, hashes_of, mixed, pieces, removed, spaced_words
+from peakloom.llm.common import by_batch, crc_of, durable, hashes_of, mixed, pieces, spaced_words
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-PIECE_BYTES, PRIOR, ZIPF, LONG, SEGMENT = 2 << 20, 1000.0, 10.0, 1024, 1 << 15
+PIECE_BYTES, ZIPF, LONG, SEGMENT = 8 << 20, 10.0, 1024, 1 << 15
 
 
 class _Rolling:
@@ -139,23 +140,10 @@ class Vocabulary:
             alpha.append(total)
         return alpha
 
-    def expected(self, arcs: list, alpha: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
-        """Expected number of each piece, over all cuts by their probability and over words by their weights."""
-        n, rows = len(arcs) - 1, len(weights)
-        beta = [np.full(rows, -np.inf) for _ in range(n)] + [np.zeros(rows)]
-        out = np.zeros(len(self.log))
-        for end in range(n, 0, -1):
-            for start, held, piece in arcs[end]:
-                tail = self.log[piece] + beta[end][held]
-                beta[start][held] = np.logaddexp(beta[start][held], tail)
-                out += np.bincount(piece, np.exp(alpha[start][held] + tail - alpha[n][held]) * weights[held], len(out))
-        return out
-
-    def segments(self, word: np.ndarray, backward: bool = False) -> Iterator[list[tuple[int, int, int, float]]]:
-        """The arcs (start, end, piece, log weight) of a long word, in order of their starts, a segment of starts at a time."""
+    def segments(self, word: np.ndarray) -> Iterator[list[tuple[int, int, float]]]:
+        """The arcs (start, end, log weight) of a long word, in order of their starts, a segment of starts at a time."""
         n = len(word)
-        begins = range(0, n, SEGMENT)
-        for a in reversed(begins) if backward else begins:
+        for a in range(0, n, SEGMENT):
             b = min(a + SEGMENT, n)
             part = word[a : min(b + self.longest, n)]
             starts, ends, found = [np.arange(b - a)], [np.arange(b - a) + 1], [part[: b - a].astype(np.int64)]
@@ -167,33 +155,24 @@ class Vocabulary:
                 ends.append(held + size)
                 found.append(pieces_at[held])
             starts, ends, found = (np.concatenate(c) for c in (starts, ends, found))
-            order = np.argsort(-starts if backward else starts, kind="stable")
-            yield list(zip((starts[order] + a).tolist(), (ends[order] + a).tolist(), found[order].tolist(), self.log[found[order]].tolist(), strict=True))
+            order = np.argsort(starts, kind="stable")
+            yield list(zip((starts[order] + a).tolist(), (ends[order] + a).tolist(), self.log[found[order]].tolist(), strict=True))
 
-    def score_long(self, word: np.ndarray, counts: np.ndarray | None = None, weight: float = 1.0) -> float:
-        """Natural log probability of one word of any length; adds to the expected counts of pieces, if given."""
-        n, none = len(word), -math.inf
-        alpha = array("d", [none]) * (n + 1)
+    def score_long(self, word: np.ndarray) -> float:
+        """Natural log probability of one word of any length."""
+        none = -math.inf
+        alpha = array("d", [none]) * (len(word) + 1)
         alpha[0] = 0.0
         for arcs in self.segments(word):
-            for start, end, _, log in arcs:
+            for start, end, log in arcs:
                 x, y = alpha[end], alpha[start] + log
                 high, low = (x, y) if x > y else (y, x)
                 alpha[end] = high if low == none else high + math.log1p(math.exp(low - high))
-        if counts is not None:
-            beta = array("d", [none]) * (n + 1)
-            beta[n] = 0.0
-            for arcs in self.segments(word, backward=True):
-                for start, end, piece, log in arcs:
-                    x, y = beta[start], beta[end] + log
-                    high, low = (x, y) if x > y else (y, x)
-                    beta[start] = high if low == none else high + math.log1p(math.exp(low - high))
-                    counts[piece] += weight * math.exp(alpha[start] + y - alpha[n])
-        return alpha[n]
-
-    def score(self, words: list[bytes], weights: np.ndarray | None = None):
-        """Natural log probability of each word; with weights, the expected counts of pieces too. The empty word is the end."""
-        scores, counts = np.zeros(len(words)), np.zeros(len(self.log))
+        return alpha[-1]
+
+    def score(self, words: list[bytes]) -> np.ndarray:
+        """Natural log probability of each word. The empty word is the end."""
+        scores = np.zeros(len(words))
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         data = np.frombuffer(b"".join(words), np.uint8)
         starts = np.cumsum(sizes) - sizes
@@ -201,102 +180,95 @@ class Vocabulary:
             every = np.flatnonzero(sizes == size)
             if size == 0:
                 scores[every] = self.log[-1]
-                counts[-1] += 0.0 if weights is None else weights[every].sum()
                 continue
             if size > LONG:
                 for i in every.tolist():
-                    word = np.append(np.uint8(32), data[starts[i] : starts[i] + size])
-                    scores[i] = self.score_long(word, None if weights is None else counts, 1.0 if weights is None else float(weights[i]))
+                    scores[i] = self.score_long(np.append(np.uint8(32), data[starts[i] : starts[i] + size]))
                 continue
             most = max(1, (1 << 18) // (size + 1))
             for i in range(0, len(every), most):
                 at = every[i : i + most]
                 rows = np.concatenate((np.full((len(at), 1), 32, np.uint8), data[starts[at][:, None] + np.arange(size)]), axis=1)
-                arcs = self.lattice(rows)
-                alpha = self.forward(arcs, len(at))
-                scores[at] = alpha[-1]
-                if weights is not None:
-                    counts += self.expected(arcs, alpha, weights[at])
-        return scores, counts
+                scores[at] = self.forward(self.lattice(rows), len(at))[-1]
+        return scores
 
 
-def occurrences(rows: DataFrame) -> DataFrame:
-    """From (row, key, train, text): for each row its distinct words with their counts, and, with a null row, the spelling and training count of words."""
+_PART = "part string, keys array<long>, train array<boolean>, n_tokens array<long>, kinds array<int>, places binary, counts binary, words array<long>, spelled array<binary>, sums array<long>"
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, "text", PIECE_BYTES) if batch.num_rows else ():
-                yield one(part)
+
+def dictionaries(rows: DataFrame) -> DataFrame:
+    """From (key, train, text): a row for every few MB of texts, with their dictionary and each text's words as places in it."""
+    layout = pa.schema([("part", pa.string()), ("keys", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int32())), ("places", pa.binary()), ("counts", pa.binary()), ("words", pa.list_(pa.int64())), ("spelled", pa.list_(pa.binary())), ("sums", pa.list_(pa.int64()))])
 
     def one(part: pa.RecordBatch) -> pa.RecordBatch:
-        spelled: dict[int, bytes] = {}
-        sums: dict[int, int] = {}
-        words, counts, sizes = [], [], []
-        for text, train in zip(part.column(3).to_pylist(), part.column(2).to_pylist(), strict=True):
-            tokens = [*spaced_words(text, lower=True), b""]
-            hashes = hashes_of(tokens).view(np.int64)
-            found, first, n = np.unique(hashes, return_index=True, return_counts=True)
-            words.append(found)
-            counts.append(n)
+        tokens, sizes = [], []
+        for text in part.column(2):
+            tokens += spaced_words(text.as_py(), lower=True)
+            tokens.append(b"")
             sizes.append(len(tokens))
-            for h, i, k in zip(found.tolist(), first.tolist(), n.tolist(), strict=True):
-                if h not in spelled:
-                    spelled[h], sums[h] = tokens[i], 0
-                if train:
-                    sums[h] += k
-        words.append(np.fromiter(spelled, np.int64, len(spelled)))
-        counts.append(np.fromiter(sums.values(), np.int64, len(sums)))
-        ends = pa.array(np.append(0, np.cumsum([len(w) for w in words])).astype(np.int32))
-        n = part.num_rows
-        more = lambda column, kind: pa.concat_arrays([column.cast(kind), pa.nulls(1, kind)])
-        letters = pa.ListArray.from_arrays(pa.array([0] * (n + 1) + [len(spelled)], pa.int32()), pa.array(list(spelled.values()), pa.binary()))
-        columns = [more(part.column(0), pa.int64()), more(part.column(1), pa.int64()), more(part.column(2), pa.bool_()), pa.array([*sizes, None], pa.int64())]
-        columns += [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(c))) for c in (words, counts)]
-        return pa.RecordBatch.from_arrays([*columns, letters], names=["row", "key", "train", "n_tokens", "words", "counts", "spelled"])
-
-    return durable(rows.select("row", "key", "train", "text").mapInArrow(work, "row long, key long, train boolean, n_tokens long, words array<long>, counts array<long>, spelled array<binary>"), "occurrences")
-
-
-def fitted(words: DataFrame, vocabulary: Vocabulary, prior: float = PRIOR) -> np.ndarray:
-    """Log weights after one round of expected counts over (spelled, total) rows; one row for each piece comes to the driver."""
-    sent = words.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts = sent.value.score(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float))[1]
-        held = np.flatnonzero(counts)
-        return pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[held])], names=["piece", "n"])
-
-    counts = np.zeros(len(vocabulary.log))
-    for r in by_batch(words.where("total > 0").select("spelled", "total"), work, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
-        counts[r["piece"]] = r["n"]
-    return np.log((counts + prior * np.exp(vocabulary.log)) / (counts.sum() + prior))
+        sizes = np.diff(sizes, prepend=0)
+        train = part.column(1).to_numpy(zero_copy_only=False)
+        words, first, place = np.unique(hashes_of(tokens), return_index=True, return_inverse=True)
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        held, counts = np.unique(text * len(words) + place, return_counts=True)
+        sums = np.bincount(place, train[text], len(words)).astype(np.int64)
+        cells = {
+            "part": str(uuid.uuid4()), "keys": part.column(0).to_pylist(), "train": train.tolist(), "n_tokens": sizes, "kinds": np.bincount(held // len(words), minlength=len(sizes)),
+            "places": (held % len(words)).astype(np.int32).tobytes(), "counts": counts.astype(np.int32).tobytes(),
+            "words": words.view(np.int64), "spelled": [tokens[i] for i in first.tolist()], "sums": sums,
+        }
+        return pa.RecordBatch.from_arrays([pa.array([cells[f.name]], f.type) for f in layout], schema=layout)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+        for batch in batches:
+            for part in pieces(batch, "text", PIECE_BYTES) if batch.num_rows else ():
+                waiting.append(part)
+                size += part.nbytes
+                if size >= PIECE_BYTES:
+                    yield one(_joined(waiting))
+                    waiting, size = [], 0
+        if waiting:
+            yield one(_joined(waiting))
+
+    return durable(rows.select("key", "train", "text").mapInArrow(run, _PART), "dictionaries")
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", *, model_file: str = MODEL) -> DataFrame:
-    """For each row: key, held_out, n_tokens, n_known, train_tokens, base_score, score and fitted_score, all log10."""
-    spark, vocabulary = docs.sparkSession, Vocabulary(model_file)
+    """For each row: key, held_out, n_tokens, n_known, train_tokens, base_score and score, both log10."""
     texts = F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text")
-    found = occurrences(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("key"), (~held_out(F.col(key))).alias("train"), texts))
-    listed = found.where("row IS NULL").select(F.explode(F.arrays_zip("words", "counts", "spelled")).alias("w")).select("w.words", "w.counts", "w.spelled")
-    words = durable(listed.groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("total"), F.any_value("spelled").alias("spelled")), "words")
+    found = dictionaries(docs.select(F.col(key).cast("long").alias("key"), (~held_out(F.col(key))).alias("train"), texts))
+    listed = found.select(F.explode(F.arrays_zip("words", "sums", "spelled")).alias("w")).select("w.words", "w.sums", "w.spelled")
+    words = durable(listed.groupBy(F.col("words").alias("word")).agg(F.sum("sums").alias("total"), F.any_value("spelled").alias("spelled")), "words")
     train_tokens, distinct_tokens = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count(F.when(F.col("total") > 0, 1))).first()
-    other = Vocabulary(model_file)
-    other.log = fitted(words, vocabulary)
-    sent = spark.sparkContext.broadcast((vocabulary, other))
+    sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(model_file))
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        spelled, own = batch.column(2).to_pylist(), batch.column(1).to_numpy()
-        logs = [pa.array(v.score(spelled)[0] / np.log(10)) for v in sent.value]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(own > 0), pa.array(np.log10(own + 1.0)), *logs], names=["word", "known", "log", "own", "fit"])
+    def spell(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sent.value.score(batch.column(2).to_pylist()) / np.log(10))], names=["word", "total", "log"])
 
-    scored = durable(by_batch(words.select("word", "total", "spelled"), work, "word long, known boolean, log double, own double, fit double"), "scored")
-    tokens = found.where("row IS NOT NULL").select("row", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    scored = durable(by_batch(words.select("word", "total", "spelled"), spell, "word long, total long, log double"), "scored")
     # One plan at every size: the words' rows grow with the corpus, and are never broadcast.
-    met = tokens.join(scored.hint("merge"), "word")
-    total = lambda c: F.sum(F.col("n") * F.col(c))
-    sums = met.groupBy("row").agg(F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("n_known"), total("log").alias("logs"), total("own").alias("score"), total("fit").alias("fitted_score"))
-    sums = durable(sums, "sums")
-    removed(words, scored)
-    out = found.where("row IS NOT NULL").select("row", "key", "train", "n_tokens").join(sums, "row")
+    asked = found.select("part", F.posexplode("words").alias("place", "word"))
+    told = asked.join(scored.hint("merge"), "word").groupBy("part").agg(F.collect_list(F.struct("place", "total", "log")).alias("told"))
+    texts = found.select("part", "keys", "train", "n_tokens", "kinds", "places", "counts").join(told.hint("merge"), "part")
+
+    def add(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for n in range(batch.num_rows):
+            row = {c: batch.column(i)[n] for i, c in enumerate(batch.schema.names)}
+            told = row["told"].values
+            order = np.argsort(told.field(0).to_numpy())
+            total, log = told.field(1).to_numpy()[order], told.field(2).to_numpy()[order]
+            places, counts = (np.frombuffer(row[c].as_buffer(), np.int32) for c in ("places", "counts"))
+            kinds = row["kinds"].values.to_numpy()
+            starts = np.cumsum(kinds) - kinds
+            summed = lambda values, counts=counts, starts=starts: np.add.reduceat(values * counts, starts)
+            columns = [row["keys"].values, row["train"].values, row["n_tokens"].values, pa.array(summed((total > 0).astype(np.int64)[places])), pa.array(summed(np.log10(total + 1.0)[places])), pa.array(summed(log[places]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "train", "n_tokens", "n_known", "logs", "score"])
+
+    out = texts.mapInArrow(lambda batches: (r for b in batches for r in add(b)), "key long, train boolean, n_tokens long, n_known long, logs double, score double")
     base = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(train_tokens + distinct_tokens + 1))
-    return out.select(F.col("key").alias(key), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "fitted_score")
+    return out.select(F.col("key").alias(key), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -573,7 +573,7 @@ def test_lattice(docs, rows, none):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in found) == want
     base = {i: sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t) for (i, *_), t in zip(rows, tokens, strict=True)}
     assert all(math.isclose(r.base_score, base[r.doc_id], rel_tol=1e-9) for r in found)
-    # The score of a text is that of its words, each summed over all cuts by the plain recursion; the fit raises the training texts.
+    # The score of a text is that of its words, each summed over all cuts by the plain recursion.
     vocabulary = lattice.Vocabulary()
     weights = defaultdict(float)
     for piece, log in zip(vocabulary.texts, vocabulary.log, strict=False):
@@ -588,7 +588,6 @@ def test_lattice(docs, rows, none):
         if max(map(len, t)) < 500 and i is not None:
             want = (sum(plain(b" " + w) for w in t[:-1]) + vocabulary.log[-1]) / math.log(10)
             assert math.isclose(next(r.score for r in found if r.doc_id == i), want, rel_tol=1e-9)
-    assert sum(r.fitted_score for r in found if not r.held_out) > sum(r.score for r in found if not r.held_out)
     assert lattice.scan(none).count() == 0
 
 
@@ -602,21 +601,17 @@ def test_lattice_sums_over_all_cuts():
         return 1.0 if not word else sum(weights[word[:i]] * plain(word[i:]) for i in range(1, len(word) + 1) if weights.get(word[:i]))
 
     words = [b"the", b"there", b"\xc3\xa9t\xc3\xa9", b"q#z", b"international"[:9], b"a"]
-    scores, counts = vocabulary.score(words, np.ones(len(words)))
-    assert np.allclose(scores, [math.log(plain(b" " + w)) for w in words])
-    sizes = np.array([len(t) for t in vocabulary.texts])
-    assert math.isclose((counts[:-1] * sizes).sum(), sum(len(w) + 1 for w in words))
+    assert np.allclose(vocabulary.score(words), [math.log(plain(b" " + w)) for w in words])
 
 
 def test_lattice_of_long_words(monkeypatch):
     vocabulary = lattice.Vocabulary()
     r = random.Random(1)
     words = ["".join(r.choice(["the", "é", "漢字", "tion", "zq", "0"]) for _ in range(k)).encode() for k in (3, 40, 150, 150)]
-    want, counts = vocabulary.score(words, np.arange(1.0, 5.0))
+    want = vocabulary.score(words)
     monkeypatch.setattr(lattice, "LONG", 5)
     monkeypatch.setattr(lattice, "SEGMENT", 37)
-    long, more = vocabulary.score(words, np.arange(1.0, 5.0))
-    assert np.allclose(long, want) and np.allclose(more, counts)
+    assert np.allclose(vocabulary.score(words), want)
 
 
 # -- 9 ------------------------------------------------------------------------------------------------------------
