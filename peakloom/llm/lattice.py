@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import by_batch, crc_of, durable, hashes_of, mixed, pieces, spaced_words
+from peakloom.llm.common import by_batch, crc_of, durable, hashes_of, mixed, pieces, removed, spaced_words
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 PIECE_BYTES, ZIPF, LONG, SEGMENT = 8 << 20, 10.0, 1024, 1 << 15
@@ -193,12 +193,12 @@ class Vocabulary:
         return scores
 
 
-_PART = "part string, keys array<long>, train array<boolean>, n_tokens array<long>, kinds array<int>, places binary, counts binary, words array<long>, spelled array<binary>, sums array<long>"
+_PART = "part long, keys array<long>, train array<boolean>, n_tokens array<long>, kinds array<int>, places binary, counts binary, words array<long>, spelled array<binary>, sums array<long>"
 
 
 def dictionaries(rows: DataFrame) -> DataFrame:
     """From (key, train, text): a row for every few MB of texts, with their dictionary and each text's words as places in it."""
-    layout = pa.schema([("part", pa.string()), ("keys", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int32())), ("places", pa.binary()), ("counts", pa.binary()), ("words", pa.list_(pa.int64())), ("spelled", pa.list_(pa.binary())), ("sums", pa.list_(pa.int64()))])
+    layout = pa.schema([("part", pa.int64()), ("keys", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int32())), ("places", pa.binary()), ("counts", pa.binary()), ("words", pa.list_(pa.int64())), ("spelled", pa.list_(pa.binary())), ("sums", pa.list_(pa.int64()))])
 
     def one(part: pa.RecordBatch) -> pa.RecordBatch:
         tokens, sizes = [], []
@@ -213,7 +213,7 @@ def dictionaries(rows: DataFrame) -> DataFrame:
         held, counts = np.unique(text * len(words) + place, return_counts=True)
         sums = np.bincount(place, train[text], len(words)).astype(np.int64)
         cells = {
-            "part": str(uuid.uuid4()), "keys": part.column(0).to_pylist(), "train": train.tolist(), "n_tokens": sizes, "kinds": np.bincount(held // len(words), minlength=len(sizes)),
+            "part": uuid.uuid4().int >> 65, "keys": part.column(0).to_pylist(), "train": train.tolist(), "n_tokens": sizes, "kinds": np.bincount(held // len(words), minlength=len(sizes)),
             "places": (held % len(words)).astype(np.int32).tobytes(), "counts": counts.astype(np.int32).tobytes(),
             "words": words.view(np.int64), "spelled": [tokens[i] for i in first.tolist()], "sums": sums,
         }
@@ -251,6 +251,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", *, model_file
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sent.value.score(batch.column(2).to_pylist()) / np.log(10))], names=["word", "total", "log"])
 
     scored = durable(by_batch(words.select("word", "total", "spelled"), spell, "word long, total long, log double"), "scored")
+    removed(words)
     # One plan at every size: the words' rows grow with the corpus, and are never broadcast.
     asked = found.select("part", F.posexplode("words").alias("place", "word"))
     told = asked.join(scored.hint("merge"), "word").groupBy("part").agg(F.collect_list(F.struct("place", "total", "log")).alias("told"))
