@@ -175,15 +175,10 @@ def _gaussian_sql(peaks: str, low: float, high: float, width: float) -> str:
 
 @register(
     "spec_gaussian_vector",
-    f"""WITH {_SPECTRA}, v AS (SELECT id, {_gaussian_sql('c', -10.0, 230.0, 2.0)} AS v FROM spectra WHERE id % 20 = 0)
+    f"""WITH {_SPECTRA}, v AS (SELECT id, {_gaussian_sql('c', -10.0, 230.0, 2.0)} AS v FROM spectra)
     SELECT id, pos, round(x, 6) AS value FROM (SELECT id, unnest(v) AS x, unnest(range(128)) AS pos FROM v) WHERE round(x, 6) > 0""",
 )
 def spec_gaussian_vector(spark, sf_dir):
-    return _gaussian_vectors(_spectra(spark, sf_dir).where("id % 20 = 0"))
-
-
-@register("spec_gaussian_vector_whole")
-def spec_gaussian_vector_whole(spark, sf_dir):
     return _gaussian_vectors(_spectra(spark, sf_dir))
 
 
@@ -217,18 +212,13 @@ def _vector_reranked(spectra: DataFrame) -> DataFrame:
 
 @register(
     "spec_greedy_match",
-    f"""WITH RECURSIVE {_SPECTRA}, s AS (SELECT id, h, c FROM spectra WHERE id % 10 = 0),
+    f"""WITH RECURSIVE {_SPECTRA}, s AS (SELECT id, h, c FROM spectra),
     g(id, n, acc, rest, q, m) AS (SELECT id, 0, 0.0::DOUBLE, c, h, len(c) FROM s UNION ALL
       SELECT id, n + 1, acc + exp(-pow(near[1], 2) / 200), list_concat(rest[1:near[2]::INT - 1], rest[near[2]::INT + 1:]), q, m FROM
       (SELECT *, list_min(list_transform(range(1, len(rest) + 1), lambda i: [abs(rest[i] - q[n + 1]), i::DOUBLE])) AS near FROM g WHERE n < len(q) AND len(rest) > 0))
     SELECT id, round(CASE WHEN any_value(len(q)) = 0 OR any_value(m) = 0 THEN 0 ELSE max(acc) / greatest(any_value(len(q)), any_value(m)) END, 6) AS score FROM g GROUP BY id""",
 )
 def spec_greedy_match(spark, sf_dir):
-    return _greedily_matched(_spectra(spark, sf_dir).where("id % 10 = 0"))
-
-
-@register("spec_greedy_match_whole")
-def spec_greedy_match_whole(spark, sf_dir):
     return _greedily_matched(_spectra(spark, sf_dir))
 
 
@@ -323,14 +313,9 @@ def peak_regions(spark, sf_dir):
 
 @register(
     "spectrum_flatten",
-    f"WITH {_SPECTRA} SELECT id, pos, shift, kind FROM (SELECT id, unnest(list_concat(h, c)) AS shift, unnest(range(len(h) + len(c))) AS pos, unnest(list_concat(list_transform(h, lambda x: 0), list_transform(c, lambda x: 1))) AS kind FROM spectra WHERE id % 7 = 0)",
+    f"WITH {_SPECTRA} SELECT id, pos, shift, kind FROM (SELECT id, unnest(list_concat(h, c)) AS shift, unnest(range(len(h) + len(c))) AS pos, unnest(list_concat(list_transform(h, lambda x: 0), list_transform(c, lambda x: 1))) AS kind FROM spectra)",
 )
 def spectrum_flatten(spark, sf_dir):
-    return _flattened(_spectra(spark, sf_dir).where("id % 7 = 0"))
-
-
-@register("spectrum_flatten_whole")
-def spectrum_flatten_whole(spark, sf_dir):
     return _flattened(_spectra(spark, sf_dir))
 
 
@@ -581,14 +566,8 @@ def bm25_filtered(spark, sf_dir):
     return _bm25(spark, sf_dir, _three(spark), 20, F.col("lang") == "en")
 
 
-@register("bm25_batch", _bm25_sql(f"SELECT item_id AS query_id, list_distinct({_TOKENS.format('text')})[1:1000] AS terms FROM (SELECT item_id, substr(text, 1, 80) AS text FROM benchmark)", 5))
+@register("bm25_batch", _bm25_sql(f"SELECT item_id AS query_id, list_distinct({_TOKENS.format('text')})[1:1000] AS terms FROM benchmark", 5))
 def bm25_batch(spark, sf_dir):
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.query_terms(F.substring("text", 1, 80), 1000).alias("terms"))
-    return _bm25(spark, sf_dir, asked, 5)
-
-
-@register("bm25_batch_whole")
-def bm25_batch_whole(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.query_terms(F.col("text"), 1000).alias("terms"))
     return _bm25(spark, sf_dir, asked, 5)
 
@@ -816,12 +795,11 @@ def trace_pairs(spark, sf_dir):
     return traces.pairs(table(spark, sf_dir, "events"), "user_id", "ts", "event_type", "view", "purchase", "2 hours").select("user", "start_id", "end_id")
 
 
-_STATE = "CASE WHEN role = 'user' THEN substr(text, 1, 20) END AS asked, CASE WHEN role = 'assistant' THEN substr(text, 1, 20) END AS said"
+_STATE = "CASE WHEN role = 'user' THEN text END AS asked, CASE WHEN role = 'assistant' THEN text END AS said"
 
 
-def _turns(spark, sf_dir, most: int | None = 20):
-    text = F.col("text") if most is None else F.substring("text", 1, most)
-    part = lambda role: F.when(F.col("role") == role, text)
+def _turns(spark, sf_dir):
+    part = lambda role: F.when(F.col("role") == role, F.col("text"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", part("user").alias("asked"), part("assistant").alias("said"))
 
 
@@ -832,13 +810,6 @@ def session_state(spark, sf_dir):
     return traces.running(_turns(spark, sf_dir), "conv_id", ["turn"], ["asked", "said"])
 
 
-@register("session_state_whole")
-def session_state_whole(spark, sf_dir):
-    from peakloom.streaming import traces
-
-    return traces.running(_turns(spark, sf_dir, None), "conv_id", ["turn"], ["asked", "said"])
-
-
 @register("session_latest", f"SELECT conv_id, count(*) AS turns, arg_max(asked, turn) AS asked, arg_max(said, turn) AS said FROM (SELECT conv_id, turn, {_STATE} FROM conversations) GROUP BY 1")
 def session_latest(spark, sf_dir):
     from peakloom.streaming import traces
@@ -846,13 +817,6 @@ def session_latest(spark, sf_dir):
     return traces.latest(_turns(spark, sf_dir), "conv_id", ["turn"], ["asked", "said"])
 
 
-@register("session_latest_whole")
-def session_latest_whole(spark, sf_dir):
-    from peakloom.streaming import traces
-
-    return traces.latest(_turns(spark, sf_dir, None), "conv_id", ["turn"], ["asked", "said"])
-
-
 @register("session_recent", "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 3")
 def session_recent(spark, sf_dir):
     from peakloom.streaming import traces

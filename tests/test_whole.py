@@ -57,7 +57,7 @@ def tolerance(query, memory, most):
 
 def test_gaussian_vector_whole(spark, sf_dir, spectra):
     found = defaultdict(dict)
-    for r in rows_of(spark, sf_dir, "spec_gaussian_vector_whole"):
+    for r in rows_of(spark, sf_dir, "spec_gaussian_vector"):
         found[r.id][r.pos] = r.value
     assert set(found) == {k for k, (_, c) in spectra.items() if c}
     for k, v in found.items():
@@ -83,7 +83,7 @@ def test_vector_rerank_whole(spark, sf_dir, spectra):
 
 
 def test_greedy_match_whole(spark, sf_dir, spectra):
-    found = {r.id: r.score for r in rows_of(spark, sf_dir, "spec_greedy_match_whole")}
+    found = {r.id: r.score for r in rows_of(spark, sf_dir, "spec_greedy_match")}
     assert found == pytest.approx({k: greedy(h, c, 10.0) for k, (h, c) in spectra.items()}, abs=2e-6)
 
 
@@ -109,7 +109,7 @@ def test_memory_of_all(spark, sf_dir, spectra):
 
 
 def test_flatten_whole(spark, sf_dir, spectra):
-    found = {(r.id, r.pos): (r.shift, r.kind) for r in rows_of(spark, sf_dir, "spectrum_flatten_whole")}
+    found = {(r.id, r.pos): (r.shift, r.kind) for r in rows_of(spark, sf_dir, "spectrum_flatten")}
     assert found == {(k, i): p for k, (h, c) in spectra.items() for i, p in enumerate([(x, 0) for x in h] + [(x, 1) for x in c])}
 
 
@@ -213,7 +213,7 @@ def test_bm25_batch_whole(spark, sf_dir):
     df, size = Counter(w for c in docs.values() for w in c), {k: sum(c.values()) for k, c in docs.items()}
     mean, n = sum(size.values()) / len(docs), len(docs)
     found = defaultdict(list)
-    for r in sorted(rows_of(spark, sf_dir, "bm25_batch_whole"), key=lambda r: (r.query_id, r.rank)):
+    for r in sorted(rows_of(spark, sf_dir, "bm25_batch"), key=lambda r: (r.query_id, r.rank)):
         found[r.query_id].append((r.doc_id, r.score))
     items = read(spark, sf_dir, "benchmark")
     assert any(len(i.text) > 80 for i in items)
@@ -241,8 +241,8 @@ def test_session_texts_whole(spark, sf_dir):
             state[k, r.turn] = held["user"], held["assistant"]
         last[k] = len(turns), held["user"], held["assistant"]
     assert any(len(x or "") > 20 for v in state.values() for x in v)
-    assert {(r.conv_id, r.turn): (r.asked, r.said) for r in rows_of(spark, sf_dir, "session_state_whole")} == state
-    assert {r.conv_id: (r.turns, r.asked, r.said) for r in rows_of(spark, sf_dir, "session_latest_whole")} == last
+    assert {(r.conv_id, r.turn): (r.asked, r.said) for r in rows_of(spark, sf_dir, "session_state")} == state
+    assert {r.conv_id: (r.turns, r.asked, r.said) for r in rows_of(spark, sf_dir, "session_latest")} == last
 
 
 def test_tanimoto_whole(spark, sf_dir):
