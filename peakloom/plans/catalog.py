@@ -128,21 +128,13 @@ def vec_norms(spark, sf_dir):
 
 @register(
     "vec_tanimoto",
-    """WITH b AS (SELECT vec_id, list_sum(list_transform(range(1, 33), lambda i: CASE WHEN embedding[i] > 0 THEN 1::BIGINT << (i - 1) ELSE 0 END))::BIGINT AS bits FROM embeddings)
-    SELECT q.vec_id AS query_id, e.vec_id, round(bit_count(q.bits & e.bits)::DOUBLE / bit_count(q.bits | e.bits), 6) AS tanimoto FROM b q, b e
-    WHERE q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id AND (q.bits | e.bits) <> 0 AND 2 * bit_count(q.bits & e.bits) >= bit_count(q.bits | e.bits)""",
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS b FROM embeddings WHERE embedding IS NOT NULL),
+    p AS (SELECT q.vec_id AS query_id, e.vec_id, list_sum(list_transform(range(1, 1 + greatest(len(q.b), len(e.b))), lambda i: least(coalesce(q.b[i], 0), coalesce(e.b[i], 0)))) AS n_both,
+      list_sum(list_transform(range(1, 1 + greatest(len(q.b), len(e.b))), lambda i: greatest(coalesce(q.b[i], 0), coalesce(e.b[i], 0)))) AS n_either
+      FROM v q, v e WHERE q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id)
+    SELECT query_id, vec_id, round(n_both::DOUBLE / n_either, 6) AS tanimoto FROM p WHERE n_either > 0 AND 2 * n_both >= n_either""",
 )
 def vec_tanimoto(spark, sf_dir):
-    bits = F.aggregate(F.sequence(F.lit(1), F.lit(32)), F.lit(0).cast("long"), lambda s, i: s + F.when(F.element_at("vector", i) > 0, F.pow(F.lit(2.0), (i - 1).cast("double")).cast("long")).otherwise(0))
-    rows = _library(spark, sf_dir).select("vec_id", bits.alias("bits"))
-    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("bits").alias("own"))
-    both, either = F.bit_count(F.col("own").bitwiseAND(F.col("bits"))), F.bit_count(F.col("own").bitwiseOR(F.col("bits")))
-    pairs = retrieval.met(asked, rows, 16).where("query_id <> vec_id")
-    return pairs.where((either > 0) & (2 * both >= either)).select("query_id", "vec_id", F.round(both / either, 6).alias("tanimoto"))
-
-
-@register("vec_tanimoto_whole")
-def vec_tanimoto_whole(spark, sf_dir):
     """Bits of all components, in words of 32."""
     bit = lambda at: F.when(F.try_element_at(F.col("vector"), at) > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
     word = lambda n: F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.lit(0).cast("long"), lambda s, i: s * 2 + bit((n * 32 + i + 1).cast("int")))
@@ -356,15 +348,10 @@ def formula_difference(spark, sf_dir):
 
 @register(
     "formula_sum_pairs",
-    f"""WITH f AS ({_COUNTS}), s AS (SELECT * FROM f WHERE p_partkey <= 300)
+    f"""WITH f AS ({_COUNTS}), s AS (SELECT * FROM f)
     SELECT a.p_partkey AS left_id, b.p_partkey AS right_id FROM s a JOIN s b ON a.p_partkey < b.p_partkey AND a.c + b.c = 10 AND a.h + b.h = 16 AND a.o + b.o = 3""",
 )
 def formula_sum_pairs(spark, sf_dir):
-    return _sum_pairs(_formulas(spark, sf_dir).where("p_partkey <= 300"))
-
-
-@register("formula_sum_pairs_whole")
-def formula_sum_pairs_whole(spark, sf_dir):
     return _sum_pairs(_formulas(spark, sf_dir))
 
 
@@ -398,17 +385,12 @@ _ENDS = "['C', 'N', 'O'][1 + p_partkey % 3] AS e1, ['C', 'N', 'O'][1 + p_size %
 
 @register(
     "frag_mask_join",
-    f"""WITH f AS (SELECT p_partkey AS id, {_ENDS} FROM part WHERE p_partkey % 5 = 0),
+    f"""WITH f AS (SELECT p_partkey AS id, {_ENDS} FROM part),
     q AS (SELECT id, b, CASE WHEN e1 = 'C' THEN p1 ELSE '*' END AS m1, CASE WHEN e2 = 'C' THEN p2 ELSE '*' END AS m2 FROM f),
     k AS (SELECT id, b, unnest([e1, '*', e1, '*']) AS m1, unnest([e2, e2, '*', '*']) AS m2 FROM f)
     SELECT DISTINCT q.id AS query_id, k.id AS key_id FROM q JOIN k USING (b, m1, m2) WHERE q.id <> k.id""",
 )
 def frag_mask_join(spark, sf_dir):
-    return _mask_pairs(table(spark, sf_dir, "part").where("p_partkey % 5 = 0"))
-
-
-@register("frag_mask_join_whole")
-def frag_mask_join_whole(spark, sf_dir):
     return _mask_pairs(table(spark, sf_dir, "part"))
 
 

@@ -129,7 +129,7 @@ def test_sum_pairs_whole(spark, parts, tmp_path):
     folder = with_later_keys(spark, parts, tmp_path)
     counts = {k: (1 + p.p_size % 9, 2 + k % 11, max(k % 3, 1)) for p in parts for k in (p.p_partkey, p.p_partkey + 1000)}
     want = {(a, b) for a, x in counts.items() for b, y in counts.items() if a < b and tuple(i + j for i, j in zip(x, y, strict=True)) == (10, 16, 3)}
-    got = [(r.left_id, r.right_id) for r in rows_of(spark, folder, "formula_sum_pairs_whole")]
+    got = [(r.left_id, r.right_id) for r in rows_of(spark, folder, "formula_sum_pairs")]
     assert sorted(got) == sorted(want) and any(b > 300 for _, b in want)
 
 
@@ -142,7 +142,7 @@ def test_mask_join_whole(spark, sf_dir, parts):
         for m in ((ends[0], ends[1]), ("*", ends[1]), (ends[0], "*"), ("*", "*")):
             held[(p.p_brand, *m)].add(k)
     want = {(q, k) for q, m in asked.items() for k in held[m] if q != k}
-    got = [(r.query_id, r.key_id) for r in rows_of(spark, sf_dir, "frag_mask_join_whole")]
+    got = [(r.query_id, r.key_id) for r in rows_of(spark, sf_dir, "frag_mask_join")]
     assert sorted(got) == sorted(want) and any(q % 5 or k % 5 for q, k in want)
 
 
@@ -249,5 +249,5 @@ def test_tanimoto_whole(spark, sf_dir):
     bits = {r.vec_id: {i for i, x in enumerate(r.embedding) if x > 0} for r in read(spark, sf_dir, "embeddings")}
     pairs = {(q, k): (len(a & b), len(a | b)) for q, a in bits.items() if q % 100 == 0 for k, b in bits.items() if k != q}
     want = {p: both / either for p, (both, either) in pairs.items() if either and 2 * both >= either}
-    assert {(r.query_id, r.vec_id): r.tanimoto for r in rows_of(spark, sf_dir, "vec_tanimoto_whole")} == pytest.approx(want, abs=2e-6)
+    assert {(r.query_id, r.vec_id): r.tanimoto for r in rows_of(spark, sf_dir, "vec_tanimoto")} == pytest.approx(want, abs=2e-6)
     assert any(i >= 32 for b in bits.values() for i in b)
