@@ -1,8 +1,4 @@
-"""Every query over the driver's tables, by name, with the SQL that it is compared with.
-
-Where a query's SQL covers only a slice of the rows or texts, the whole job is the query of that name with _whole, which
-has no SQL; both run the same code.
-"""
+"""Every query over the driver's whole tables, by name, with the SQL that it is compared with, where SQL can express it."""
 
 from __future__ import annotations
 
@@ -181,17 +177,12 @@ def _gaussian_vectors(spectra: DataFrame) -> DataFrame:
 
 @register(
     "spec_vector_rerank",
-    f"""WITH {_SPECTRA}, v AS (SELECT id, {_gaussian_sql('c', -10.0, 230.0, 2.0)} AS v, len(c) > 0 AS has FROM spectra WHERE id % 50 = 0),
+    f"""WITH {_SPECTRA}, v AS (SELECT id, {_gaussian_sql('c', -10.0, 230.0, 2.0)} AS v, len(c) > 0 AS has FROM spectra),
     u AS (SELECT id, has, list_transform(v, lambda x: CASE WHEN has THEN x / sqrt(list_sum(list_transform(v, lambda y: y * y))) ELSE x END) AS v FROM v),
     s AS (SELECT q.id AS query_id, e.id AS vec_id, NOT e.has AS fallback, round(CASE WHEN e.has THEN list_inner_product(q.v, e.v) ELSE 0.5 END, 6) AS score FROM u q, u e WHERE q.id % 500 = 0 AND q.id <> e.id)
     {_ranked('SELECT * FROM s', 10, 'query_id, vec_id, fallback, score')}""",
 )
 def spec_vector_rerank(spark, sf_dir):
-    return _vector_reranked(_spectra(spark, sf_dir).where("id % 50 = 0"))
-
-
-@register("spec_vector_rerank_whole")
-def spec_vector_rerank_whole(spark, sf_dir):
     return _vector_reranked(_spectra(spark, sf_dir))
 
 
@@ -218,41 +209,34 @@ def _greedily_matched(spectra: DataFrame) -> DataFrame:
     return spectra.select("id", F.round(S.greedy_match(F.col("h"), F.col("c"), 10.0), 6).alias("score"))
 
 
-@register(
-    "spec_assign_cost",
-    f"WITH {_SPECTRA} SELECT id, round(list_sum(list_transform(range(1, len(h) + 1), lambda i: abs(h[i] - c[i]))), 6) AS cost, len(h) AS pairs FROM spectra WHERE len(h) = len(c) AND len(h) > 0",
-)
+def _matchings_sql(gain: str, outcome: str) -> str:
+    """SQL over every one-to-one matching of the shorter list into the longer; ``acc`` is the sum of a matching."""
+    return f"""WITH RECURSIVE {_SPECTRA}, s AS (SELECT id, CASE WHEN len(h) <= len(c) THEN h ELSE c END AS a, CASE WHEN len(h) <= len(c) THEN c ELSE h END AS b FROM spectra),
+    g(id, n, acc, rest, a, m) AS (SELECT id, 0, 0.0::DOUBLE, b, a, len(b) FROM s UNION ALL
+      SELECT id, n + 1, acc + {gain}, list_concat(rest[1:j - 1], rest[j + 1:]), a, m FROM (SELECT *, unnest(range(1, len(rest) + 1)) AS j FROM g WHERE n < len(a)))
+    SELECT id, {outcome} FROM g WHERE n = len(a) GROUP BY id"""
+
+
+@register("spec_assign_cost", _matchings_sql("abs(a[n + 1] - rest[j])", "round(min(acc), 6) AS cost, any_value(len(a)) AS pairs"))
 def spec_assign_cost(spark, sf_dir):
     from peakloom.functions.assignment import assignment_udf
 
-    rows = _spectra(spark, sf_dir).where((F.size("h") == F.size("c")) & (F.size("h") > 0)).select("id", assignment_udf("h", "c").alias("a"))
+    rows = _spectra(spark, sf_dir).select("id", assignment_udf("h", "c").alias("a"))
     return rows.select("id", F.round("a.cost", 6).alias("cost"), F.size("a.matched").cast("long").alias("pairs"))
 
 
-@register("spec_assign_cost_whole")
-def spec_assign_cost_whole(spark, sf_dir):
+@register("spec_assignment")
+def spec_assignment(spark, sf_dir):
     from peakloom.functions.assignment import assignment_udf
 
     rows = _spectra(spark, sf_dir).select("id", assignment_udf("h", "c").alias("a"))
     return rows.select("id", F.round("a.cost", 6).alias("cost"), "a.matched", "a.unmatched", "a.unused")
 
 
-@register(
-    "spec_set_match",
-    f"""WITH {_SPECTRA}, g AS (SELECT id, list_transform([[1, 2], [2, 1]], lambda p: list_sum(list_transform([1, 2], lambda i: exp(-pow(h[i] - c[p[i]], 2) / 200)))) AS sums FROM spectra WHERE len(h) = 2 AND len(c) = 2)
-    SELECT id, round(list_max(sums) / 2, 6) AS score FROM g""",
-)
+@register("spec_set_match", _matchings_sql("exp(-pow(a[n + 1] - rest[j], 2) / 200)", "round(CASE WHEN any_value(len(a)) = 0 THEN 0 ELSE max(acc) / sqrt(any_value(len(a) * m)) END, 6) AS score"))
 def spec_set_match(spark, sf_dir):
     from peakloom.functions.assignment import set_match_udf
 
-    rows = _spectra(spark, sf_dir).where((F.size("h") == 2) & (F.size("c") == 2))
-    return rows.select("id", F.round(set_match_udf(10.0)("h", "c"), 6).alias("score"))
-
-
-@register("spec_set_match_whole")
-def spec_set_match_whole(spark, sf_dir):
-    from peakloom.functions.assignment import set_match_udf
-
     return _spectra(spark, sf_dir).select("id", F.round(set_match_udf(10.0)("h", "c"), 6).alias("score"))
 
 
@@ -265,18 +249,15 @@ def spec_similarity(spark, sf_dir):
 
 
 @register(
-    "spec_tolerance_single",
-    f"""WITH {_SPECTRA}, s AS (SELECT id, h[1] AS q, c FROM spectra WHERE len(h) = 1),
-    d AS (SELECT id, list_min(list_filter(list_transform(c, lambda p: abs(p - q)), lambda x: x <= 2)) AS d FROM s)
-    SELECT id, CAST(d IS NOT NULL AS INTEGER) AS matched, round_even(CASE WHEN d IS NULL THEN 0.0 ELSE 0.7 + 0.3 * (1 - d / 2) END, 4) AS score FROM d""",
+    "spec_tolerance",
+    f"""WITH RECURSIVE {_SPECTRA}, g(id, n, hits, off, rest, q) AS (SELECT id, 0, 0, 0.0::DOUBLE, c, h FROM spectra UNION ALL
+      SELECT id, n + 1, hits + CASE WHEN near IS NULL THEN 0 ELSE 1 END, off + coalesce(near[1], 0),
+        CASE WHEN near IS NULL THEN rest ELSE list_concat(rest[1:CAST(-near[2] AS INTEGER) - 1], rest[CAST(-near[2] AS INTEGER) + 1:]) END, q FROM
+      (SELECT *, list_min(list_filter(list_transform(range(1, len(rest) + 1), lambda i: [abs(rest[i] - q[n + 1]), -(i::DOUBLE)]), lambda x: x[1] <= 2)) AS near FROM g WHERE n < len(q)))
+    SELECT id, hits AS matched, CAST(len(q) AS INTEGER) AS total, CASE WHEN hits > 0 THEN round_even(off / hits, 4) END AS mean_delta,
+      round_even(0.7::DOUBLE * hits / greatest(len(q), 1) + CASE WHEN hits > 0 THEN 0.3::DOUBLE * greatest(0.0, 1 - off / hits / 2) ELSE 0 END, 4) AS score FROM g WHERE n = len(q)""",
 )
-def spec_tolerance_single(spark, sf_dir):
-    rows = _spectra(spark, sf_dir).where("size(h) = 1").select("id", S.tolerance_match(F.col("h"), F.col("c"), 2.0).alias("m"))
-    return rows.select("id", "m.matched", "m.score")
-
-
-@register("spec_tolerance_whole")
-def spec_tolerance_whole(spark, sf_dir):
+def spec_tolerance(spark, sf_dir):
     return _spectra(spark, sf_dir).select("id", S.tolerance_match(F.col("h"), F.col("c"), 2.0).alias("m")).select("id", "m.*")
 
 
@@ -417,16 +398,11 @@ def frag_knn_pairs(spark, sf_dir):
 
 @register(
     "subset_sum_combos",
-    """WITH RECURSIVE b AS (SELECT p_size AS k, max(p_retailprice) AS s FROM part WHERE p_size <= 12 GROUP BY 1),
+    """WITH RECURSIVE b AS (SELECT p_size AS k, max(p_retailprice) AS s FROM part GROUP BY 1),
     r(keys, total, score, last) AS (SELECT [k], k, s, k FROM b UNION ALL SELECT list_append(keys, b.k), total + b.k, score + b.s, b.k FROM r JOIN b ON b.k >= last AND total + b.k <= 20 WHERE len(keys) < 4 AND total < 20)
     SELECT array_to_string(keys, ',') AS keys, CAST(len(keys) AS INTEGER) AS size, round(score, 4) AS score FROM r WHERE total = 20 AND len(keys) >= 2""",
 )
 def subset_sum_combos(spark, sf_dir):
-    return _combinations(table(spark, sf_dir, "part").where("p_size <= 12"))
-
-
-@register("subset_sum_combos_whole")
-def subset_sum_combos_whole(spark, sf_dir):
     return _combinations(table(spark, sf_dir, "part"))
 
 

@@ -72,7 +72,7 @@ def test_vector_rerank_whole(spark, sf_dir, spectra):
         n = math.sqrt(sum(x * x for x in v))
         unit[k] = [x / n for x in v] if n else v
     found = defaultdict(list)
-    for r in sorted(rows_of(spark, sf_dir, "spec_vector_rerank_whole"), key=lambda r: (r.query_id, r.rank)):
+    for r in sorted(rows_of(spark, sf_dir, "spec_vector_rerank"), key=lambda r: (r.query_id, r.rank)):
         found[r.query_id].append((r.vec_id, r.score))
     assert set(found) == {k for k in spectra if k % 500 == 0}
     for q, got in found.items():
@@ -155,7 +155,7 @@ def test_subset_sums_whole(spark, sf_dir, parts):
     for p in parts:
         best[p.p_size] = max(best[p.p_size], float(p.p_retailprice))
     want = {",".join(map(str, c)): sum(best[k] for k in c) for c in sums([k for k in best if k < 20], 20, 2, 4)}
-    assert {r["keys"]: r.score for r in rows_of(spark, sf_dir, "subset_sum_combos_whole")} == pytest.approx(want) and any("13" in k for k in want)
+    assert {r["keys"]: r.score for r in rows_of(spark, sf_dir, "subset_sum_combos")} == pytest.approx(want) and any("13" in k for k in want)
 
 
 def test_choices_of_all_sizes(spark, sf_dir, parts):
@@ -176,13 +176,13 @@ def matchings(a, b):
 
 
 def test_set_match_whole(spark, sf_dir, spectra):
-    found = {r.id: r.score for r in rows_of(spark, sf_dir, "spec_set_match_whole")}
+    found = {r.id: r.score for r in rows_of(spark, sf_dir, "spec_set_match")}
     gain = lambda h, c: max(sum(math.exp(-((h[i] - c[j]) ** 2) / 200) for i, j in m) for m in matchings(h, c))
     assert found == pytest.approx({k: gain(h, c) / math.sqrt(len(h) * len(c)) if h and c else 0.0 for k, (h, c) in spectra.items()}, abs=2e-6)
 
 
 def test_assign_cost_whole(spark, sf_dir, spectra):
-    found = {r.id: r for r in rows_of(spark, sf_dir, "spec_assign_cost_whole")}
+    found = {r.id: r for r in rows_of(spark, sf_dir, "spec_assignment")}
     assert set(found) == set(spectra)
     for k, (h, c) in spectra.items():
         r = found[k]
@@ -193,7 +193,7 @@ def test_assign_cost_whole(spark, sf_dir, spectra):
 
 
 def test_tolerance_whole(spark, sf_dir, spectra):
-    found = {r.id: (r.matched, r.total, r.score) for r in rows_of(spark, sf_dir, "spec_tolerance_whole")}
+    found = {r.id: (r.matched, r.total, r.score) for r in rows_of(spark, sf_dir, "spec_tolerance")}
     assert set(found) == set(spectra)
     for k, (h, c) in spectra.items():
         matched, score = tolerance(h, c, 2.0)
