@@ -201,21 +201,22 @@ def dictionaries(rows: DataFrame) -> DataFrame:
     layout = pa.schema([("part", pa.int64()), ("keys", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int32())), ("places", pa.binary()), ("counts", pa.binary()), ("words", pa.list_(pa.int64())), ("spelled", pa.list_(pa.binary())), ("sums", pa.list_(pa.int64()))])
 
     def one(part: pa.RecordBatch) -> pa.RecordBatch:
-        tokens, sizes = [], []
+        # The words' bytes are kept once for each distinct word; of the rest only the hashes.
+        spelled, hashes = {}, []
         for text in part.column(2):
-            tokens += spaced_words(text.as_py(), lower=True)
-            tokens.append(b"")
-            sizes.append(len(tokens))
-        sizes = np.diff(sizes, prepend=0)
+            tokens = [*spaced_words(text.as_py(), lower=True), b""]
+            hashes.append(hashes_of(tokens))
+            spelled.update(zip(hashes[-1].tolist(), tokens, strict=True))
+        sizes = np.array([len(h) for h in hashes])
         train = part.column(1).to_numpy(zero_copy_only=False)
-        words, first, place = np.unique(hashes_of(tokens), return_index=True, return_inverse=True)
+        words, place = np.unique(np.concatenate(hashes), return_inverse=True)
         text = np.repeat(np.arange(len(sizes)), sizes)
         held, counts = np.unique(text * len(words) + place, return_counts=True)
         sums = np.bincount(place, train[text], len(words)).astype(np.int64)
         cells = {
             "part": uuid.uuid4().int >> 65, "keys": part.column(0).to_pylist(), "train": train.tolist(), "n_tokens": sizes, "kinds": np.bincount(held // len(words), minlength=len(sizes)),
             "places": (held % len(words)).astype(np.int32).tobytes(), "counts": counts.astype(np.int32).tobytes(),
-            "words": words.view(np.int64), "spelled": [tokens[i] for i in first.tolist()], "sums": sums,
+            "words": words.view(np.int64), "spelled": [spelled[h] for h in words.tolist()], "sums": sums,
         }
         return pa.RecordBatch.from_arrays([pa.array([cells[f.name]], f.type) for f in layout], schema=layout)
 
@@ -254,15 +255,16 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", *, model_file
     removed(words)
     # One plan at every size: the words' rows grow with the corpus, and are never broadcast.
     asked = found.select("part", F.posexplode("words").alias("place", "word"))
-    told = asked.join(scored.hint("merge"), "word").groupBy("part").agg(F.collect_list(F.struct("place", "total", "log")).alias("told"))
+    # Three lists of numbers, filled in one order, are half as large as a list of rows.
+    told = asked.join(scored.hint("merge"), "word").groupBy("part").agg(*[F.collect_list(c).alias(f"{c}s") for c in ("place", "total", "log")])
+    told = told.withColumnsRenamed({"places": "told_places"})
     texts = found.select("part", "keys", "train", "n_tokens", "kinds", "places", "counts").join(told.hint("merge"), "part")
 
     def add(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for n in range(batch.num_rows):
             row = {c: batch.column(i)[n] for i, c in enumerate(batch.schema.names)}
-            told = row["told"].values
-            order = np.argsort(told.field(0).to_numpy())
-            total, log = told.field(1).to_numpy()[order], told.field(2).to_numpy()[order]
+            order = np.argsort(row["told_places"].values.to_numpy())
+            total, log = row["totals"].values.to_numpy()[order], row["logs"].values.to_numpy()[order]
             places, counts = (np.frombuffer(row[c].as_buffer(), np.int32) for c in ("places", "counts"))
             kinds = row["kinds"].values.to_numpy()
             starts = np.cumsum(kinds) - kinds
