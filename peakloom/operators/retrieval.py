@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -91,6 +95,42 @@ def reranked(candidates: DataFrame, query: Column, vector: Column, has: Column,
     return _top(candidates.withColumn("score", score).withColumn("fallback", ~has), k, key=key)
 
 
+def product_topk(asked: DataFrame, rows: DataFrame, fallback: float, k: int) -> DataFrame:
+    """Top-k of (query_id, query) over (vec_id, vector, has) but its own row, by the product of vectors of one length, to six places.
+
+    (query_id, vec_id, fallback, score, rank); rows without a vector score ``fallback``. Queries whose counted bytes fit go to every task as a
+    matrix, and each task keeps the k best of a query; larger sets meet the rows in blocks.
+    """
+    count, dimension = asked.agg(F.count("*"), F.coalesce(F.max(F.size("query")), F.lit(1))).first()
+    if count * 8 * (dimension + k) > SENT_BYTES:
+        pairs = met(asked, rows, 8 * dimension).where("query_id <> vec_id")
+        return reranked(pairs, F.col("query"), F.col("vector"), F.col("has"), F.lit(fallback), k).select("query_id", "vec_id", "fallback", "score", "rank")
+    held = asked.select("query_id", "query").collect()
+    sent = asked.sparkSession.sparkContext.broadcast((np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.float64).reshape(len(held), dimension)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, queries = sent.value
+        best = [(np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0)) for _ in names]
+        for batch in batches if len(names) else ():
+            if not batch.num_rows:
+                continue
+            ids, has = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+            vectors = batch.column(1).flatten().to_numpy().reshape(len(ids), dimension)
+            scores = np.where(has[:, None], np.floor(vectors @ queries.T * 1e6 + 0.5) / 1e6, fallback)
+            for q, name in enumerate(names):
+                own_ids, own_has, own = (np.concatenate(x) for x in zip(best[q], (ids, has, scores[:, q]), strict=True))
+                least = np.partition(own, len(own) - k - 1)[len(own) - k - 1] if len(own) > k + 1 else -np.inf
+                at = np.flatnonzero((own >= least) & (own_ids != name))
+                at = at[np.lexsort((own_ids[at], -own[at]))[:k]]
+                best[q] = own_ids[at], own_has[at], own[at]
+        for name, (ids, has, own) in zip(names, best, strict=True):
+            if len(ids):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), name)), pa.array(ids), pa.array(~has), pa.array(own)], names=["query_id", "vec_id", "fallback", "score"])
+
+    found = rows.select("vec_id", "vector", "has").mapInArrow(run, "query_id long, vec_id long, fallback boolean, score double")
+    return _top(found, k).select("query_id", "vec_id", "fallback", "score", "rank")
+
+
 def partitioned(library: DataFrame, cells: int, seed: int = 7) -> tuple[DataFrame, list[list[float]]]:
     """The library with each row's cell, by k-means over all of it, and the cells' centres (as many as asked for)."""
     rows = library.withColumn("features", array_to_vector(F.transform("vector", lambda x: x.cast("double"))))

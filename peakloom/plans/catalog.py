@@ -189,8 +189,7 @@ def spec_vector_rerank(spark, sf_dir):
 def _vector_reranked(spectra: DataFrame) -> DataFrame:
     rows = spectra.select(F.col("id").alias("vec_id"), S.unit(S.gaussian_vector(F.col("c"), *S.CARBON)).alias("vector"), (F.size("c") > 0).alias("has"))
     asked = rows.where("vec_id % 500 = 0").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
-    pairs = retrieval.met(asked, rows, 1024).where("query_id <> vec_id")
-    return retrieval.reranked(pairs, F.col("query"), F.col("vector"), F.col("has"), F.lit(0.5), 10).select("query_id", "vec_id", "fallback", "score", "rank")
+    return retrieval.product_topk(asked, rows, 0.5, 10)
 
 
 @register(

@@ -251,3 +251,16 @@ def test_tanimoto_whole(spark, sf_dir):
     want = {p: both / either for p, (both, either) in pairs.items() if either and 2 * both >= either}
     assert {(r.query_id, r.vec_id): r.tanimoto for r in rows_of(spark, sf_dir, "vec_tanimoto")} == pytest.approx(want, abs=2e-6)
     assert any(i >= 32 for b in bits.values() for i in b)
+
+
+def test_products_in_blocks(spark, monkeypatch):
+    """The queries as one matrix or in blocks: the same rows, ties to the smaller id, a query's own row left out."""
+    from peakloom.operators import retrieval
+
+    vectors = [(i, [float(i % 3), float(i % 2), 0.25 * (i % 5)], i % 7 != 0) for i in range(60)]
+    rows = spark.createDataFrame(vectors, "vec_id long, vector array<double>, has boolean")
+    asked = rows.where("vec_id % 9 = 0").selectExpr("vec_id AS query_id", "vector AS query")
+    one = {tuple(r) for r in retrieval.product_topk(asked, rows, 0.5, 4).collect()}
+    monkeypatch.setattr(retrieval, "SENT_BYTES", 1)
+    assert {tuple(r) for r in retrieval.product_topk(asked, rows, 0.5, 4).collect()} == one and len(one) == 7 * 4
+    assert retrieval.product_topk(asked.limit(0), rows, 0.5, 4).count() == 0
