@@ -16,6 +16,9 @@ _TYPES = {int: "integer", float: "number", bool: "boolean", dict: "object", list
 #: Other names of the peaks' parameters.
 ALIASES = {"h_shifts": ("hnmr", "H_nmr", "H_shifts", "h_nmr"), "c_shifts": ("cnmr", "C_nmr", "C_shifts", "c_nmr")}
 
+#: What a judge may say.
+VERDICTS = ("accept", "need_opt", "need_bigger_pool", "need_retry")
+
 
 @dataclass
 class Tool:
@@ -75,6 +78,22 @@ def planned(plan: dict, verdict: str | None) -> dict:
     return out
 
 
+def looped(plan: dict, act: Callable[[dict], object], judge: Callable[[object], dict], most: int = 4) -> dict:
+    """Turns of planning, acting and judging until the judge accepts or the limit is reached, whatever comes first.
+
+    Returns verdict, answer (the judge's top_candidate, if it accepts), result and iteration. A verdict that isn't known asks for
+    another turn; at least one turn is taken.
+    """
+    verdict, turn = None, 0
+    while True:
+        plan = planned(plan, verdict)
+        result = act(plan)
+        said, turn = judge(result), turn + 1
+        verdict = said.get("verdict") if said.get("verdict") in VERDICTS else "need_retry"
+        if verdict == "accept" or turn >= most:
+            return {"verdict": verdict, "answer": said.get("top_candidate") if verdict == "accept" else None, "result": result, "iteration": turn}
+
+
 def executed(plan: dict, asked: DataFrame, library: DataFrame, generated: DataFrame | None = None) -> DataFrame:
     """Candidates (query_id, vec_id, score, source) of a plan: retrieval by mode, generated ones if given, merged by best row."""
     parts = []

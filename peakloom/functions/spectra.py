@@ -127,6 +127,11 @@ def formula_text(m: Column) -> Column:
     return F.array_join(F.transform(held, lambda e: F.when(e["value"] == 1, e["key"]).otherwise(F.concat(e["key"], e["value"].cast("string")))), "")
 
 
+def heavy_atoms(m: Column) -> Column:
+    """The number of atoms but hydrogen."""
+    return F.aggregate(F.map_entries(m), F.lit(0), lambda s, e: s + F.when(e["key"] == "H", 0).otherwise(e["value"]))
+
+
 def fits_within(part: Column, whole: Column) -> Column:
     """Whether no element of the part exceeds the whole."""
     return F.forall(F.map_entries(part), lambda e: e["value"] <= F.coalesce(whole[e["key"]], F.lit(0)))

@@ -71,6 +71,13 @@ def crossover(pool: DataFrame, formula: str, asked_h: list[float], asked_c: list
     return new
 
 
+def within_size(rows: DataFrame, formula: str, target: str, excess: int, text: str | None = None) -> DataFrame:
+    """Rows with no more heavy atoms than the target formula and the excess; with a text, those without open ends in it."""
+    most = spectra.heavy_atoms(spectra.formula_counts(F.lit(target))) + excess
+    kept = rows.where(spectra.heavy_atoms(spectra.formula_counts(F.col(formula))) <= most)
+    return kept.where(~F.contains(F.col(text), F.lit("*"))) if text else kept
+
+
 def rerank_input(originals: DataFrame, new: DataFrame, keep_original: int, keep_new: int) -> DataFrame:
     """The best of both (smiles, score), originals first; a structure once."""
     best = lambda rows, n, kind: rows.orderBy(F.desc("score"), "smiles").limit(n).select("smiles", "score", F.lit(kind).alias("kind"))

@@ -73,6 +73,36 @@ def ended(values: Column, n: int, end: Column) -> Column:
     return F.when(F.size(values) > n, F.concat(F.slice(values, 1, n - 1), F.array(end))).otherwise(values)
 
 
+def pooled(vectors: Column, padding: Column) -> Column:
+    """The mean of an array's vectors, all of one length, but for those that the mask marks; null if it marks all."""
+    kept = F.filter(vectors, lambda v, i: ~F.get(padding, i))
+    zeros = F.transform(F.get(vectors, F.lit(0)), lambda x: F.lit(0.0))
+    total = F.aggregate(kept, zeros, lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+    return F.when(F.size(kept) > 0, F.transform(total, lambda x: x / F.size(kept)))
+
+
+def encoded(rows: DataFrame, key: str, tokens: str, vocab: DataFrame, unknown: int = 1, begin: int | None = 2, end: int | None = 3) -> DataFrame:
+    """(key, ids): each row's tokens as the ids of a vocabulary (token, id), between the marks where they are given.
+
+    The key is unique. Null tokens give the marks alone.
+    """
+    each = rows.select(key, F.posexplode(tokens).alias("_at", "token")).join(vocab, "token", "left")
+    found = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_at", F.coalesce("id", F.lit(unknown)).alias("id")))).alias("_ids"))
+    mark = lambda x: F.array(*([] if x is None else [F.lit(x)])).cast("array<int>")
+    ids = F.coalesce(F.transform("_ids", lambda e: e["id"]), F.array().cast("array<int>"))
+    return rows.select(key).join(found, key, "left").select(key, F.concat(mark(begin), ids, mark(end)).alias("ids"))
+
+
+def decoded(rows: DataFrame, key: str, ids: str, vocab: DataFrame, leave_out: tuple[int, ...] = (0, 2), end: int = 3, unknown: str = "<unk>") -> DataFrame:
+    """(key, text): the tokens of the ids before the first end mark, without those left out; ids that the vocabulary lacks show as unknown."""
+    at = F.coalesce(F.array_position(ids, end), F.lit(0))
+    before = F.when(at > 0, F.slice(F.col(ids), F.lit(1), (at - 1).cast("int"))).otherwise(F.col(ids))
+    shown = F.filter(before, lambda x: ~x.isin(*leave_out)) if leave_out else before
+    each = rows.select(key, F.posexplode(shown).alias("_at", "id")).join(vocab.select("id", "token"), "id", "left")
+    found = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_at", F.coalesce("token", F.lit(unknown)).alias("token")))).alias("_t"))
+    return rows.select(key).join(found, key, "left").select(key, F.coalesce(F.array_join(F.transform("_t", lambda e: e["token"]), ""), F.lit("")).alias("text"))
+
+
 def negatives(rows: DataFrame, key: str, bucket: str, seed: str, k: int) -> DataFrame:
     """(anchor, negative, nth): up to k others of the anchor's bucket, in seeded order.
 

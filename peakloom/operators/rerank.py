@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peakloom.functions import assignment as A
@@ -43,3 +43,8 @@ def bad_peaks(rows: DataFrame, asked: str, match: str, tolerance: float) -> Data
     """Rows with the query peaks that found no partner, or one too far."""
     far = F.transform(F.filter(F.col(f"{match}.matched"), lambda x: x["residual"] > tolerance), lambda x: x["query"])
     return rows.withColumn("bad", F.transform(F.concat(F.col(f"{match}.unmatched"), far), lambda i: F.get(asked, i)))
+
+
+def covered(bad: Column, shifts: Column, tolerance: float) -> Column:
+    """Those of a query's bad peaks that a fragment's shifts come nearer to than the tolerance."""
+    return F.filter(bad, lambda b: F.exists(shifts, lambda s: F.abs(s - b) < tolerance))

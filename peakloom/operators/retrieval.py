@@ -95,6 +95,47 @@ def reranked(candidates: DataFrame, query: Column, vector: Column, has: Column,
     return _top(candidates.withColumn("score", score).withColumn("fallback", ~has), k, key=key)
 
 
+def embedding_reranked(results: DataFrame, payload: DataFrame, k: int) -> DataFrame:
+    """The k best of each query by the cosine with the stored embeddings of its results: (query_id, vec_id, score, fallback, rank).
+
+    Results (query_id, query, vec_id, db_key, db_id, vector_score, vector_rank) find their payload (key, id, embedding) by key, or by id
+    where the key is null, blank or unknown; keys and ids of the payload are unique. Those without a payload, and those whose
+    payload has no embedding, keep their retrieval score and say so. Ties stay in the order of retrieval.
+    """
+    by = lambda name, into, held: payload.where(F.col(name).isNotNull()).select(F.col(name).alias(into), F.struct("embedding").alias(held))
+    rows = results.withColumn("db_key", F.when(F.trim("db_key") != "", F.col("db_key")))
+    rows = rows.join(by("key", "db_key", "_first"), "db_key", "left").join(by("id", "db_id", "_second"), "db_id", "left")
+    held = rows.withColumn("_held", F.coalesce("_first", "_second")["embedding"])
+    has = F.coalesce(F.size("_held") > 0, F.lit(False))
+    scored = held.withColumns({"fallback": ~has, "score": F.round(F.when(has, cosine(F.col("query"), F.col("_held"))).otherwise(F.col("vector_score")), 6)})
+    return pools.ranked(scored, [F.desc("score"), F.col("vector_rank")], ["query_id"]).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "fallback", "rank")
+
+
+def by_backend(asked: DataFrame, library: DataFrame, k: int, backend: str = "embedding", factor: int = 3, most: int = 3000) -> DataFrame:
+    """Top-k (query_id, vec_id, score, fallback, rank) of (query_id, gaussian, embedding) over (vec_id, bucket, gaussian, embedding).
+
+    embedding and gaussian search by that vector; gaussian_then_embedding (or hybrid_gaussian_embedding) ranks the best ``factor`` k
+    of gaussian again by embedding, where a row without one keeps its gaussian score.
+    """
+    k = clamped(k)
+    if backend not in ("embedding", "gaussian", "gaussian_then_embedding", "hybrid_gaussian_embedding"):
+        raise ValueError(f"no backend {backend!r}")
+    two = backend not in ("embedding", "gaussian")
+    first = "gaussian" if two else backend
+    found = global_topk(asked.select("query_id", F.col(first).alias("query")), library.select("vec_id", "bucket", F.col(first).alias("vector")), min(most, factor * k) if two else k)
+    if not two:
+        return found.select("query_id", "vec_id", "score", F.lit(False).alias("fallback"), "rank")
+    rows = found.join(asked.select("query_id", F.col("embedding").alias("query")), "query_id")
+    rows = rows.select("query_id", "query", "vec_id", F.lit(None).cast("string").alias("db_key"), F.col("vec_id").alias("db_id"), F.col("score").alias("vector_score"), F.col("rank").alias("vector_rank"))
+    return embedding_reranked(rows, library.select(F.lit(None).cast("string").alias("key"), F.col("vec_id").alias("id"), "embedding"), k)
+
+
+def outcomes(rows: DataFrame, skipped: Column, failed: Column) -> DataFrame:
+    """One row: how many queries were processed, failed and skipped; one that is skipped can't fail, and unknown is no."""
+    left_out, broken = F.coalesce(skipped, F.lit(False)), F.coalesce(failed, F.lit(False))
+    return rows.agg(F.count_if(~left_out & ~broken).alias("processed"), F.count_if(~left_out & broken).alias("failed"), F.count_if(left_out).alias("skipped"))
+
+
 def product_topk(asked: DataFrame, rows: DataFrame, fallback: float, k: int) -> DataFrame:
     """Top-k of (query_id, query) over (vec_id, vector, has) but its own row, by the product of vectors of one length, to six places.
 

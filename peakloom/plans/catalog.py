@@ -77,6 +77,51 @@ def vec_two_stage(spark, sf_dir):
     return retrieval.two_stage(_asked(spark, sf_dir), _library(spark, sf_dir), 5, 32)
 
 
+@register(
+    "vec_payload_rerank",
+    f"""WITH pool AS ({_ranked(_ANY.replace(_COS, _COARSE), 15, 'query_id, vec_id, score AS vector_score', 'score')}),
+    r AS (SELECT query_id, vec_id, vector_score, p.rank AS vector_rank, CASE WHEN vec_id % 6 = 0 THEN ' ' WHEN vec_id % 3 = 0 THEN 'x' || vec_id ELSE 'k' || vec_id END AS db_key, CASE WHEN vec_id % 2 = 0 THEN vec_id END AS db_id FROM pool p),
+    s AS (SELECT query_id, r.vec_id, vector_rank, CASE WHEN e.vec_id IS NULL THEN vector_score ELSE {_COS} END AS score, e.vec_id IS NULL AS fallback
+      FROM r JOIN embeddings q ON q.vec_id = query_id LEFT JOIN embeddings e ON (e.vec_id = r.db_id OR 'k' || e.vec_id = r.db_key) AND e.vec_id % 7 <> 0)
+    SELECT query_id, vec_id, score, fallback, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_rank) AS rank FROM s) WHERE rank <= 5""",
+)
+def vec_payload_rerank(spark, sf_dir):
+    asked, library, at = _asked(spark, sf_dir), _library(spark, sf_dir), F.col("vec_id")
+    cut = lambda rows, c: rows.withColumn(c, F.slice(c, 1, 32))
+    found = retrieval.global_topk(cut(asked, "query"), cut(library, "vector"), 15).withColumnsRenamed({"score": "vector_score", "rank": "vector_rank"})
+    key = F.when(at % 6 == 0, " ").when(at % 3 == 0, F.concat(F.lit("x"), at.cast("string"))).otherwise(F.concat(F.lit("k"), at.cast("string")))
+    results = found.join(asked.select("query_id", "query"), "query_id").withColumns({"db_key": key, "db_id": F.when(at % 2 == 0, at)})
+    payload = library.select(F.concat(F.lit("k"), at.cast("string")).alias("key"), at.alias("id"), F.when(at % 7 != 0, F.col("vector")).alias("embedding"))
+    return retrieval.embedding_reranked(results, payload, 5)
+
+
+_BACKEND = "SELECT '{0}' AS backend, query_id, vec_id, score, rank FROM ({1})"
+
+
+@register(
+    "vec_backends",
+    f"""WITH pool AS ({_ranked(_ANY.replace(_COS, _COARSE), 15, 'query_id, vec_id, score AS vector_score', 'score')}),
+    s AS (SELECT query_id, p.vec_id, p.rank AS vector_rank, {_COS} AS score FROM pool p JOIN embeddings q ON q.vec_id = query_id JOIN embeddings e ON e.vec_id = p.vec_id)
+    {_BACKEND.format('embedding', _ranked(_ANY, 5, 'query_id, vec_id, score'))} UNION ALL {_BACKEND.format('gaussian', _ranked(_ANY.replace(_COS, _COARSE), 5, 'query_id, vec_id, score'))}
+    UNION ALL SELECT 'gaussian_then_embedding', query_id, vec_id, score, CAST(rank AS INTEGER) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_rank) AS rank FROM s) WHERE rank <= 5""",
+)
+def vec_backends(spark, sf_dir):
+    both = lambda rows, c: rows.withColumnRenamed(c, "embedding").withColumn("gaussian", F.slice("embedding", 1, 32))
+    asked, library = both(_asked(spark, sf_dir), "query"), both(_library(spark, sf_dir), "vector")
+    parts = [retrieval.by_backend(asked, library, 5, b).select(F.lit(b).alias("backend"), "query_id", "vec_id", "score", "rank") for b in ("embedding", "gaussian", "gaussian_then_embedding")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register(
+    "batch_outcomes",
+    """SELECT count(*) FILTER (WHERE toxic IS NOT NULL AND NOT coalesce(text, '') = '') AS processed, count(*) FILTER (WHERE toxic IS NOT NULL AND coalesce(text, '') = '') AS failed,
+    count(*) FILTER (WHERE toxic IS NULL) AS skipped FROM documents LEFT JOIN labels USING (doc_id)""",
+)
+def batch_outcomes(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return retrieval.outcomes(rows, F.col("toxic").isNull(), F.coalesce("text", F.lit("")) == "")
+
+
 @register("vec_ann_probe")
 def vec_ann_probe(spark, sf_dir):
     cells, centres = retrieval.partitioned(_library(spark, sf_dir), 8)
@@ -350,6 +395,24 @@ def formula_fits(spark, sf_dir):
     return _formulas(spark, sf_dir).select("p_partkey", S.fits_within(F.col("counts"), S.formula_counts(F.lit("C6H9O"))).alias("fits"))
 
 
+@register("formula_size", f"SELECT p_partkey, CAST(c + o AS INTEGER) AS heavy FROM ({_COUNTS}) WHERE c + o <= 7 + 2")
+def formula_size(spark, sf_dir):
+    from peakloom.operators import optimise
+
+    return optimise.within_size(_formulas(spark, sf_dir), "formula", "C6H9O", 2).select("p_partkey", S.heavy_atoms(F.col("counts")).alias("heavy"))
+
+
+@register(
+    "frag_covers_bad",
+    f"WITH {_SPECTRA} SELECT id, len(list_filter(h, lambda b: len(list_filter(c, lambda s: abs(s - b) < 2.0)) > 0)) > 0 AS covers, CAST(len(list_filter(h, lambda b: len(list_filter(c, lambda s: abs(s - b) < 2.0)) > 0)) AS INTEGER) AS n_covered FROM spectra",
+)
+def frag_covers_bad(spark, sf_dir):
+    from peakloom.operators import rerank
+
+    found = F.size(rerank.covered(F.col("h"), F.col("c"), 2.0))
+    return _spectra(spark, sf_dir).select("id", (found > 0).alias("covers"), found.alias("n_covered"))
+
+
 @register(
     "frag_pair_join",
     """SELECT DISTINCT a.p_partkey AS left_id, b.p_partkey AS right_id FROM part a JOIN part b
@@ -819,6 +882,46 @@ def pad_mask(spark, sf_dir):
     return _spectra(spark, sf_dir).select("id", text(prep.padded(F.col("c"), 4, F.lit(0.0))).alias("padded"), text(prep.mask_of(F.col("c"), 4)).alias("mask"))
 
 
+@register(
+    "masked_pool",
+    """SELECT vec_id, CAST(d AS INTEGER) AS at, round(list_sum(list_transform(range(0, vec_id % 8 + 1), lambda i: embedding[i * 8 + d + 1]::DOUBLE)) / (vec_id % 8 + 1), 6) AS mean
+    FROM (SELECT *, unnest(range(8)) AS d FROM embeddings)""",
+)
+def masked_pool(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
+    steps = F.sequence(F.lit(0), F.lit(7))
+    vectors, padding = F.transform(steps, lambda i: F.slice("v", i * 8 + 1, 8)), F.transform(steps, lambda i: i > F.col("vec_id") % 8)
+    return rows.select("vec_id", F.posexplode(prep.pooled(vectors, padding)).alias("at", "mean")).withColumn("mean", F.round("mean", 6))
+
+
+_VOCAB = """t AS (SELECT item_id, unnest(w) AS token, unnest(range(len(w))) AS pos FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark)),
+    f AS (SELECT token, min([item_id, pos]) AS first FROM t GROUP BY token), v AS (SELECT token, row_number() OVER (ORDER BY first) + 3 AS id FROM f)"""
+
+
+def _encoded(spark, sf_dir, name: str, key: str) -> tuple[DataFrame, DataFrame]:
+    words = lambda t, k: table(spark, sf_dir, t).select(k, T.tokens(F.col("text")).alias("w"))
+    vocab = prep.vocabulary(words("benchmark", "item_id"), "item_id", "w", ["<pad>", "<unk>", "<bos>", "<eos>"])
+    return prep.encoded(words(name, key), key, "w", vocab), vocab
+
+
+@register(
+    "token_encode",
+    f"""WITH {_VOCAB}, d AS (SELECT doc_id, unnest(w) AS token, unnest(range(len(w))) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)),
+    e AS (SELECT doc_id, string_agg(coalesce(id, 1), ',' ORDER BY pos) || ',' AS ids, count(*) AS n, count(*) FILTER (WHERE id IS NULL) AS unknown FROM d LEFT JOIN v USING (token) GROUP BY 1)
+    SELECT doc_id, CAST(coalesce(n, 0) + 2 AS INTEGER) AS n_ids, CAST(coalesce(unknown, 0) AS INTEGER) AS n_unknown, md5('2,' || coalesce(ids, '') || '3') AS ids_md5 FROM documents LEFT JOIN e USING (doc_id)""",
+)
+def token_encode(spark, sf_dir):
+    rows, _ = _encoded(spark, sf_dir, "documents", "doc_id")
+    text = F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")
+    return rows.select("doc_id", F.size("ids").alias("n_ids"), F.size(F.filter("ids", lambda x: x == 1)).alias("n_unknown"), F.md5(text.cast("binary")).alias("ids_md5"))
+
+
+@register("token_decode", "SELECT item_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), '') AS text FROM benchmark")
+def token_decode(spark, sf_dir):
+    rows, vocab = _encoded(spark, sf_dir, "benchmark", "item_id")
+    return prep.decoded(rows, "item_id", "ids", vocab)
+
+
 @register(
     "neg_sample",
     """WITH d AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('n:' || vec_id), vec_id) - 1 AS pos, count(*) OVER (PARTITION BY label) AS n FROM embeddings),

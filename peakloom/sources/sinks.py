@@ -46,3 +46,11 @@ def results(ranks: DataFrame, path: str, by: str = "query_id") -> None:
 def events(spark: SparkSession, path: str, rows: list[dict]) -> None:
     """Appends trace events."""
     spark.createDataFrame([(r.get("ts"), r.get("event"), json.dumps(r, sort_keys=True, default=str)) for r in rows], "ts string, event string, payload string").coalesce(1).write.mode("append").json(path)
+
+
+def memory(cases: DataFrame, path: str, namespace: str = "confirmed_cases", most: int = 10000) -> int:
+    """The first cases by key, a line each with namespace, key and value; returns how many were written."""
+    others = [c for c in cases.columns if c != "key"]
+    chosen = cases.orderBy("key").limit(most)
+    chosen.select(F.lit(namespace).alias("namespace"), "key", F.struct(*others).alias("value")).write.mode("overwrite").json(path)
+    return cases.sparkSession.read.schema("key string").json(path).count()

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from peakloom import engine
 from peakloom.functions import shifts, structures
-from peakloom.operators import optimise, rerank
+from peakloom.operators import optimise, prep, rerank, retrieval
+from peakloom.sources import sinks
 
 
 def test_registry(spark):
@@ -72,3 +73,46 @@ def test_crossover(spark):
     both = optimise.rerank_input(pool, new, 2, 3)
     assert both.count() == both.select("canonical").distinct().count() <= 5
     assert "C(C)N" in {r.smiles for r in optimise.edits(spark.createDataFrame([("CCO",)], "smiles string")).collect()}
+
+
+def test_loop():
+    asked = []
+
+    def act(plan):
+        asked.append(plan)
+        return len(asked)
+
+    says = iter([{"verdict": "need_bigger_pool"}, {"verdict": "?"}, {"verdict": "accept", "top_candidate": "CO"}])
+    out = engine.looped({"retrieval_top_k": 5}, act, lambda r: next(says), most=5)
+    assert out == {"verdict": "accept", "answer": "CO", "result": 3, "iteration": 3}
+    assert [p["retrieval_top_k"] for p in asked] == [5, 100, 100]
+    out = engine.looped({}, act, lambda r: {"verdict": "need_retry", "top_candidate": "C"}, most=2)
+    assert (out["verdict"], out["answer"], out["iteration"]) == ("need_retry", None, 2)
+
+
+def test_tokens_and_pooling(spark):
+    vocab = spark.createDataFrame([("<pad>", 0), ("<unk>", 1), ("<bos>", 2), ("<eos>", 3), ("C", 4), ("O", 5)], "token string, id int")
+    rows = spark.createDataFrame([(1, ["C", "C", "O"]), (2, ["C", "N"]), (3, []), (4, None)], "k int, w array<string>")
+    ids = prep.encoded(rows, "k", "w", vocab)
+    assert {r.k: list(r.ids) for r in ids.collect()} == {1: [2, 4, 4, 5, 3], 2: [2, 4, 1, 3], 3: [2, 3], 4: [2, 3]}
+    assert {r.k: list(r.ids) for r in prep.encoded(rows, "k", "w", vocab, begin=None, end=None).collect()}[3] == []
+    assert {r.k: r.text for r in prep.decoded(ids, "k", "ids", vocab).collect()} == {1: "CCO", 2: "C<unk>", 3: "", 4: ""}
+    late = spark.createDataFrame([(1, [4, 3, 5]), (2, [9, 5])], "k int, ids array<int>")
+    assert {r.k: r.text for r in prep.decoded(late, "k", "ids", vocab).collect()} == {1: "C", 2: "<unk>O"}
+    some = spark.createDataFrame([(1, [[1.0, 2.0], [3.0, 4.0]], [False, True]), (2, [[1.0, 2.0], [3.0, 4.0]], [False, False]), (3, [[1.0, 2.0]], [True])], "k int, v array<array<double>>, p array<boolean>")
+    assert {r.k: r.x for r in some.select("k", prep.pooled(F.col("v"), F.col("p")).alias("x")).collect()} == {1: [1.0, 2.0], 2: [2.0, 3.0], 3: None}
+
+
+def test_memory_export(spark, tmp_path):
+    cases = spark.createDataFrame([(f"k{i}", "C6H6", [7.2]) for i in range(5)], "key string, formula string, h array<double>")
+    assert sinks.memory(cases, str(tmp_path / "m"), most=3) == 3
+    rows = spark.read.json(str(tmp_path / "m")).orderBy("key").collect()
+    assert [(r.namespace, r.key, r.value.formula) for r in rows] == [("confirmed_cases", f"k{i}", "C6H6") for i in range(3)]
+    assert sinks.memory(cases.limit(0), str(tmp_path / "none")) == 0
+
+
+def test_payload_alternatives(spark):
+    results = spark.createDataFrame([(1, [1.0, 0.0], v, key, i, s, n) for n, (v, key, i, s) in enumerate([(1, "a", None, 0.5), (2, "gone", 20, 0.9), (3, " ", 99, 0.8), (4, None, None, 0.7), (5, "e", 10, 0.1)], 1)], "query_id int, query array<double>, vec_id int, db_key string, db_id long, vector_score double, vector_rank int")
+    payload = spark.createDataFrame([("a", 10, [1.0, 0.0]), ("b", 20, [0.0, 1.0]), ("e", 30, None)], "key string, id long, embedding array<double>")
+    rows = retrieval.embedding_reranked(results, payload, 5).orderBy("rank").collect()
+    assert [(r.vec_id, r.score, r.fallback) for r in rows] == [(1, 1.0, False), (3, 0.8, True), (4, 0.7, True), (5, 0.1, True), (2, 0.0, False)]
