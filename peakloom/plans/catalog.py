@@ -9,6 +9,7 @@ from peakloom.functions import spectra as S
 from peakloom.functions import text as T
 from peakloom.operators import fragments, knowledge, pools, prep, retrieval, text_search
 from peakloom.plans.registry import ORACLES, QUERIES, register, table
+from peakloom.session import written_folder
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -586,6 +587,13 @@ def bm25_filtered(spark, sf_dir):
     return _bm25(spark, sf_dir, _three(spark), 20, F.col("lang") == "en")
 
 
+@register("bm25_index", _bm25_sql(_THREE, 20, "lang = 'en'"))
+def bm25_index(spark, sf_dir):
+    path = written_folder(spark, "bm25")
+    text_search.write_index(table(spark, sf_dir, "documents"), "doc_id", ["text"], path, ("lang",))
+    return text_search.search_index(path, _three(spark), "doc_id", "query_id", "terms", 20, F.col("lang") == "en")
+
+
 @register("bm25_batch", _bm25_sql(f"SELECT item_id AS query_id, list_distinct({_TOKENS.format('text')})[1:1000] AS terms FROM benchmark", 5))
 def bm25_batch(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.query_terms(F.col("text"), 1000).alias("terms"))

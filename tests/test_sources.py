@@ -108,6 +108,20 @@ def test_bm25_values(spark):
     assert found == {(1, "a"): pytest.approx(1.745931), (1, "b"): pytest.approx(0.381005), (2, "a"): pytest.approx(1.433782)}
 
 
+def test_text_index(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"common word{i % 7} {'rare' if i == 5 else ''}", "en" if i % 2 else None) for i in range(50)] + [(50, "", "en"), (51, None, "en")], "doc_id int, text string, lang string")
+    asked = spark.createDataFrame([(1, ["rare", "word3"]), (2, ["common"]), (3, ["nowhere"])], "query_id int, terms array<string>")
+    text_search.write_index(docs, "doc_id", ["text"], str(tmp_path / "i"), ("lang",))
+    for where in (None, F.col("lang") == "en"):
+        rows = text_search.search_index(str(tmp_path / "i"), asked, "doc_id", "query_id", "terms", 4, where)
+        plain = text_search.bm25(docs, asked, "doc_id", ["text"], "query_id", "terms", 4, where)
+        assert sorted(rows.collect()) == sorted(plain.collect()) and rows.count() > 4
+    pushed = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(term" in pushed
+    text_search.write_index(docs.limit(0), "doc_id", ["text"], str(tmp_path / "e"))
+    assert text_search.search_index(str(tmp_path / "e"), asked, "doc_id", "query_id", "terms", 4).count() == 0
+
+
 def test_chunks(spark):
     text = "# One\nintro\n## Two\n" + "word " * 100 + "\n# Three\n" + "x" * 500
     rows = text_search.markdown_chunks(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), most=200, overlap=20).orderBy("nth").collect()
