@@ -100,6 +100,17 @@ def by_batch(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | No
     return df.mapInArrow(run, schema)
 
 
+def batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Applies work, which may give several batches, to each Arrow batch that has rows."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            if batch.num_rows:
+                yield from work(batch)
+
+    return df.mapInArrow(run, schema)
+
+
 def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about so many bytes of a binary column, one row at least, so that arrays made from them stay small."""
     sizes = np.zeros(batch.num_rows, np.int64)

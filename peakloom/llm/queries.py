@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakloom.llm import bitslices, decontaminate, lattice, licenses, minhash, mixing, repeats, secret_scan, toxicity, warc
+from peakloom.llm import bitslices, collocations, decontaminate, lattice, lexical, licenses, minhash, mixing, repeats, secret_scan, token_counts, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -183,3 +183,49 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
 
 
 ORACLES["op2_license_scan"] = _license_sql()
+
+
+@_query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_lexical_search"] = f"""
+WITH d AS (SELECT doc_id, {_plain("text")} AS w FROM documents), b AS (SELECT item_id, {_plain("text")} AS w FROM benchmark),
+s AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d WHERE len(w) > 0),
+t AS (SELECT doc_id, 25 + (75 * len(w) * docs) // terms AS m, w FROM d, s WHERE len(w) > 0),
+p AS (SELECT doc_id, m, term, count(*) AS tf FROM (SELECT doc_id, m, unnest(w) AS term FROM t) GROUP BY 1, 2, 3),
+f AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * df + 1))) AS BIGINT) AS weight FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(w) AS term FROM b) GROUP BY 1, 2),
+r AS (SELECT item_id, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN f USING (term) JOIN p USING (term) GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 10
+"""
+
+
+@_query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_collocations"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS (SELECT lang, m, g, count(*) AS f FROM (SELECT lang, m, array_to_string(list_slice(w, p + 1, p + m), ' ') AS g
+  FROM (SELECT lang, w, m, unnest(range(len(w) - m + 1)) AS p FROM w, (SELECT unnest([1, 2, 3]) AS m) WHERE len(w) >= m)) GROUP BY 1, 2, 3),
+c AS (SELECT lang, m, g, f AS a, string_split(g, ' ') AS w FROM f WHERE m > 1 AND f >= 10),
+k AS (SELECT *, array_to_string(list_slice(w, 1, k), ' ') AS x, array_to_string(list_slice(w, k + 1, m), ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+s AS (SELECT k.lang, k.m, k.g, a, k, x.f AS l, y.f AS r, CAST((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM k JOIN f x ON x.lang = k.lang AND x.m = k.k AND x.g = k.x JOIN f y ON y.lang = k.lang AND y.m = k.m - k.k AND y.g = k.y),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, m, g ORDER BY score, k) AS nth FROM s) WHERE nth = 1),
+o AS (SELECT lang, g, max(a) AS longer FROM (SELECT lang, a, array_to_string(list_slice(w, i + 1, i + 2), ' ') AS g FROM (SELECT *, unnest([0, 1]) AS i FROM c WHERE m = 3)) GROUP BY 1, 2),
+d AS (SELECT b.* FROM b LEFT JOIN o ON b.m = 2 AND o.lang = b.lang AND o.g = b.g WHERE o.longer IS NULL OR 100 * o.longer < 50 * a),
+q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM d)
+SELECT lang, CAST(rank AS INTEGER) AS rank, g AS phrase, a, l, r, n, score FROM q JOIN t USING (lang) WHERE rank <= 2000
+"""
+
+
+@_query
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"))
