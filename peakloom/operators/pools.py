@@ -5,12 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from peakloom.session import cut_lineage
+
 
 def ranked(rows: DataFrame, order: list[Column], by: list[str] | None = None, into: str = "rank") -> DataFrame:
     """Rows numbered from 1 in the order, within each group where groups are given."""
     return rows.withColumn(into, F.row_number().over(Window.partitionBy(*(by or [])).orderBy(*order)))
 
 
+def numbered(rows: DataFrame, by: list[str], order: list[str], into: str = "rank") -> DataFrame:
+    """Rows numbered from 1 within each group in the order of the columns, which is unique; no task gets a whole group.
+
+    Ranges of group and order are written with their number, rows are numbered within a range, and each range's first number is what the
+    ranges before it hold of the group.
+    """
+    ranges = rows.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id())
+    held = cut_lineage(ranges)
+    counts = held.groupBy(*by, "_range").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_range").alias("_at"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    within = held.withColumn("_w", F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order)))
+    same = F.col("_range") == F.col("_at")
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    return within.join(counts, same).select(*rows.columns, (F.col("_w") + F.col("_before")).alias(into))
+
+
 def first_wins(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """One row for each key: the one with the least values of the order (a falling one is given by its negative).
 
