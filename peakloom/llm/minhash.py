@@ -1,6 +1,7 @@
 """Near duplicates by an inverted join on the coordinates of MinHash signatures, confirmed on full shingle sets.
 
-1. Equal sets are one class, by count and two 64-bit sums over their hashed shingles; from here on a class is one row.
+1. Equal sets are one class, by count and two 64-bit sums over their hashed shingles; from here on a class is one row with a
+   number of its own, and ids come back only at the end.
 2. Each coordinate of a class's signature, with its value, is a token. Two sets of the wanted similarity agree on at least
    ``match`` of ``coordinates``; at the threshold itself a pair misses that about once in a thousand million times.
    Tokens are ordered by frequency; of a pair that agrees on so many, both have a common token among their first
@@ -65,11 +66,11 @@ def signature(found: np.ndarray, coordinates: int, step: int = 1 << 14) -> np.nd
 
 
 def sketches(docs: DataFrame, key: str, text: str, size: int = SIZE, coordinates: int = COORDINATES) -> DataFrame:
-    """(key, n, one, two, signature, sketch) of each row; one and two identify the set, the sketch has a byte of each coordinate, eight to a number."""
+    """(key, content, n, one, two, signature, sketch) of each row; content is a hash of the text, one and two identify the set, the sketch has a byte of each coordinate, eight to a number."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, one, two, flat, packed, ends = [], [], [], [], [], [0]
-        for value in batch.column(1):
+        for value in batch.column(2):
             found = shingles(value.as_buffer() if value.is_valid else None, size)
             n.append(len(found))
             one.append(int(mixed(found).sum(dtype=np.uint64).astype(np.int64)))
@@ -81,9 +82,9 @@ def sketches(docs: DataFrame, key: str, text: str, size: int = SIZE, coordinates
         values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64))
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
         short = pa.ListArray.from_arrays(pa.array([e // coordinates * -(-coordinates // 8) for e in ends], pa.int32()), pa.array(np.concatenate(packed) if packed else np.zeros(0, np.int64)))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists, short], names=["key", "n", "one", "two", "signature", "sketch"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists, short], names=["key", "content", "n", "one", "two", "signature", "sketch"])
 
-    return by_batch(docs.select(F.col(key).cast("long").alias("key"), _bytes(text)), work, "key long, n long, one long, two long, signature array<long>, sketch array<long>")
+    return by_batch(docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.col(text)).alias("content"), _bytes(text)), work, "key long, content long, n long, one long, two long, signature array<long>, sketch array<long>")
 
 
 def _bytes(text: str):
@@ -268,13 +269,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     """For each row: key, n_shingles, component_id (the smallest id that links reach) and kept (whether that is its own)."""
     drawn = durable(sketches(docs, key, text, size, coordinates), "sketches")
     rows = drawn.where("n > 0 AND key IS NOT NULL")
-    classes = durable(rows.groupBy("n", "one", "two").agg(F.min("key").alias("rep"), F.any_value("signature").alias("signature"), F.any_value("sketch").alias("sketch")), "classes")
+    least = F.min(F.struct("key", "content"))
+    classes = rows.groupBy("n", "one", "two").agg(least.alias("m"), F.any_value("signature").alias("signature"), F.any_value("sketch").alias("sketch"))
+    # Numbers are given as the table is written, so they stay.
+    classes = durable(classes.select(F.monotonically_increasing_id().alias("rep"), "n", "one", "two", F.col("m.key").alias("first"), F.col("m.content").alias("content"), "signature", "sketch"), "classes")
     posted = postings(classes, coordinates, match)
     ids = durable(posted.select("rep").distinct(), "ids")
-    nodes = durable(classes.select("rep", "n", "sketch").join(ids, "rep").groupBy("rep").agg(F.max("n").alias("n"), F.any_value("sketch").alias("sketch")), "nodes")
-    # One plan at every size: the ids grow with the corpus, and are never broadcast.
-    texts = docs.select(F.col(key).cast("long").alias("key"), _bytes(text)).join(ids.select(F.col("rep").alias("key")).hint("merge"), "key")
-    sets = durable(full_sets(texts, size).distinct(), "sets")
+    nodes = durable(classes.select("rep", "n", "sketch").join(ids, "rep"), "nodes")
+    # One plan at every size: the ids grow with the corpus, and are never broadcast. An id may have several texts; its class's is known by its hash.
+    wanted = durable(classes.join(ids, "rep").select("rep", F.col("first").alias("id"), F.col("content").alias("of")), "wanted")
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("of"), _bytes(text)).join(wanted.hint("merge"), ["id", "of"])
+    sets = durable(full_sets(texts.select(F.col("rep").alias("key"), "text"), size).distinct(), "sets")
     groups, found = links(posted, nodes, sets, similar, match, coordinates, block)
     group = lambda x: groups.select(F.col("node").alias(x), F.col("group").alias(f"of_{x}"))
     met = found.join(group("rep"), "rep").join(group("hub"), "hub").where("of_rep <> of_hub").select(F.col("of_rep").alias("a"), F.col("of_hub").alias("b"))
@@ -282,11 +287,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     # An id with several texts is one document: it is linked with the class of each.
     several = durable(rows.select("key", "n", "one", "two").groupBy("key").agg(F.min(F.struct("n", "one", "two")).alias("low"), F.max(F.struct("n", "one", "two")).alias("high")).where("low <> high").select("key"), "several")
     if not several.isEmpty():
-        same = rows.select("key", "n", "one", "two").join(several, "key").join(classes.select("rep", "n", "one", "two"), ["n", "one", "two"])
-        own = own.union(same.select(F.col("key").alias("a"), F.col("rep").alias("b")))
+        held = durable(rows.select("key", "n", "one", "two").join(several, "key").distinct().join(classes.select("rep", "n", "one", "two"), ["n", "one", "two"]).select("key", "rep"), "held")
+        lowest = durable(held.groupBy("key").agg(F.min("rep").alias("low")), "lowest")
+        own = own.union(held.join(lowest, "key").select(F.col("rep").alias("a"), F.col("low").alias("b")))
     joined = components(met.distinct().union(own.where("a <> b")))
-    named = durable(classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("n", "one", "two", F.coalesce("component", "rep").alias("component")), "named")
-    removed(posted, ids, nodes, sets, groups, several, joined, classes)
+    placed = durable(classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("n", "one", "two", "first", F.coalesce("component", "rep").alias("component")), "placed")
+    smallest = durable(placed.groupBy("component").agg(F.min("first").alias("smallest")), "smallest")
+    named = durable(placed.join(smallest, "component").select("n", "one", "two", F.col("smallest").alias("component")), "named")
+    removed(posted, ids, nodes, wanted, sets, groups, several, joined, classes, placed, smallest)
     component = F.when(F.col("key").isNotNull(), F.coalesce("component", "key"))
     out = drawn.select("key", "n", "one", "two").join(named, ["n", "one", "two"], "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("key"), F.lit(True)).alias("kept"))
