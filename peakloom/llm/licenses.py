@@ -1,6 +1,6 @@
 """License scan as an exact set-similarity join of word blocks with templates; DataFrame functions only.
 
-Blocks are windows of 64 words, one every 32, so that any 33 words in a row stand in one of them. A block meets a
+Blocks are windows of 64 words, one every 32, so that any 33 words in a row stand in one of them; longer templates make them wider. A block meets a
 template if it holds at least ``threshold`` of the template's distinct words.
 
 1. One pass over the texts writes, for each row, its base columns and its words of templates, as numbers, for every
@@ -16,7 +16,7 @@ template if it holds at least ``threshold`` of the template's distinct words.
 
 Defined cases: null is the empty text, with no words, labels or places and score 0; repeated rows and ids are each scanned
 as they stand; an empty table gives no rows; any length of text is scanned whole; columns beside key and text are not read, whatever
-their names. A template of over 33 words, or of none, is refused, since no block need hold it whole.
+their names. A template without words is refused, and so is a width given that need not hold every template whole.
 """
 
 from __future__ import annotations
@@ -105,10 +105,11 @@ def matched(held: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD)
         prefixes, least = prefixes | set(tokens[: len(tokens) - need + 1]), min(least, need)
     index = held.sparkSession.range(1).select(F.inline(F.array(*posted)))
     ranks = F.array(*[F.lit(rank[w]) for w in vocabulary])
-    numbers = F.array_union(F.col("half"), F.coalesce(F.get("halves", F.col("at") + 1), F.array().cast("array<smallint>")))
-    # The last half is the second one of its block, unless it is the only one.
-    blocks = held.select("row", "halves", F.posexplode("halves").alias("at", "half")).where((F.col("at") == 0) | (F.col("at") < F.size("halves") - 1))
-    blocks = blocks.select("row", "at", F.sort_array(F.transform(numbers, lambda n: F.get(ranks, n - 1))).alias("block")).where(F.size("block") >= least)
+    # A half meets its neighbour inside the row, and only what the two hold together is exploded; the last half is the second one of its block, unless it is the only one.
+    half = lambda at: F.coalesce(F.get("halves", at), F.array().cast("array<smallint>"))
+    together = lambda at: F.sort_array(F.transform(F.array_union(half(at), half(at + 1)), lambda n: F.get(ranks, n - 1)))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("halves") - 2, F.lit(0)))
+    blocks = held.select("row", F.explode(F.transform(starts, together)).alias("block")).where(F.size("block") >= least)
     probes = blocks.select("row", "block", F.explode(F.array_intersect("block", F.array(*[F.lit(p) for p in sorted(prefixes)]))).alias("word"))
     pairs = probes.join(F.broadcast(index), "word").where(F.size("block") >= F.col("need"))
     first = ~F.arrays_overlap(F.slice("tokens", 1, F.col("nth")), "block")
@@ -119,11 +120,17 @@ def matched(held: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD)
     return found.groupBy("row").agg(F.sort_array(F.collect_set("match")).alias("matches"))
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", *, templates=TEMPLATES, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
+def width_of(templates=TEMPLATES) -> int:
+    """The words of a block: WIDTH, or as many as it takes for some block to hold the longest template whole, wherever that stands."""
+    return max(WIDTH, 2 * (max(len(notice.split()) for _, notice in templates) - 1))
+
+
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", *, templates=TEMPLATES, threshold: float = THRESHOLD, width: int | None = None) -> DataFrame:
     """For each row: key, n_words, n_base, first_word, last_word, base_labels, labels, score, and matches (label, score) of the join.
 
     The score is the largest containment that meets the threshold, 1 where a phrase stands, else 0.
     """
+    width = width or width_of(templates)
     for label, notice in templates:
         if not 0 < len(notice.split()) <= width // 2 + 1:
             raise ValueError(f"a template of {label} has {len(notice.split())} words; blocks of {width} words hold up to {width // 2 + 1} whole")
