@@ -2,7 +2,8 @@
 
 The method: a candidate is a run of 16 or more characters of secrets' alphabets that holds letters and digits, and stands
 within ``reach`` characters after a word such as key or token. In unspaced KEY=value text the word is part of the run: if the
-run itself isn't reported, what follows each = is a candidate too, up to the first one reported. Its novelty is what it adds to the compressed size of its
+run itself isn't reported, each part that follows a = and ends at the next one (or with it, where = closes the run) is a candidate too, up to
+the first one reported, whose span takes in the rest of the run. A candidate's novelty is what it adds to the compressed size of its
 surrounding text, for a compressor primed with a dictionary of identifiers, in bytes a character. The dictionary holds common ones and,
 nearest to the text, those that stand in the most documents of the table; only letters and underscores make an identifier, so
 that no key can enter it, however many copies of it there are. Words and identifiers that stand
@@ -21,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -95,12 +97,18 @@ def patterns_in(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _touches(known: list[tuple[int, int, int]], at: int, start: int, end: int) -> bool:
-    while at < len(known) and known[at][0] < end:
-        if start < known[at][2]:
-            return True
-        at += 1
-    return False
+def _parts(text: str, first: int, end: int) -> Iterator[tuple[int, int]]:
+    """The run itself, then what stands between its equals signs; those that close the run belong to its last part."""
+    yield first, end
+    start = None
+    for m in EQUALS.finditer(text, first, end):
+        if m.end() == end:
+            break
+        if start is not None:
+            yield start, m.start()
+        start = m.end()
+    if start is not None:
+        yield start, end
 
 
 def novel_in(text: str, known: list[tuple[int, int, int]], novelty: float = NOVELTY, reach: int = REACH, words: str = "") -> list[tuple[int, int, int]]:
@@ -116,12 +124,14 @@ def novel_in(text: str, known: list[tuple[int, int, int]], novelty: float = NOVE
             at += 1
         if not (DIGIT.search(text, first, end) and LETTER.search(text, first, end)):
             continue
-        for start in [first, *(e.end() for e in EQUALS.finditer(text, first, end) if end - e.end() >= LEAST)]:
-            if not (CONTEXT.search(text, max(0, start - reach), start) and DIGIT.search(text, start, end) and LETTER.search(text, start, end)):
+        for start, stop in _parts(text, first, end):
+            if stop - start < LEAST or not (CONTEXT.search(text, max(0, start - reach), start) and DIGIT.search(text, start, stop) and LETTER.search(text, start, stop)):
                 continue
-            if _touches(known, at, start, end):
+            while at < len(known) and known[at][2] <= start:
+                at += 1
+            if at < len(known) and known[at][0] < end:
                 continue
-            if novelty_of(text[max(0, start - AROUND) : start], text[start:end], text[end : end + AROUND], words) >= novelty:
+            if novelty_of(text[max(0, start - AROUND) : start], text[start:stop], text[stop : stop + AROUND], words) >= novelty:
                 found.append((start, 3, end))
                 break
     return found
