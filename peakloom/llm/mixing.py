@@ -11,9 +11,9 @@ each document, so that a source's total comes within a few words of its target,
 Sizes are counted in one pass, which writes key, source and size; the rest works on that table.
 
 Defined cases: a null text has size 0; null sources are one source, ordered last; a source or a corpus without words has
-target 0; rows with null ids draw by their place in the table, so reruns agree as long as its files stay as they are; repeated rows
-each count, and get equal results; texts of any length are counted whole; an empty table gives no rows; columns that are not
-named are not read.
+target 0; rows with null ids draw by their source and text, and equal ones of these by a number each, so results agree however the
+table is cut into files and tasks; other repeated rows each count, and get equal results; texts of any length are counted whole; an
+empty table gives no rows; columns that are not named are not read.
 """
 
 from __future__ import annotations
@@ -58,6 +58,22 @@ def draw(seed: str, what: str, key: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def _drawn_by(sized: DataFrame) -> DataFrame:
+    """The rows with what they draw by: their key as text; without one, the digest of source and text, and a number among equal ones.
+
+    Equal rows are numbered within the task that wrote them, on from what the tasks before it wrote, so no task gets all of them.
+    """
+    named = sized.where("key IS NOT NULL").withColumn("drawn_by", F.col("key").cast("string"))
+    held = sized.where("key IS NULL")
+    counts = held.groupBy("content", "task").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("content").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("content", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("content", "task").orderBy("size"))
+    numbered = held.withColumn("nth", nth).join(counts, ["content", "task"])
+    drawn = numbered.withColumn("drawn_by", F.concat(F.lit("row "), "content", F.lit(":"), (F.col("before") + F.col("nth")).cast("string")))
+    return named.unionByName(drawn.select(*named.columns))
+
+
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", *, keep: tuple[str, ...] = (), weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
     """Key, size, source_size, target, taken, and how the words are taken: ``repeats`` whole ones and ``part_words`` from word ``part_start``.
 
@@ -65,10 +81,12 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     shuffled; the join on a source that holds a third of the rows is split by adaptive execution.
     """
     kept = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]
-    place = F.when(F.col(key).isNull(), F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string"))).otherwise(F.col(key).cast("string"))
-    sized = durable(docs.select(F.col(key).alias("key"), place.alias("drawn_by"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *kept), "sizes")
+    told = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
+    content = F.when(F.col(key).isNull(), F.md5(F.concat(told(source), F.lit("\n"), told(text)).cast("binary")))
+    sized = durable(docs.select(F.col(key).alias("key"), content.alias("content"), F.spark_partition_id().alias("task"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *kept), "sizes")
     goal = targets(sized.select("source", "size"), weights, epochs).withColumnRenamed("source", "of")
-    rows = sized.join(goal, F.col("source").eqNullSafe(F.col("of")))
+    rows = sized.withColumn("drawn_by", F.col("key").cast("string")) if sized.where("key IS NULL").isEmpty() else _drawn_by(sized)
+    rows = rows.join(goal, F.col("source").eqNullSafe(F.col("of")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("rate", rate).withColumn("repeats", F.floor("rate"))
     part = F.floor((F.col("rate") - F.col("repeats")) * F.col("size") + draw(seed, "part", F.col("drawn_by")))

@@ -53,11 +53,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _draw(what: str) -> str:
-    return f"(CAST('0x' || substr(md5('{mixing.SEED}:{what}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0)"
+    return f"(CAST('0x' || substr(md5('{mixing.SEED}:{what}:' || drawn_by), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0)"
 
 
 ORACLES["op9_mixing"] = f"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_SPACED}')) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_SPACED}')) AS BIGINT) AS size,
+  coalesce(CAST(doc_id AS VARCHAR), 'row ' || md5(coalesce('=' || source, '') || chr(10) || coalesce('=' || text, '')) || ':' || row_number() OVER (PARTITION BY doc_id, source, text)) AS drawn_by FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
 w AS (SELECT *, 1 + (place - 1) % 3 AS weight, 3 * source_size AS cap FROM s),
 o AS (SELECT *, row_number() OVER (ORDER BY cap::DOUBLE / weight, place) AS nth FROM w),
