@@ -51,48 +51,57 @@ def covers(peaks: DataFrame, fragments: DataFrame, tolerance: float, k: int, que
 
 
 def _nearest(places: DataFrame, tolerance: float, by: tuple[str, ...]) -> DataFrame:
-    """Each place (by, side, at) with the nearest place of the other side, if that is within the tolerance; the smaller one at ties."""
+    """Each place (by, side, at, n) with the nearest place of the other side within the tolerance, the smaller one at ties, and a bound of how many rows of that side are in its reach."""
     own = places.withColumn("_cell", _cell("at", tolerance))
-    ends = own.groupBy(*by, "_cell", "side").agg(F.min("at").alias("_low"), F.max("at").alias("_high"))
-    beside = [ends.select(*by, (F.col("_cell") + step).alias("_cell"), "side", F.col(end).alias("at")) for step, end in ((1, "_high"), (-1, "_low"))]
+    ends = own.groupBy(*by, "_cell", "side").agg(F.min("at").alias("_low"), F.max("at").alias("_high"), F.sum("n").alias("n"))
+    beside = [ends.select(*by, (F.col("_cell") + step).alias("_cell"), "side", F.col(end).alias("at"), "n") for step, end in ((1, "_high"), (-1, "_low"))]
     seen = own.withColumn("_own", F.lit(True)).unionByName(beside[0].unionByName(beside[1]), allowMissingColumns=True)
-    up = Window.partitionBy(*by, "_cell").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    down = Window.partitionBy(*by, "_cell").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    cell = Window.partitionBy(*by, "_cell")
+    up = cell.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    down = cell.orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     last = lambda side, w: F.last(F.when(F.col("side") == side, F.col("at")), ignorenulls=True).over(w)
-    seen = seen.select("*", *[last(side, w).alias(f"_{name}{side}") for side in (0, 1) for name, w in (("below", up), ("above", down))]).where("_own")
+    total = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("n"))).over(cell), F.lit(0))
+    seen = seen.select("*", total(0).alias("_sum0"), total(1).alias("_sum1"), *[last(side, w).alias(f"_{name}{side}") for side in (0, 1) for name, w in (("below", up), ("above", down))]).where("_own")
     other = lambda name: F.when(F.col("side") == 0, F.col(f"_{name}1")).otherwise(F.col(f"_{name}0"))
     far = lambda name: F.abs(F.col("at") - other(name))
     near = F.when(other("above").isNull() | (far("below") <= far("above")), other("below")).otherwise(other("above"))
-    return seen.withColumn("near", near).where(F.abs(F.col("at") - F.col("near")) <= tolerance).select(*places.columns, "near")
+    return seen.withColumns({"near": near, "reach": other("sum")}).where(F.abs(F.col("at") - F.col("near")) <= tolerance).select(*places.columns, "near", "reach")
 
 
 def paired(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_at: str, right_at: str, tolerance: float, by: tuple[str, ...] = ()) -> DataFrame:
     """One-to-one pairs (by, left key, right key, distance) within the tolerance, nearest first.
 
-    The pairs are those that taking the best pair again and again gives, in the order of distance, left position, right position and keys: two
-    places that are nearest to each other both ways are the best pair of both, so all such places are paired in one round, as many
-    rows of each as both have, and the next round is among the rest. A place without another side in reach is out for good. Every
-    round is checkpointed; each pairs at least the nearest places of all.
+    The pairs are those that taking the best pair again and again gives, in the order of distance, left position, right position and keys. Two
+    places that are nearest to each other both ways are the best pair of both, and a place with rows enough for all in its reach serves
+    everyone whose nearest it is: all these are paired in one round, as many rows of each as both have, and the next round is among the rest. A
+    place without another side in reach is out for good. Every round is checkpointed, and pairs at least the nearest places of all.
     """
     sides = [_finite(rows, at, by).select(*by, F.col(at).cast("double").alias("at"), F.col(key)) for rows, key, at in ((left, left_key, left_at), (right, right_key, right_at))]
     ranked = [cut_lineage(pools.numbered(rows, [*by, "at"], [key], "_n")) for rows, key in zip(sides, (left_key, right_key), strict=True)]
     counted = [rows.groupBy(*by, "at").agg(F.count("*").alias("n")).withColumn("side", F.lit(side)) for side, rows in enumerate(ranked)]
-    places = counted[0].unionByName(counted[1]).withColumn("taken", F.lit(0).cast("long"))
+    places = counted[0].unionByName(counted[1])
     found = None
     while True:
         state = cut_lineage(_nearest(places, tolerance, by))
         if state.isEmpty():
             break
-        l = state.where("side = 0").select(*by, F.col("at").alias("l_at"), F.col("near").alias("r_at"), F.col("n").alias("l_n"), F.col("taken").alias("l_taken"))
-        r = state.where("side = 1").select(*by, F.col("near").alias("l_at"), F.col("at").alias("r_at"), F.col("n").alias("r_n"), F.col("taken").alias("r_taken"))
-        pairs = cut_lineage(l.join(r, [*by, "l_at", "r_at"]).select(*by, "l_at", "r_at", "l_taken", "r_taken", F.least("l_n", "r_n").alias("m")))
+        l = state.where("side = 0").select(*by, F.col("at").alias("l_at"), F.col("near").alias("r_at"), F.col("n").alias("l_n"))
+        r = state.where("side = 1").select(*by, F.col("near").alias("l_at"), F.col("at").alias("r_at"), F.col("n").alias("r_n"))
+        # Where one side alone asks, the other serves it if it serves all.
+        rich = [state.where((F.col("side") == side) & (F.col("n") >= F.col("reach"))).select(*by, F.col("at").alias(name), F.lit(True).alias(f"{name}_rich")) for side, name in enumerate(("l_at", "r_at"))]
+        met = l.join(r, [*by, "l_at", "r_at"], "full").join(rich[0], [*by, "l_at"], "left").join(rich[1], [*by, "r_at"], "left")
+        met = met.where("l_n IS NOT NULL AND r_n IS NOT NULL OR l_n IS NULL AND l_at_rich OR r_n IS NULL AND r_at_rich")
+        pairs = cut_lineage(met.select(*by, "l_at", "r_at", F.least("l_n", "r_n").alias("m")))
         found = pairs if found is None else found.unionByName(pairs)
         gone = pairs.select(*by, F.lit(0).alias("side"), F.col("l_at").alias("at"), "m").unionByName(pairs.select(*by, F.lit(1).alias("side"), F.col("r_at").alias("at"), "m"))
-        left_over = state.join(gone, [*by, "side", "at"], "left")
-        used = F.coalesce("m", F.lit(0))
-        places = left_over.select(*by, "at", (F.col("n") - used).alias("n"), "side", (F.col("taken") + used).alias("taken")).where("n > 0")
+        used = gone.groupBy(*by, "side", "at").agg(F.sum("m").alias("m"))
+        places = state.join(used, [*by, "side", "at"], "left").select(*by, "at", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n"), "side").where("n > 0")
     if found is None:
-        found = places.select(*by, F.col("at").alias("l_at"), F.col("at").alias("r_at"), F.col("taken").alias("l_taken"), F.col("taken").alias("r_taken"), F.col("n").alias("m")).limit(0)
+        found = places.select(*by, F.col("at").alias("l_at"), F.col("at").alias("r_at"), F.col("n").alias("m")).limit(0)
+    # The rows of a place go to its pairs in their order.
+    far = F.abs(F.col("l_at") - F.col("r_at"))
+    before = lambda own, other: F.coalesce(F.sum("m").over(Window.partitionBy(*by, own).orderBy(far, other).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = cut_lineage(found.select("*", before("l_at", "r_at").alias("l_taken"), before("r_at", "l_at").alias("r_taken")))
     l, r = (
         rows.withColumnRenamed("at", f"{s}_at").join(found, [*by, f"{s}_at"]).withColumn("_i", F.col("_n") - F.col(f"{s}_taken")).where("_i >= 1 AND _i <= m").select(*by, "l_at", "r_at", "_i", key)
         for s, rows, key in (("l", ranked[0], left_key), ("r", ranked[1], right_key))

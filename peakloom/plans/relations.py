@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from peakloom.operators import bands
+from peakloom.operators import bands, fingerprints
 from peakloom.plans.catalog import _SPECTRA, _spectra
 from peakloom.plans.registry import ORACLES, QUERIES, register, table
 
@@ -17,10 +17,10 @@ _SHIFT = "p_retailprice / 40"
 
 @register(
     "peak_band_join",
-    f"""WITH l AS (SELECT l_orderkey * 8 + l_linenumber AS line, l_quantity AS at, row_number() OVER (PARTITION BY l_quantity ORDER BY l_orderkey * 8 + l_linenumber) AS nth FROM lineitem),
-    p AS (SELECT p_partkey, {_SHIFT} AS shift, round(CAST({_SHIFT} AS DOUBLE)) AS at FROM part),
-    r AS (SELECT *, row_number() OVER (PARTITION BY at ORDER BY abs(shift - at), shift, p_partkey) AS nth FROM p WHERE abs(shift - at) <= 0.05)
-    SELECT line, p_partkey, round(abs(shift - at), 6) AS distance FROM l JOIN r USING (at, nth)""",
+    f"""WITH l AS (SELECT l_orderkey * 8 + l_linenumber AS line, CAST(l_quantity AS DOUBLE) AS spot, row_number() OVER (PARTITION BY l_quantity ORDER BY l_orderkey * 8 + l_linenumber) AS nth FROM lineitem),
+    p AS (SELECT p_partkey, CAST({_SHIFT} AS DOUBLE) AS shift FROM part),
+    r AS (SELECT *, round(shift) AS spot, row_number() OVER (PARTITION BY round(shift) ORDER BY abs(shift - round(shift)), shift, p_partkey) AS nth FROM p WHERE abs(shift - round(shift)) <= 0.05::DOUBLE)
+    SELECT line, p_partkey, round(abs(shift - spot), 6) AS distance FROM l JOIN r USING (spot, nth)""",
 )
 def peak_band_join(spark, sf_dir):
     """Quantities and scaled prices as peaks: each price within 0.05 of a quantity takes one of its lines, nearest first."""
@@ -54,3 +54,72 @@ def frag_swap_search(spark, sf_dir):
     asked = _spectra(spark, sf_dir).where("id % 100 = 0").select(F.col("id").alias("query_id"), F.explode(F.concat("h", "c")).alias("peak"))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("fragment_id"), F.explode(F.array(F.col("p_size") + F.lit(0.25), F.expr(_SHIFT))).alias("shift"))
     return bands.covers(asked, parts, 0.25, 10)
+
+
+# -- circular fingerprints --------------------------------------------------------------------------------------
+
+
+def _graph(spark, sf_dir):
+    """A molecule for each customer: the customer, its nation and region, and its orders."""
+    customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    placed = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    mol = F.col("c_custkey").alias("mol")
+    upper = placed.select(mol, F.explode(F.array(*[F.struct(F.lit(a).alias("atom"), F.col(c).alias("label")) for a, c in (("c", "c_mktsegment"), ("n", "n_name"), ("r", "r_name"))])).alias("x")).select("mol", "x.*")
+    own = orders.select(F.col("o_custkey").alias("mol"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("atom"), F.col("o_orderpriority").alias("label"), "o_orderstatus")
+    above = placed.select(mol, F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(k).alias("kind")) for a, b, k in (("r", "n", "in"), ("n", "c", "of"))])).alias("x")).select("mol", "x.*")
+    return upper.unionByName(own.drop("o_orderstatus")), above.unionByName(own.select("mol", F.lit("c").alias("a"), F.col("atom").alias("b"), F.col("o_orderstatus").alias("kind")))
+
+
+def _digest_sql(*parts: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8) AS BIGINT)"
+
+
+def _identifiers_sql() -> str:
+    rounds = [f"i0 AS (SELECT mol, atom, {_digest_sql('0', 'label')} AS i FROM atoms)"]
+    for n in (1, 2):
+        rounds.append(f"s{n} AS (SELECT ways.mol, ways.atom, count(*) AS n, CAST(sum({_digest_sql('kind', 'i')}) AS BIGINT) AS total FROM ways JOIN i{n - 1} ON i{n - 1}.mol = ways.mol AND i{n - 1}.atom = other GROUP BY 1, 2)")
+        rounds.append(f"i{n} AS (SELECT mol, atom, {_digest_sql(str(n), 'i', 'coalesce(n, 0)', 'coalesce(total, 0)')} AS i FROM i{n - 1} LEFT JOIN s{n} USING (mol, atom))")
+    return f"""placed AS (SELECT c_custkey AS mol, c_mktsegment, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+    atoms AS (SELECT mol, unnest(['c', 'n', 'r']) AS atom, unnest([c_mktsegment, n_name, r_name]) AS label FROM placed UNION ALL SELECT o_custkey, 'o' || o_orderkey, o_orderpriority FROM orders),
+    bonds AS (SELECT mol, unnest(['r', 'n']) AS a, unnest(['n', 'c']) AS b, unnest(['in', 'of']) AS kind FROM placed UNION ALL SELECT o_custkey, 'c', 'o' || o_orderkey, o_orderstatus FROM orders),
+    ways AS (SELECT mol, a AS atom, b AS other, kind FROM bonds UNION ALL SELECT mol, b, a, kind FROM bonds),
+    {", ".join(rounds)},
+    prints AS (SELECT mol, list_sort(list(DISTINCT CAST(i % 2048 AS INTEGER))) AS bits FROM (SELECT * FROM i0 UNION ALL SELECT * FROM i1 UNION ALL SELECT * FROM i2) GROUP BY mol)"""
+
+
+_PRINTS = _identifiers_sql()
+
+
+@register("fingerprint_bits", f"WITH {_PRINTS} SELECT mol, array_to_string(bits, ',') AS bits FROM prints")
+def fingerprint_bits(spark, sf_dir):
+    rows = fingerprints.fingerprints(*_graph(spark, sf_dir))
+    return rows.select("mol", F.array_join(F.transform("bits", lambda b: b.cast("string")), ",").alias("bits"))
+
+
+@register(
+    "fingerprint_links",
+    f"""WITH {_PRINTS}, k AS (SELECT bits, min(mol) AS class FROM prints GROUP BY bits), e AS (SELECT class, len(bits) AS n, unnest(bits) AS bit FROM k),
+    c AS (SELECT x.class AS a, y.class AS b, any_value(x.n) AS an, any_value(y.n) AS bn, count(*) AS common FROM e x JOIN e y ON x.bit = y.bit AND x.class < y.class GROUP BY 1, 2),
+    l AS (SELECT unnest([a, b]) AS class FROM c WHERE 10 * common >= 6 * (an + bn - common))
+    SELECT mol, class, coalesce(n, 0) AS links FROM (SELECT mol, class FROM prints JOIN k USING (bits)) LEFT JOIN (SELECT class, count(*) AS n FROM l GROUP BY class) USING (class)""",
+)
+def fingerprint_links(spark, sf_dir):
+    """Each molecule's class of equal fingerprints, and how many other classes are at a Tanimoto of 0.6 or more."""
+    named, members = fingerprints.classes(fingerprints.fingerprints(*_graph(spark, sf_dir)))
+    found = fingerprints.links(named, 0.6)
+    each = found.select(F.explode(F.array("left_class", "right_class")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
+    return members.join(each, "class", "left").select("mol", "class", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
+@register(
+    "fingerprint_topk",
+    f"""WITH {_PRINTS}, e AS (SELECT mol, len(bits) AS n, unnest(bits) AS bit FROM prints),
+    c AS (SELECT x.mol AS query_id, y.mol, x.n AS xn, y.n AS yn, count(*) AS common FROM e x JOIN e y ON x.bit = y.bit AND x.mol <> y.mol AND x.mol % 100 = 0 GROUP BY ALL),
+    v AS (SELECT query_id, mol, round(common::DOUBLE / (xn + yn - common), 6) AS tanimoto, row_number() OVER (PARTITION BY query_id ORDER BY common::DOUBLE / (xn + yn - common) DESC, mol) AS rank FROM c)
+    SELECT query_id, mol, tanimoto, CAST(rank AS INTEGER) AS rank FROM v WHERE rank <= 5""",
+)
+def fingerprint_topk(spark, sf_dir):
+    prints = fingerprints.fingerprints(*_graph(spark, sf_dir))
+    found = fingerprints.topk(prints.where("mol % 100 = 0"), prints, 5)
+    return found.where("tanimoto > 0").select("query_id", "mol", F.round("tanimoto", 6).alias("tanimoto"), "rank")
