@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from peakloom.operators import bands, fingerprints
-from peakloom.plans.catalog import _SPECTRA, _spectra
+from peakloom.operators import bands, fingerprints, neighbour_graph
+from peakloom.plans.catalog import _SPECTRA, _library, _spectra
 from peakloom.plans.registry import ORACLES, QUERIES, register, table
+from peakloom.session import written_folder
+from peakloom.sources import json_arrays
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -123,3 +125,26 @@ def fingerprint_topk(spark, sf_dir):
     prints = fingerprints.fingerprints(*_graph(spark, sf_dir))
     found = fingerprints.topk(prints.where("mol % 100 = 0"), prints, 5)
     return found.where("tanimoto > 0").select("query_id", "mol", F.round("tanimoto", 6).alias("tanimoto"), "rank")
+
+
+# -- graph index ------------------------------------------------------------------------------------------------
+
+
+@register("vec_graph_probe")
+def vec_graph_probe(spark, sf_dir):
+    """The five nearest of every hundredth vector, by a beam over the graph of nearest neighbours; the tests hold its recall."""
+    library = _library(spark, sf_dir)
+    asked = library.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
+    return neighbour_graph.search(asked, neighbour_graph.build(library), 5, ef=12)[0]
+
+
+# -- sources ----------------------------------------------------------------------------------------------------
+
+
+@register("json_array_source", "SELECT o_orderkey, o_custkey, o_orderpriority, o_comment_ AS note FROM (SELECT *, '{\"' || o_orderstatus || '\"}, [' || o_orderpriority AS o_comment_ FROM orders)")
+def json_array_source(spark, sf_dir):
+    """All orders, written as arrays of objects with braces and quotes in their texts, and read again by splits."""
+    note = F.concat(F.lit('{"'), "o_orderstatus", F.lit('"}, ['), "o_orderpriority").alias("note")
+    path = written_folder(spark, "arrays")
+    json_arrays.write(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", note), path)
+    return json_arrays.objects(spark, path, "o_orderkey long, o_custkey long, o_orderpriority string, note string")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from peakloom.functions import text as T
+from peakloom.sources import json_arrays
 
 CORRUPT = "_corrupt"
 
@@ -24,8 +25,8 @@ def tolerant_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[Da
 
 
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Elements of a file that is one JSON array."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """Objects of files that hold one JSON array each, by as many tasks as their size asks for."""
+    return json_arrays.objects(spark, path, schema)
 
 
 def table_text(spark: SparkSession, path: str, separator: str = ",", schema: str | None = None) -> DataFrame:
