@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from peakloom.operators import bands, fingerprints, neighbour_graph
+from peakloom.operators import bands, fingerprints, neighbour_graph, rank_join
 from peakloom.plans.catalog import _SPECTRA, _library, _spectra
 from peakloom.plans.registry import ORACLES, QUERIES, register, table
 from peakloom.session import written_folder
@@ -58,6 +58,15 @@ def frag_swap_search(spark, sf_dir):
     return bands.covers(asked, parts, 0.25, 10)
 
 
+@register("frag_pair_rank")
+def frag_pair_rank(spark, sf_dir):
+    """The ten best pairs of parts for each region, whose nations' numbers are its peaks; the tests hold the ranks against all pairs."""
+    asked = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").cast("long").alias("query_id")).agg(F.collect_list(F.col("n_nationkey").cast("double")).alias("peaks"))
+    peaks = F.when(F.col("p_partkey") % 3 == 0, F.array(F.col("p_size").cast("double"))).otherwise(F.array(F.col("p_size").cast("double"), F.expr(_SHIFT).cast("double")))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("fragment_id"), peaks.alias("peaks"))
+    return rank_join.top_pairs(asked, parts, 10, 1.0)[0]
+
+
 # -- circular fingerprints --------------------------------------------------------------------------------------
 
 
