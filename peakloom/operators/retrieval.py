@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import ROUND_HALF_EVEN, ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -188,13 +190,72 @@ def approximate_topk(asked: DataFrame, cells: DataFrame, centres: list[list[floa
     return _top(pairs.select("query_id", "vec_id", F.round(cosine(F.col("query"), F.col("vector")), 6).alias("score")), k)
 
 
+def _padded(lists: pa.Array) -> np.ndarray:
+    """One row for each list, as long as the longest, with NaN where there is nothing."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    out = np.full((len(sizes), max(int(sizes.max(initial=0)), 1)), np.nan)
+    out[np.arange(out.shape[1])[None, :] < sizes[:, None]] = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    return out
+
+
+def _tolerated(query: np.ndarray, memory: np.ndarray, tolerance: float) -> np.ndarray:
+    """The score of ``spectra.tolerance_match`` before it is rounded, of one query with each row of the memory."""
+    used, n, off = np.isnan(memory), np.zeros(len(memory)), np.zeros(len(memory))
+    for x in query:
+        far = np.abs(memory - x)
+        far[used | ~(far <= tolerance)] = np.inf
+        at = memory.shape[1] - 1 - np.argmin(far[:, ::-1], axis=1)
+        best = far[np.arange(len(far)), at]
+        hit = np.flatnonzero(np.isfinite(best))
+        used[hit, at[hit]] = True
+        n[hit] += 1
+        off[hit] += best[hit]
+    close = np.maximum(0.0, 1 - off / np.maximum(n, 1) / tolerance)
+    return 0.7 * n / max(len(query), 1) + np.where(n > 0, 0.3 * close, 0.0)
+
+
+def _rounded(x: float, places: int, how: str) -> float:
+    return float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-places), how))
+
+
 def recalled(asked: DataFrame, memory: DataFrame, k: int, near_h: float = 0.08, near_c: float = 2.0) -> DataFrame:
-    """Stored cases by 0.15 for an equal formula, 0.35 and 0.5 of the matches of both nuclei: (query_id, key, score, rank)."""
-    pairs = met(asked, memory, 4096)
-    same = F.when(F.col("formula") == F.col("asked_formula"), 0.15).otherwise(0.0)
-    h, c = S.tolerance_match(F.col("asked_h"), F.col("h"), near_h), S.tolerance_match(F.col("asked_c"), F.col("c"), near_c)
-    scored = pairs.select("query_id", "key", F.round(same + 0.35 * h["score"] + 0.5 * c["score"], 6).alias("score"))
-    return pools.ranked(scored, [F.desc("score"), F.col("key")], ["query_id"]).where(F.col("rank") <= k)
+    """Stored cases by 0.15 for an equal formula, 0.35 and 0.5 of the matches of both nuclei: (query_id, key, score, rank); null peaks are none.
+
+    Queries go to every task in blocks of a counted size; a task matches one query with all rows of a batch at a time, and keeps the k best of each.
+    """
+    count, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("asked_h") + F.size("asked_c")), F.lit(0))).first()
+    blocks = max(1, -(-count * (8 * max(width, 0) + 64 + 32 * k) // SENT_BYTES))
+    numbered = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    found = None
+    for block in range(blocks):
+        held = [(r.query_id, r.asked_formula, [np.array([np.nan if x is None else x for x in p or ()], float) for p in (r.asked_h, r.asked_c)]) for r in numbered.where(F.col("_block") == block).collect()]
+        sent = asked.sparkSession.sparkContext.broadcast(held)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            best: dict = {q[0]: [] for q in sent.value}
+            for batch in batches:
+                for start in range(0, batch.num_rows, 4096):
+                    part = batch.slice(start, 4096)
+                    keys, formulas = part.column("key").to_numpy(), np.array(part.column("formula").to_pylist(), object)
+                    peaks = [_padded(part.column(c)) for c in ("h", "c")]
+                    for name, formula, query in sent.value:
+                        same = np.where((formulas == formula) & (formula is not None), 0.15, 0.0)
+                        h, c = (_tolerated(q, m, t) for q, m, t in zip(query, peaks, (near_h, near_c), strict=True))
+                        rough = same + 0.35 * h + 0.5 * c
+                        mine = best[name]
+                        least = np.partition(rough, -k)[-k] if len(rough) > k else -np.inf
+                        least = max(least, mine[-1][0] if len(mine) == k else -np.inf) - 1e-3  # more than rounding to four places takes
+                        for i in np.flatnonzero(rough >= least).tolist():
+                            exact = float(same[i]) + 0.35 * _rounded(float(h[i]), 4, ROUND_HALF_EVEN) + 0.5 * _rounded(float(c[i]), 4, ROUND_HALF_EVEN)
+                            mine.append((_rounded(exact, 6, ROUND_HALF_UP), int(keys[i])))
+                        best[name] = sorted(mine, key=lambda x: (-x[0], x[1]))[:k]
+            for name, rows in best.items():
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.int64()), pa.array([x for x, _ in rows], pa.float64())], names=["query_id", "key", "score"])
+
+        one = memory.select("key", "formula", "h", "c").mapInArrow(run, "query_id long, key long, score double")
+        found = one if found is None else found.unionByName(one)
+    return pools.ranked(found, [F.desc("score"), F.col("key")], ["query_id"]).where(F.col("rank") <= k)
 
 
 def truth_ranks(ranks: DataFrame, truth: DataFrame, key: str = "vec_id") -> DataFrame:

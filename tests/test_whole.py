@@ -74,7 +74,7 @@ def test_vector_rerank_whole(spark, sf_dir, spectra):
     found = defaultdict(list)
     for r in sorted(rows_of(spark, sf_dir, "spec_vector_rerank"), key=lambda r: (r.query_id, r.rank)):
         found[r.query_id].append((r.vec_id, r.score))
-    assert set(found) == {k for k in spectra if k % 500 == 0}
+    assert set(found) == {k for k in spectra if k % 100 == 0}
     for q, got in found.items():
         score = {k: sum(a * b for a, b in zip(unit[q], v, strict=True)) if spectra[k][1] else 0.5 for k, v in unit.items() if k != q}
         best = sorted(score.values(), reverse=True)[:10]
@@ -99,7 +99,7 @@ def test_memory_of_all(spark, sf_dir, spectra):
     found = defaultdict(list)
     for r in sorted(rows_of(spark, sf_dir, "memory_recall"), key=lambda r: (r.query_id, r.rank)):
         found[r.query_id].append((r.key, r.score))
-    assert set(found) == {k for k in spectra if k % 500 == 0}
+    assert set(found) == {k for k in spectra if k % 100 == 0}
     for q, got in found.items():
         (h, c), score = spectra[q], {}
         for k, (other_h, other_c) in spectra.items():
