@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from peakloom.operators import bands, fingerprints, neighbour_graph, rank_join
+from peakloom.operators import bands, fingerprints, neighbour_graph, rank_join, refine
 from peakloom.plans.catalog import _SPECTRA, _library, _spectra
 from peakloom.plans.registry import ORACLES, QUERIES, register, table
 from peakloom.session import written_folder
@@ -58,13 +58,26 @@ def frag_swap_search(spark, sf_dir):
     return bands.covers(asked, parts, 0.25, 10)
 
 
-@register("frag_pair_rank")
-def frag_pair_rank(spark, sf_dir):
-    """The ten best pairs of parts for each region, whose nations' numbers are its peaks; the tests hold the ranks against all pairs."""
+def _regions_and_parts(spark, sf_dir):
+    """Regions as queries, whose nations' numbers are their peaks; parts as fragments of one or two peaks."""
     asked = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").cast("long").alias("query_id")).agg(F.collect_list(F.col("n_nationkey").cast("double")).alias("peaks"))
     peaks = F.when(F.col("p_partkey") % 3 == 0, F.array(F.col("p_size").cast("double"))).otherwise(F.array(F.col("p_size").cast("double"), F.expr(_SHIFT).cast("double")))
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("fragment_id"), peaks.alias("peaks"))
-    return rank_join.top_pairs(asked, parts, 10, 1.0)[0]
+    return asked, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("fragment_id"), peaks.alias("peaks"))
+
+
+@register("frag_pair_rank")
+def frag_pair_rank(spark, sf_dir):
+    """The ten best pairs of parts for each region; the tests hold the ranks against all pairs."""
+    return rank_join.top_pairs(*_regions_and_parts(spark, sf_dir), 10, 1.0)[0]
+
+
+@register("frag_refine")
+def frag_refine(spark, sf_dir):
+    """The same pairs, refined by swaps with any part; the tests hold the rounds against plain ones."""
+    asked, parts = _regions_and_parts(spark, sf_dir)
+    first = rank_join.top_pairs(asked, parts, 3, 1.0)[0].select("query_id", F.array("left_id", "right_id").alias("members"))
+    widened = first.select("query_id", F.concat("members", F.array(F.element_at("members", 1))).alias("members"))  # room for a third fragment
+    return refine.refined(asked, parts.withColumnRenamed("fragment_id", "id"), widened, keep=5, sigma=1.0, tolerance=0.5, offers=4, rounds=4)[0]
 
 
 # -- circular fingerprints --------------------------------------------------------------------------------------
