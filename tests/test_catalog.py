@@ -7,7 +7,7 @@ import math
 import duckdb
 import pytest
 
-from peakloom.plans import catalog
+from peakloom.plans import relations
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -26,26 +26,26 @@ def duck(sf_dir):
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+@pytest.mark.parametrize("name", sorted(relations.ORACLES))
 def test_equals_sql(spark, sf_dir, duck, name):
-    frame = catalog.QUERIES[name](spark, sf_dir)
-    found = duck.execute(catalog.ORACLES[name])
+    frame = relations.QUERIES[name](spark, sf_dir)
+    found = duck.execute(relations.ORACLES[name])
     columns = [d[0] for d in found.description]
     assert sorted(columns) == sorted(frame.columns)
     want = sorted(repr([plain(dict(zip(columns, r, strict=True))[c]) for c in sorted(columns)]) for r in found.fetchall())
     assert sorted(repr([plain(r[c]) for c in sorted(columns)]) for r in frame.collect()) == want
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(relations.QUERIES) - set(relations.ORACLES)))
 def test_runs(spark, sf_dir, name):
-    assert catalog.QUERIES[name](spark, sf_dir).count() > 0
+    assert relations.QUERIES[name](spark, sf_dir).count() > 0
 
 
 def test_approximate_recall(spark):
     sf_dir = "/root/testdata/sf0.01"
     key = lambda r: (r.query_id, r.vec_id)
-    exact = {key(r) for r in catalog.QUERIES["vec_global_topk"](spark, sf_dir).where("rank <= 5").collect()}
-    near = {key(r) for r in catalog.QUERIES["vec_ann_probe"](spark, sf_dir).collect()}
+    exact = {key(r) for r in relations.QUERIES["vec_global_topk"](spark, sf_dir).where("rank <= 5").collect()}
+    near = {key(r) for r in relations.QUERIES["vec_ann_probe"](spark, sf_dir).collect()}
     assert len(exact & near) >= 0.9 * len(exact)
 
 
