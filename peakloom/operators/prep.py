@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from peakloom.operators import pools
+
 
 def seeded(seed: str, *keys: Column) -> Column:
     """A digest that orders rows at random, the same for the same seed."""
@@ -50,10 +52,10 @@ def class_map(rows: DataFrame, label: str, leave_out: list | None = None) -> Dat
 
 
 def vocabulary(rows: DataFrame, key: str, tokens: str, specials: list[str]) -> DataFrame:
-    """(token, id): specials first, then tokens in the order in which rows and places show them first."""
+    """(token, id): specials first, then tokens in the order in which rows and places show them first; numbered by ranges, not in one task."""
     seen = rows.select(key, F.posexplode(tokens).alias("at", "token")).groupBy("token").agg(F.min(F.struct(key, "at")).alias("first"))
     seen = seen.where(~F.col("token").isin(*specials)) if specials else seen
-    numbered = seen.select("token", (F.row_number().over(Window.orderBy("first")) + len(specials) - 1).alias("id"))
+    numbered = pools.numbered(seen.select("first", "token"), [], ["first", "token"]).select("token", (F.col("rank") + len(specials) - 1).cast("int").alias("id"))
     fixed = rows.sparkSession.createDataFrame(list(zip(specials, range(len(specials)), strict=True)), "token string, id int") if specials else numbered.limit(0)
     return fixed.unionByName(numbered)
 
