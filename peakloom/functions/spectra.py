@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,13 +31,28 @@ def doubles(values) -> Column:
 
 
 def gaussian_vector(peaks: Column, low: float, high: float, width: float, bins: int = BINS) -> Column:
-    """For each bin, the sum over peaks of step / (sqrt(2 pi) width) exp(-((peak - bin) / width)^2 / 2); zeros without peaks."""
+    """For each bin, the sum over peaks of step / (sqrt(2 pi) width) exp(-((peak - bin) / width)^2 / 2); zeros without peaks, null peaks count for nothing.
+
+    An Arrow batch at a time: with interpreted lambdas the query of all vectors at sf0.1 took 30 s instead of 19 s beside the check tool.
+    """
     step = (high - low) / (bins - 1)
-    grid = doubles(low + i * step for i in range(bins))
     factor = step / (math.sqrt(2 * math.pi) * width)
-    shape = lambda p, g: F.lit(factor) * F.exp(F.lit(-0.5) * ((p - g) / width) * ((p - g) / width))
-    held = F.coalesce(peaks, F.array().cast("array<double>"))
-    return F.transform(grid, lambda g: F.aggregate(held, F.lit(0.0), lambda s, p: s + shape(p, g)))
+
+    @F.arrow_udf("array<double>")
+    def vectors(lists: pa.Array) -> pa.Array:
+        grid = low + np.arange(bins) * step
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        held = lists.flatten().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        row, held = row[~np.isnan(held)], held[~np.isnan(held)]
+        out = np.zeros((len(sizes), bins))
+        for start in range(0, len(held), 1 << 14):
+            some, at = held[start : start + (1 << 14)], row[start : start + (1 << 14)]
+            first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+            out[at[first]] += np.add.reduceat(factor * np.exp(-0.5 * ((some[:, None] - grid) / width) ** 2), first, axis=0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * bins, pa.int32()), pa.array(out.ravel()))
+
+    return vectors(peaks.cast("array<double>"))
 
 
 def dot(a: Column, b: Column) -> Column:
