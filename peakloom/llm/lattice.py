@@ -3,8 +3,10 @@
 A word, with a gap in front, can be cut into the vocabulary's pieces in many ways; its probability is the sum over all of them,
 by the forward recursion over its bytes in log space. Pieces never cross a gap, so a text's probability is the product over
 its words and one end. Pieces weigh as the vocabulary's own scores say; in this file these are ranks, taken by Zipf's law.
-Single bytes are pieces too, so every text has a probability. The pieces and their weights are as the vocabulary has them; what is
-learned from the training texts is the base score: words' counts with one added.
+Single bytes are pieces too, so every text has a probability. The pieces are as the vocabulary has them, and so are their weights
+unless ``fitted`` is asked for. Then the training texts teach both levels: the weights are fitted to all distinct training words by
+expectation and maximisation, ``PASSES`` times, from the vocabulary's; and a training word is an arc of its own over its whole length, of its
+discounted share of the training tokens, beside the cuts, which share what the discount leaves. The base score has words' counts with one added.
 
 1. One pass over the texts writes a row for every few MB of them: a dictionary of the distinct words, as 64-bit BLAKE2b hashes with
    their spelling and training count, and for each text its words as places in that dictionary, with counts.
@@ -36,6 +38,8 @@ from peakloom.llm.common import by_batch, crc_of, durable, hashes_of, mixed, pie
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 PIECE_BYTES, ZIPF, LONG, SEGMENT = 8 << 20, 10.0, 1024, 1 << 15
+#: Passes of the fit, and the weight that the vocabulary's own weights have in each, as a number of pieces.
+PASSES, PRIOR = 2, 256.0
 
 
 class _Rolling:
@@ -140,10 +144,10 @@ class Vocabulary:
             alpha.append(total)
         return alpha
 
-    def segments(self, word: np.ndarray) -> Iterator[list[tuple[int, int, float]]]:
-        """The arcs (start, end, log weight) of a long word, in order of their starts, a segment of starts at a time."""
+    def segments(self, word: np.ndarray, back: bool = False) -> Iterator[list[tuple[int, int, float, int]]]:
+        """The arcs (start, end, log weight, piece) of a long word, in rising or falling order of their starts, a segment of starts at a time."""
         n = len(word)
-        for a in range(0, n, SEGMENT):
+        for a in reversed(range(0, n, SEGMENT)) if back else range(0, n, SEGMENT):
             b = min(a + SEGMENT, n)
             part = word[a : min(b + self.longest, n)]
             starts, ends, found = [np.arange(b - a)], [np.arange(b - a) + 1], [part[: b - a].astype(np.int64)]
@@ -155,43 +159,83 @@ class Vocabulary:
                 ends.append(held + size)
                 found.append(pieces_at[held])
             starts, ends, found = (np.concatenate(c) for c in (starts, ends, found))
-            order = np.argsort(starts, kind="stable")
-            yield list(zip((starts[order] + a).tolist(), (ends[order] + a).tolist(), self.log[found[order]].tolist(), strict=True))
+            order = np.argsort(-starts if back else starts, kind="stable")
+            yield list(zip((starts[order] + a).tolist(), (ends[order] + a).tolist(), self.log[found[order]].tolist(), found[order].tolist(), strict=True))
 
-    def score_long(self, word: np.ndarray) -> float:
-        """Natural log probability of one word of any length."""
+    def forward_long(self, word: np.ndarray) -> array:
+        """Log sums over all cuts up to each place of one word of any length."""
         none = -math.inf
         alpha = array("d", [none]) * (len(word) + 1)
         alpha[0] = 0.0
         for arcs in self.segments(word):
-            for start, end, log in arcs:
+            for start, end, log, _ in arcs:
                 x, y = alpha[end], alpha[start] + log
                 high, low = (x, y) if x > y else (y, x)
                 alpha[end] = high if low == none else high + math.log1p(math.exp(low - high))
-        return alpha[-1]
+        return alpha
 
-    def score(self, words: list[bytes]) -> np.ndarray:
-        """Natural log probability of each word. The empty word is the end."""
-        scores = np.zeros(len(words))
+    def expected_long(self, word: np.ndarray) -> np.ndarray:
+        """How often each piece is expected in the cuts of one word of any length."""
+        none, alpha, out = -math.inf, self.forward_long(word), [0.0] * len(self.log)
+        beta = array("d", [none]) * len(alpha)
+        beta[-1] = 0.0
+        for arcs in self.segments(word, back=True):
+            for start, end, log, piece in arcs:
+                x, y = beta[start], beta[end] + log
+                high, low = (x, y) if x > y else (y, x)
+                beta[start] = high if low == none else high + math.log1p(math.exp(low - high))
+                out[piece] += math.exp(alpha[start] + y - alpha[-1])
+        return np.array(out)
+
+    @staticmethod
+    def _by_size(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places of words of one length, their bytes with the gap in front as rows); long ones alone, the end without a gap."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         data = np.frombuffer(b"".join(words), np.uint8)
         starts = np.cumsum(sizes) - sizes
         for size in np.unique(sizes).tolist():
             every = np.flatnonzero(sizes == size)
-            if size == 0:
-                scores[every] = self.log[-1]
-                continue
-            if size > LONG:
-                for i in every.tolist():
-                    scores[i] = self.score_long(np.append(np.uint8(32), data[starts[i] : starts[i] + size]))
-                continue
-            most = max(1, (1 << 18) // (size + 1))
+            most = len(every) if size == 0 else 1 if size > LONG else max(1, (1 << 18) // (size + 1))
             for i in range(0, len(every), most):
                 at = every[i : i + most]
-                rows = np.concatenate((np.full((len(at), 1), 32, np.uint8), data[starts[at][:, None] + np.arange(size)]), axis=1)
+                yield at, np.concatenate((np.full((len(at), int(size > 0)), 32, np.uint8), data[starts[at][:, None] + np.arange(size)]), axis=1)
+
+    def score(self, words: list[bytes]) -> np.ndarray:
+        """Natural log probability of each word. The empty word is the end."""
+        scores = np.zeros(len(words))
+        for at, rows in self._by_size(words):
+            if rows.shape[1] == 0:
+                scores[at] = self.log[-1]
+            elif rows.shape[1] > LONG + 1:
+                scores[at] = self.forward_long(rows[0])[-1]
+            else:
                 scores[at] = self.forward(self.lattice(rows), len(at))[-1]
         return scores
 
+    def expected(self, words: list[bytes]) -> np.ndarray:
+        """How often each piece is expected in the cuts of the words, by the forward and the backward recursion."""
+        out = np.zeros(len(self.log))
+        for at, rows in self._by_size(words):
+            n = rows.shape[1]
+            if n == 0:
+                out[-1] += len(at)
+                continue
+            if n > LONG + 1:
+                out += self.expected_long(rows[0])
+                continue
+            arcs = self.lattice(rows)
+            alpha = self.forward(arcs, len(at))
+            beta = [np.full(len(at), -np.inf) for _ in range(n)] + [np.zeros(len(at))]
+            found, shares = [], []
+            for end in range(n, 0, -1):
+                for start, held, piece in arcs[end]:
+                    through = self.log[piece] + beta[end][held]
+                    beta[start][held] = np.logaddexp(beta[start][held], through)
+                    found.append(piece)
+                    shares.append(np.exp(alpha[start][held] + through - alpha[n][held]))
+            out += np.bincount(np.concatenate(found), np.concatenate(shares), len(out))
+        return out
+
 
 _PART = "part long, keys array<long>, train array<boolean>, n_tokens array<long>, kinds array<int>, places binary, counts binary, words array<long>, spelled array<binary>, sums array<long>"
 
@@ -239,17 +283,50 @@ def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", *, model_file: str = MODEL) -> DataFrame:
-    """For each row: key, held_out, n_tokens, n_known, train_tokens, base_score and score, both log10."""
+def fit(vocabulary: Vocabulary, words: DataFrame) -> None:
+    """Fits the vocabulary's weights to the distinct words of (total, spelled) with a total above 0; only one number for each piece reaches the driver."""
+    trained = words.where("total > 0").select("spelled")
+    for _ in range(PASSES):
+        sent = words.sparkSession.sparkContext.broadcast(vocabulary)
+
+        def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(sent.value.log))
+            for batch in batches:
+                total += sent.value.expected(batch.column(0).to_pylist())
+            held = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["piece", "n"])
+
+        counts = np.exp(vocabulary.log) * PRIOR
+        counts[:256] += 1
+        for piece, n in trained.mapInArrow(count, "piece long, n double").groupBy("piece").agg(F.sum("n")).collect():
+            counts[piece] += n
+        vocabulary.log = np.log(counts / counts.sum())
+
+
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", *, model_file: str = MODEL, fitted: bool = False) -> DataFrame:
+    """For each row: key, held_out, n_tokens, n_known, train_tokens, base_score and score, both log10.
+
+    With ``fitted`` the score is of weights and whole words learned from the training texts, else of the vocabulary's own weights.
+    """
     texts = F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text")
     found = dictionaries(docs.select(F.col(key).cast("long").alias("key"), (~held_out(F.col(key))).alias("train"), texts))
     listed = found.select(F.explode(F.arrays_zip("words", "sums", "spelled")).alias("w")).select("w.words", "w.sums", "w.spelled")
     words = durable(listed.groupBy(F.col("words").alias("word")).agg(F.sum("sums").alias("total"), F.any_value("spelled").alias("spelled")), "words")
-    train_tokens, distinct_tokens = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count(F.when(F.col("total") > 0, 1))).first()
-    sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(model_file))
+    seen = [F.count_if(F.col("total") == n) for n in (1, 2)]
+    train_tokens, distinct_tokens, once, twice = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count_if(F.col("total") > 0), *seen).first()
+    vocabulary, learned = Vocabulary(model_file), fitted and train_tokens > 0
+    if learned:
+        fit(vocabulary, words)
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    discount = (once + 1) / (once + 2 * twice + 2)
 
     def spell(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sent.value.score(batch.column(2).to_pylist()) / np.log(10))], names=["word", "total", "log"])
+        logs = sent.value.score(batch.column(2).to_pylist())
+        if learned:
+            share = np.maximum(batch.column(1).to_numpy() - discount, 0) / train_tokens
+            whole = np.log(share, out=np.full(len(share), -np.inf), where=share > 0)
+            logs = np.logaddexp(whole, logs + math.log(discount * distinct_tokens / train_tokens))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(logs / np.log(10))], names=["word", "total", "log"])
 
     scored = durable(by_batch(words.select("word", "total", "spelled"), spell, "word long, total long, log double"), "scored")
     removed(words)

@@ -614,6 +614,31 @@ def test_lattice_of_long_words(monkeypatch):
     assert np.allclose(vocabulary.score(words), want)
 
 
+def test_lattice_learns_from_training_texts(spark, monkeypatch):
+    r = random.Random(3)
+    # Words that the vocabulary doesn't hold whole, in texts of which one in seven is held out; some hold a word of their own, one a long one.
+    stock = ["".join(r.choice("bdgklmnprstvz") + r.choice("aeiou") for _ in range(r.randint(2, 5))) for _ in range(200)]
+    rows = [(i, " ".join(r.choices(stock, k=80)) + (f" own{i}" if i % 5 == 0 else "")) for i in range(400)]
+    rows.append((1000, "q" * 3000))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lattice.scan(docs, fitted=True).collect()
+    assert len(found) == 401 and all(math.isfinite(x.score) for x in found)
+    held = [(x.score - x.base_score) / x.n_tokens for x in found if x.held_out and x.doc_id < 1000]
+    assert len(held) > 30 and min(held) > -0.3
+    plain = {x.doc_id: x.score for x in lattice.scan(docs).collect()}
+    assert all(x.score > plain[x.doc_id] for x in found if x.doc_id < 1000)
+    # The backward recursion of long words gives the same counts as that of short ones.
+    vocabulary, words = lattice.Vocabulary(), [b"kalibo", "漢字the".encode() * 9, b""]
+    want = vocabulary.expected(words)
+    assert math.isclose(want[-1], 1) and math.isclose(sum(n * len(t) for n, t in zip(want, vocabulary.texts, strict=False)), sum(len(w) + 1 for w in words if w))
+    monkeypatch.setattr(lattice, "LONG", 5)
+    monkeypatch.setattr(lattice, "SEGMENT", 7)
+    assert np.allclose(vocabulary.expected(words), want)
+    # Without training words the vocabulary's own weights count.
+    alone = spark.createDataFrame([(i, "kalibo the") for i, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id long, text string")
+    assert sorted(x.score for x in lattice.scan(alone, fitted=True).collect()) == sorted(x.score for x in lattice.scan(alone).collect())
+
+
 # -- 9 ------------------------------------------------------------------------------------------------------------
 
 
