@@ -3,8 +3,10 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +134,17 @@ def test_structure_functions(spark):
     assert [tuple(r) for r in found] == [(structures.canonical("CCO"), "C2H6O", 4), (None, None, 0), (None, None, 0)]
     a = spark.createDataFrame([([1.0, 5.0], [5.5]), ([], [1.0])], "q array<double>, p array<double>").select(assignment.assignment_udf("q", "p").alias("a")).select("a.*").collect()
     assert a[0].matched[0].query == 1 and a[0].unmatched == [0] and a[0].unused == [] and a[1].unused == [0] and math.isclose(a[0].cost, 0.5)
+
+
+def test_matches_of_many_rows_at_once():
+    """As one by one: empty and null lists, equal peaks, sets above and below the size that the table over subsets takes."""
+    r = random.Random(4)
+    some = lambda: None if r.random() < 0.05 else [round(r.uniform(0, 50)) / 2 for _ in range(r.choice([0, 1, 2, 3, 6, 7, 8, 10]))]
+    left, right = ([some() for _ in range(600)] for _ in range(2))
+    kind = pa.list_(pa.float64())
+    found = assignment.set_matches(pa.array(left, kind)[7:], pa.array(right, kind)[7:], 3.0)
+    assert found == pytest.approx([assignment.set_match(np.array(a or [], float), np.array(b or [], float), 3.0) for a, b in zip(left[7:], right[7:], strict=True)], abs=1e-12)
+    wide = pa.array([[float((7 * i + j) % 50) for j in range(6)] for i in range(20_000)], kind)
+    began = time.process_time()
+    assert len(assignment.set_matches(wide, wide[::-1], 3.0)) == 20_000
+    assert time.process_time() - began < 2  # one by one: over 4 s
