@@ -72,6 +72,36 @@ def test_covers(spark):
     assert [tuple(x) for x in bands.covers(peaks, shifts, 0.25, 2).orderBy("rank").collect()] == [(1, 8, 2, 0.2, 1), (1, 6, 1, 0.0, 2)]
 
 
+@pytest.mark.parametrize("grid", [0.05, 0.5, 2.0])
+def test_covers_are_those_of_all_pairs(spark, grid):
+    """Fragments near few of the peaks go by lists, those near many by pairs; the best are the same, ties too."""
+    r = random.Random(3)
+    asked = {q: [round(r.randint(0, int(60 / grid)) * grid, 6) for _ in range(r.choice([1, 3, 5]))] for q in range(25)}
+    parts = {100 + f: [round(r.randint(0, int(60 / grid)) * grid, 6) for _ in range(r.choice([1, 2, 2, 4]))] for f in range(300)}
+    frames = [spark.createDataFrame([(k, x) for k, v in rows.items() for x in v], s).repartition(3) for rows, s in ((asked, "query_id long, peak double"), (parts, "fragment_id long, shift double"))]
+    want = set()
+    for q, peaks in asked.items():
+        rows = []
+        for f, shifts in parts.items():
+            near = [min(abs(p - s) for s in shifts) for p in set(peaks) if any(abs(p - s) <= 0.6 for s in shifts)]
+            if near:
+                rows.append((-len(near), round(sum(near), 6), f))
+        want |= {(q, f, -n, d, i) for i, (n, d, f) in enumerate(sorted(rows)[:4], 1)}
+    assert {(x.query_id, x.fragment_id, x.covered, x.distance, x["rank"]) for x in bands.covers(*frames, 0.6, 4).collect()} == want
+
+
+def test_covers_make_no_row_for_each_query_and_fragment(spark, monkeypatch):
+    peaks = spark.range(400).selectExpr("id AS query_id", "explode(array(1D + id % 3, 10D)) AS peak")
+    parts = spark.range(3000).selectExpr("id AS fragment_id", "10D + (id % 7) / 100 AS shift")
+
+    def pairs(*_):
+        raise AssertionError("1,200,000 pairs of queries and fragments")
+
+    monkeypatch.setattr(bands, "within", pairs)
+    found = bands.covers(peaks, parts, 0.25, 2)
+    assert [x.fragment_id for x in found.where("query_id = 5").orderBy("rank").collect()] == [0, 7] and found.count() == 800
+
+
 def test_numbered_in_order(spark):
     rows = spark.range(5000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None).otherwise((F.col("id") % 11).cast("string")).alias("g"), F.hash("id").alias("k"))
     found = pools.numbered(rows, ["g"], ["k"]).collect()
