@@ -47,3 +47,20 @@ def test_rounds(spark, seed):
     assert later[0] > 0 and later[-1] < later[0]
     none, counts = refine.refined(frames[0], frames[1], frames[2].limit(0))
     assert none.collect() == [] and counts == [0]
+
+
+def test_pairs_refined_in_time_that_copies_do_not_square(spark, monkeypatch):
+    """The step that finds the swaps makes no row for each candidate and fragment, and the first pairs come from lists: the best three of 20,000 parts, refined."""
+    from peakloom.operators import bands, rank_join
+
+    def never(*_):
+        raise AssertionError("rows for pairs")
+
+    parts = spark.range(20_000).selectExpr("id", "array(double(id % 50), 22.5 + double(id % 1000) / 400) AS peaks")
+    asked = spark.createDataFrame([(1, [4.0, 9.0, 14.0, 19.0, 24.0])], "query_id long, peaks array<double>")
+    monkeypatch.setattr(bands, "within", never)
+    monkeypatch.setattr(rank_join, "_by_bounds", never, raising=False)
+    pairs = rank_join.top_pairs(asked, parts.withColumnRenamed("id", "fragment_id"), 3, 1.0)[0]
+    found, counts = refine.refined(asked, parts, pairs.selectExpr("query_id", "array(left_id, right_id, left_id) AS members"), keep=3, sigma=1.0, tolerance=0.5, offers=4, rounds=2)
+    rows = found.orderBy("rank").collect()
+    assert len(rows) == 3 and rows[0].score >= pairs.agg({"score": "max"}).first()[0] * (4 / 6) ** 0.5 - 1e-6 and len(counts) >= 2
