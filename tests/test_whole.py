@@ -7,6 +7,7 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from peakloom.functions import assignment
@@ -264,3 +265,29 @@ def test_products_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "SENT_BYTES", 1)
     assert {tuple(r) for r in retrieval.product_topk(asked, rows, 0.5, 4).collect()} == one and len(one) == 7 * 4
     assert retrieval.product_topk(asked.limit(0), rows, 0.5, 4).count() == 0
+
+
+def test_cases_of_equal_peaks_are_matched_once(spark, monkeypatch):
+    """Copies, formulas of queries and none, null peaks: the ranks are those of all cases, and only distinct ones are matched."""
+    from peakloom import session
+    from peakloom.operators import retrieval
+
+    counts = []
+
+    def counted(rows):
+        counts.append(session.stored(rows))
+        return counts[-1]
+
+    monkeypatch.setattr(retrieval, "stored", counted)
+    peaks = [([1.0, 7.0], [20.0, 31.5]), ([1.0], [20.5, 33.0, 40.0]), ([], [21.0]), (None, [31.0]), ([7.05], None)]
+    cases = [(i, ["a", "b", None][i // 5 % 3], *peaks[i % 5]) for i in range(900)]
+    asked = [(i, ["a", None, "z", "b"][i % 4], *peaks[i % 5]) for i in range(8)]
+    memory = spark.createDataFrame(cases, "key long, formula string, h array<double>, c array<double>").repartition(3)
+    queries = spark.createDataFrame(asked, "query_id long, asked_formula string, asked_h array<double>, asked_c array<double>")
+    one = lambda x, m, t: round(float(retrieval._tolerated(np.array(x or [], float), np.array([m or [np.nan]], float), t)[0]), 4)
+    want = set()
+    for q, formula, h, c in asked:
+        rows = sorted((-round((0.15 if formula is not None and f == formula else 0.0) + 0.35 * one(h, a, 0.08) + 0.5 * one(c, b, 2.0), 6), key) for key, f, a, b in cases)
+        want |= {(q, key, -s, n) for n, (s, key) in enumerate(rows[:7], 1)}
+    assert {(x.query_id, x.key, x.score, x["rank"]) for x in retrieval.recalled(queries, memory, 7).collect()} == want
+    assert counts[1].count() == 15  # five peak sets, for two formulas and for all
