@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakloom.operators import pools
 
+#: Vocabularies of so many bytes at most are sent to every task; rows meet larger ones by a join.
+SENT_BYTES = 16 << 20
+
 
 def seeded(seed: str, *keys: Column) -> Column:
     """A digest that orders rows at random, the same for the same seed."""
@@ -86,11 +92,24 @@ def pooled(vectors: Column, padding: Column) -> Column:
 def encoded(rows: DataFrame, key: str, tokens: str, vocab: DataFrame, unknown: int = 1, begin: int | None = 2, end: int | None = 3) -> DataFrame:
     """(key, ids): each row's tokens as the ids of a vocabulary (token, id), between the marks where they are given.
 
-    The key is unique. Null tokens give the marks alone.
+    The key is unique. Null tokens give the marks alone. A vocabulary of a counted size is looked up where the rows are, and no token is shuffled.
     """
+    mark = lambda x: F.array(*([] if x is None else [F.lit(x)])).cast("array<int>")
+    size = vocab.agg(F.sum(F.octet_length("token") + 16)).first()[0] or 0
+    if size <= SENT_BYTES:
+        held = vocab.where("token IS NOT NULL").select("token", F.col("id").cast("int").alias("id")).toArrow().combine_chunks()
+        sent = rows.sparkSession.sparkContext.broadcast((held.column("token").combine_chunks(), pc.fill_null(held.column("id").combine_chunks(), unknown)))
+
+        @F.arrow_udf("array<int>")
+        def looked_up(lists: pa.Array) -> pa.Array:
+            words, numbers = sent.value
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            found = pc.fill_null(numbers.take(pc.index_in(lists.flatten().cast(words.type), value_set=words)), unknown)
+            return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), found)
+
+        return rows.select(key, F.concat(mark(begin), looked_up(F.col(tokens)), mark(end)).alias("ids"))
     each = rows.select(key, F.posexplode(tokens).alias("_at", "token")).join(vocab, "token", "left")
     found = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_at", F.coalesce("id", F.lit(unknown)).alias("id")))).alias("_ids"))
-    mark = lambda x: F.array(*([] if x is None else [F.lit(x)])).cast("array<int>")
     ids = F.coalesce(F.transform("_ids", lambda e: e["id"]), F.array().cast("array<int>"))
     return rows.select(key).join(found, key, "left").select(key, F.concat(mark(begin), ids, mark(end)).alias("ids"))
 
