@@ -40,21 +40,42 @@ def gaussian_vector(peaks: Column, low: float, high: float, width: float, bins:
 
     @F.arrow_udf("array<double>")
     def vectors(lists: pa.Array) -> pa.Array:
-        grid = low + np.arange(bins) * step
-        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
-        held = lists.flatten().to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        row, held = row[~np.isnan(held)], held[~np.isnan(held)]
-        out = np.zeros((len(sizes), bins))
-        for start in range(0, len(held), 1 << 14):
-            some, at = held[start : start + (1 << 14)], row[start : start + (1 << 14)]
-            first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-            out[at[first]] += np.add.reduceat(factor * np.exp(-0.5 * ((some[:, None] - grid) / width) ** 2), first, axis=0)
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * bins, pa.int32()), pa.array(out.ravel()))
+        out = _gaussians(lists, low, step, width, bins, factor)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * bins, pa.int32()), pa.array(out.ravel()))
 
     return vectors(peaks.cast("array<double>"))
 
 
+def gaussian_bins(peaks: Column, low: float, high: float, width: float, least: float, bins: int = BINS) -> Column:
+    """Of ``gaussian_vector`` the bins of at least so much, as array<struct<pos, x>>; the others never leave Python."""
+    step = (high - low) / (bins - 1)
+    factor = step / (math.sqrt(2 * math.pi) * width)
+
+    @F.arrow_udf("array<struct<pos: long, x: double>>")
+    def found(lists: pa.Array) -> pa.Array:
+        out = _gaussians(lists, low, step, width, bins, factor)
+        row, at = np.nonzero(out >= least)
+        ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(out)))))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(at.astype(np.int64)), pa.array(out[row, at])], names=["pos", "x"]))
+
+    return found(peaks.cast("array<double>"))
+
+
+def _gaussians(lists: pa.Array, low: float, step: float, width: float, bins: int, factor: float) -> np.ndarray:
+    """A row of bins for each list."""
+    grid = low + np.arange(bins) * step
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    held = lists.flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    row, held = row[~np.isnan(held)], held[~np.isnan(held)]
+    out = np.zeros((len(sizes), bins))
+    for start in range(0, len(held), 1 << 14):
+        some, at = held[start : start + (1 << 14)], row[start : start + (1 << 14)]
+        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        out[at[first]] += np.add.reduceat(factor * np.exp(-0.5 * ((some[:, None] - grid) / width) ** 2), first, axis=0)
+    return out
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -148,3 +148,22 @@ def test_matches_of_many_rows_at_once():
     began = time.process_time()
     assert len(assignment.set_matches(wide, wide[::-1], 3.0)) == 20_000
     assert time.process_time() - began < 2  # one by one: over 4 s
+
+
+def test_gaussian_bins_are_those_of_the_vector(spark):
+    rows = spark.createDataFrame([(1, [20.0, 21.5, 180.0]), (2, []), (3, None), (4, [None, 500.0]), (5, [0.0])], "id long, c array<double>")
+    both = rows.select("id", spectra.gaussian_vector(F.col("c"), *spectra.CARBON).alias("v"), spectra.gaussian_bins(F.col("c"), *spectra.CARBON, 4e-7).alias("b")).collect()
+    assert {r.id: [(x.pos, x.x) for x in r.b] for r in both} == {r.id: [(i, x) for i, x in enumerate(r.v) if x >= 4e-7] for r in both}
+    assert 20 < len(both[0].b) < 40
+
+
+def test_a_small_vocabulary_shuffles_no_token(spark, monkeypatch):
+    from peakloom.operators import prep
+
+    rows = spark.createDataFrame([(1, ["b", "x", "a", "b"]), (2, []), (3, None), (4, [None, "a"])], "k long, w array<string>").repartition(2)
+    vocab = spark.createDataFrame([("a", 4), ("b", 5)], "token string, id int")
+    want = {1: [2, 5, 1, 4, 5, 3], 2: [2, 3], 3: [2, 3], 4: [2, 1, 4, 3]}
+    found = prep.encoded(rows, "k", "w", vocab)
+    assert {r.k: r.ids for r in found.collect()} == want and "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(prep, "SENT_BYTES", 0)
+    assert {r.k: r.ids for r in prep.encoded(rows, "k", "w", vocab).collect()} == want
