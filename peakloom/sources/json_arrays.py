@@ -39,32 +39,35 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("nth"))
 
 
-def _splits(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[tuple[tuple, Iterator[str]]]:
-    """The texts of each split, in order, with the columns that name it."""
-    now, texts = None, []
+def _splits(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[tuple[tuple, bool, list[str]]]:
+    """The texts of each split, in order and a batch at a time, with the columns that name it and whether it begins with them."""
+    now = None
     for batch in batches:
-        names = zip(*(batch.column(c).to_pylist() for c in ("file", "split", *more)), strict=True)
-        for name, text in zip(names, batch.column("value").to_pylist(), strict=True):
-            if name != now:
-                if now is not None:
-                    yield now, texts
-                now, texts = name, []
-            texts.append(text)
-    if now is not None:
-        yield now, texts
+        names, texts = list(zip(*(batch.column(c).to_pylist() for c in ("file", "split", *more)), strict=True)), batch.column("value").to_pylist()
+        start = 0
+        for i in range(1, len(names) + 1):
+            if i == len(names) or names[i] != names[start]:
+                yield names[start], names[start] != now, texts[start:i]
+                now, start = names[start], i
 
 
 def _beginnings(pieces: DataFrame) -> DataFrame:
     """(file, split, inside, depth): whether each split begins inside a string, and how deep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (file, split), texts in _splits(batches):
-            odd, out, into = 0, 0, 0
+        now, odd, out, into = None, 0, 0, 0
+        summed = lambda: pa.RecordBatch.from_pylist([{"file": now[0], "split": now[1], "odd": odd, "out": out, "into": into}], pa.schema([("file", pa.string()), ("split", pa.int64()), ("odd", pa.int64()), ("out", pa.int64()), ("into", pa.int64())]))
+        for name, begins, texts in _splits(batches):
+            if begins:
+                if now is not None:
+                    yield summed()
+                now, odd, out, into = name, 0, 0, 0
             for text in texts:
                 step = _step(text)
                 out, into = (out + step[1], into + step[2]) if not odd else (out + step[2], into + step[1])
                 odd ^= step[0]
-            yield pa.RecordBatch.from_pylist([{"file": file, "split": split, "odd": odd, "out": out, "into": into}], pa.schema([("file", pa.string()), ("split", pa.int64()), ("odd", pa.int64()), ("out", pa.int64()), ("into", pa.int64())]))
+        if now is not None:
+            yield summed()
 
     steps = pieces.select("value", "file", "split").mapInArrow(run, "file string, split long, odd long, out long, into long")
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
@@ -82,25 +85,28 @@ def elements(spark: SparkSession, path: str) -> DataFrame:
         joined = joined.repartition("file", "split").sortWithinPartitions("file", "split", "nth")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (file, split, inside, depth), texts in _splits(batches, "inside", "depth"):
-            whole, ends, held, starts = [], [], [], inside == 0 and depth <= 1
+        kind = pa.schema([("file", pa.string()), ("split", pa.int64()), ("value", pa.string()), ("part", pa.int32()), ("last", pa.bool_())])
+        row = lambda value, part, last: {"file": file, "split": split, "value": value, "part": part, "last": last}
+        file, split, inside, depth, held, starts = None, 0, 0, 0, [], False
+        for name, begins, texts in _splits(batches, "inside", "depth"):
+            rows = []
+            if begins:
+                if held:
+                    rows.append(row("".join(held), 1, False))
+                file, split, inside, depth = name
+                held, starts = [], inside == 0 and depth <= 1
             for text in texts:
                 odd, out, into = _step(text)
                 held.append(text + "}")
                 depth += into if inside else out
                 inside ^= odd
                 if not inside and depth == 1:
-                    one, held = "".join(held), []
-                    if starts:
-                        whole.append(one)
-                    else:
-                        ends.append((one, True, 0))
-                    starts = True
-            if held:
-                ends.append(("".join(held), False, 1))
-            rows = [{"file": file, "split": split, "value": x, "part": -1, "last": True} for x in whole] + [{"file": file, "split": split, "value": x, "part": part, "last": last} for x, last, part in ends]
+                    rows.append(row("".join(held), -1 if starts else 0, True))
+                    held, starts = [], True
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("file", pa.string()), ("split", pa.int64()), ("value", pa.string()), ("part", pa.int32()), ("last", pa.bool_())]))
+                yield pa.RecordBatch.from_pylist(rows, kind)
+        if held:
+            yield pa.RecordBatch.from_pylist([row("".join(held), 1, False)], kind)
 
     found = joined.select("value", "file", "split", "inside", "depth").mapInArrow(run, "file string, split long, value string, part int, last boolean")
     cut = found.where("part >= 0")

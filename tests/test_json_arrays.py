@@ -61,3 +61,19 @@ def test_other_files_are_errors(spark, tmp_path, text, message):
     (tmp_path / "a.json").write_text(text)
     with pytest.raises(Exception, match=message):
         json_arrays.elements(spark, str(tmp_path / "a.json")).collect()
+
+
+def test_splits_come_a_batch_at_a_time():
+    """What a split holds is never gathered: its texts are given out with each batch, and only its first says that it begins."""
+    import pyarrow as pa
+
+    taken = []
+
+    def batches():
+        for names, texts in (([0, 0], ["a", "b"]), ([0, 1], ["c", "d"]), ([1], ["e"])):
+            taken.append(len(taken))
+            yield pa.RecordBatch.from_pydict({"file": ["f"] * len(names), "split": names, "value": texts})
+
+    found = json_arrays._splits(batches())
+    assert next(found) == (("f", 0), True, ["a", "b"]) and taken == [0]
+    assert list(found) == [(("f", 0), False, ["c"]), (("f", 1), True, ["d"]), (("f", 1), False, ["e"])]
