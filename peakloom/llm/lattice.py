@@ -34,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import by_batch, crc_of, durable, hashes_of, mixed, pieces, removed, spaced_words
+from peakloom.llm.common import crc_of, durable, hashes_of, mixed, pieces, removed, spaced_words
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 PIECE_BYTES, ZIPF, LONG, SEGMENT = 8 << 20, 10.0, 1024, 1 << 15
 #: Passes of the fit, and the weight that the vocabulary's own weights have in each, as a number of pieces.
 PASSES, PRIOR = 2, 256.0
+#: So many words are scored at a time, if they have no more bytes than ``PIECE_BYTES``.
+GATHERED = 1 << 16
 
 
 class _Rolling:
@@ -110,11 +112,17 @@ class Vocabulary:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The piece of each key, or -1."""
-        slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
-        out = np.full(keys.shape, -1, np.int32)
-        for i in range(self.probes):
-            out = np.where((self.table_key[slot + i] == keys) & (self.table_id[slot + i] >= 0), self.table_id[slot + i], out)
-        return out
+        flat = keys.ravel()
+        slot = (flat >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = np.where(self.table_key[slot] == flat, self.table_id[slot], np.int32(-1))
+        # Most slots are empty, so few keys are left that stand behind another piece.
+        left = np.flatnonzero((out < 0) & (self.table_id[slot] >= 0))
+        for i in range(1, self.probes):
+            at = slot[left] + i
+            found = (self.table_key[at] == flat[left]) & (self.table_id[at] >= 0)
+            out[left[found]] = self.table_id[at[found]]
+            left = left[~found & (self.table_id[at] >= 0)]
+        return out.reshape(keys.shape)
 
     def lattice(self, words: np.ndarray) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
         """For each end in words of one length (rows of bytes): (start, rows, pieces) of the arcs that end there."""
@@ -238,51 +246,78 @@ class Vocabulary:
 
 
 _PART = "part long, keys array<long>, train array<boolean>, n_tokens array<long>, kinds array<int>, places binary, counts binary, words array<long>, spelled array<binary>, sums array<long>"
+_LAYOUT = pa.schema([("part", pa.int64()), ("keys", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int32())), ("places", pa.binary()), ("counts", pa.binary()), ("words", pa.list_(pa.int64())), ("spelled", pa.list_(pa.binary())), ("sums", pa.list_(pa.int64()))])
+
+
+class _Numbered(dict):
+    """Words with their numbers, in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _dictionary(part: pa.RecordBatch) -> pa.RecordBatch:
+    # Words are numbered as they come, so that each distinct one is hashed once and kept once.
+    numbers, held = _Numbered(), []
+    for text in part.column(2):
+        tokens = [*spaced_words(text.as_py(), lower=True), b""]
+        held.append(np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens)))
+    sizes = np.array([len(h) for h in held])
+    train = part.column(1).to_numpy(zero_copy_only=False)
+    spelled = list(numbers)
+    hashes = hashes_of(spelled)
+    order = np.argsort(hashes)
+    words, rank = hashes[order], np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    place = rank[np.concatenate(held)]
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    held, counts = np.unique(text * len(words) + place, return_counts=True)
+    sums = np.bincount(place, train[text], len(words)).astype(np.int64)
+    cells = {
+        "part": uuid.uuid4().int >> 65, "keys": part.column(0).to_pylist(), "train": train.tolist(), "n_tokens": sizes, "kinds": np.bincount(held // len(words), minlength=len(sizes)),
+        "places": (held % len(words)).astype(np.int32).tobytes(), "counts": counts.astype(np.int32).tobytes(),
+        "words": words.view(np.int64), "spelled": [spelled[i] for i in order.tolist()], "sums": sums,
+    }
+    return pa.RecordBatch.from_arrays([pa.array([cells[f.name]], f.type) for f in _LAYOUT], schema=_LAYOUT)
+
+
+def _pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    waiting, size = [], 0
+    for batch in batches:
+        for part in pieces(batch, "text", PIECE_BYTES) if batch.num_rows else ():
+            waiting.append(part)
+            size += part.nbytes
+            if size >= PIECE_BYTES:
+                yield _dictionary(_joined(waiting))
+                waiting, size = [], 0
+    if waiting:
+        yield _dictionary(_joined(waiting))
 
 
 def dictionaries(rows: DataFrame) -> DataFrame:
     """From (key, train, text): a row for every few MB of texts, with their dictionary and each text's words as places in it."""
-    layout = pa.schema([("part", pa.int64()), ("keys", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int32())), ("places", pa.binary()), ("counts", pa.binary()), ("words", pa.list_(pa.int64())), ("spelled", pa.list_(pa.binary())), ("sums", pa.list_(pa.int64()))])
-
-    def one(part: pa.RecordBatch) -> pa.RecordBatch:
-        # The words' bytes are kept once for each distinct word; of the rest only the hashes.
-        spelled, hashes = {}, []
-        for text in part.column(2):
-            tokens = [*spaced_words(text.as_py(), lower=True), b""]
-            hashes.append(hashes_of(tokens))
-            spelled.update(zip(hashes[-1].tolist(), tokens, strict=True))
-        sizes = np.array([len(h) for h in hashes])
-        train = part.column(1).to_numpy(zero_copy_only=False)
-        words, place = np.unique(np.concatenate(hashes), return_inverse=True)
-        text = np.repeat(np.arange(len(sizes)), sizes)
-        held, counts = np.unique(text * len(words) + place, return_counts=True)
-        sums = np.bincount(place, train[text], len(words)).astype(np.int64)
-        cells = {
-            "part": uuid.uuid4().int >> 65, "keys": part.column(0).to_pylist(), "train": train.tolist(), "n_tokens": sizes, "kinds": np.bincount(held // len(words), minlength=len(sizes)),
-            "places": (held % len(words)).astype(np.int32).tobytes(), "counts": counts.astype(np.int32).tobytes(),
-            "words": words.view(np.int64), "spelled": [spelled[h] for h in words.tolist()], "sums": sums,
-        }
-        return pa.RecordBatch.from_arrays([pa.array([cells[f.name]], f.type) for f in layout], schema=layout)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, size = [], 0
-        for batch in batches:
-            for part in pieces(batch, "text", PIECE_BYTES) if batch.num_rows else ():
-                waiting.append(part)
-                size += part.nbytes
-                if size >= PIECE_BYTES:
-                    yield one(_joined(waiting))
-                    waiting, size = [], 0
-        if waiting:
-            yield one(_joined(waiting))
-
-    return durable(rows.select("key", "train", "text").mapInArrow(run, _PART), "dictionaries")
+    return durable(rows.select("key", "train", "text").mapInArrow(_pieces_of, _PART), "dictionaries")
 
 
 def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of some ``GATHERED`` rows, since words are scored by length, and numpy takes many at a time faster."""
+    waiting, rows, size = [], 0, 0
+    for batch in batches:
+        if batch.num_rows:
+            waiting.append(batch)
+            rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= GATHERED or size >= PIECE_BYTES:
+            yield _joined(waiting)
+            waiting, rows, size = [], 0, 0
+    if waiting:
+        yield _joined(waiting)
+
+
 def fit(vocabulary: Vocabulary, words: DataFrame) -> None:
     """Fits the vocabulary's weights to the distinct words of (total, spelled) with a total above 0; only one number for each piece reaches the driver."""
     trained = words.where("total > 0").select("spelled")
@@ -291,7 +326,7 @@ def fit(vocabulary: Vocabulary, words: DataFrame) -> None:
 
         def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(sent.value.log))
-            for batch in batches:
+            for batch in _gathered(batches):
                 total += sent.value.expected(batch.column(0).to_pylist())
             held = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["piece", "n"])
@@ -328,7 +363,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", *, model_file
             logs = np.logaddexp(whole, logs + math.log(discount * distinct_tokens / train_tokens))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(logs / np.log(10))], names=["word", "total", "log"])
 
-    scored = durable(by_batch(words.select("word", "total", "spelled"), spell, "word long, total long, log double"), "scored")
+    spelled = words.select("word", "total", "spelled").mapInArrow(lambda batches: map(spell, _gathered(batches)), "word long, total long, log double")
+    scored = durable(spelled, "scored")
     removed(words)
     # One plan at every size: the words' rows grow with the corpus, and are never broadcast.
     asked = found.select("part", F.posexplode("words").alias("place", "word"))
