@@ -64,3 +64,20 @@ def test_pairs_refined_in_time_that_copies_do_not_square(spark, monkeypatch):
     found, counts = refine.refined(asked, parts, pairs.selectExpr("query_id", "array(left_id, right_id, left_id) AS members"), keep=3, sigma=1.0, tolerance=0.5, offers=4, rounds=2)
     rows = found.orderBy("rank").collect()
     assert len(rows) == 3 and rows[0].score >= pairs.agg({"score": "max"}).first()[0] * (4 / 6) ** 0.5 - 1e-6 and len(counts) >= 2
+
+
+def test_rounds_make_lists_once_and_few_jobs(spark, monkeypatch):
+    """All fragments are read for the lists alone, once, however many rounds follow, and a round is a few jobs."""
+    from peakloom.operators import bands
+
+    made, real = [], bands.cover_lists
+    monkeypatch.setattr(bands, "cover_lists", lambda *a, **k: made.append(1) or real(*a, **k))
+    asked = spark.createDataFrame([(1, [float(x) for x in range(0, 30, 3)])], "query_id long, peaks array<double>")
+    fragments = spark.range(500).selectExpr("id", "array(double(id % 31), double(id % 29)) AS peaks")
+    candidates = spark.createDataFrame([(1, [1, 2, 3, 5])], "query_id long, members array<long>")
+    spark.sparkContext.setJobGroup("rounds", "rounds")
+    found, counts = refine.refined(asked, fragments, candidates, keep=4, sigma=1.0, tolerance=0.5, offers=3, rounds=5)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("rounds"))
+    spark.sparkContext.setJobGroup("none", "none")
+    assert len(counts) >= 4 and made == [1] and found.count() == 4
+    assert jobs <= 25 + 15 * len(counts), jobs
