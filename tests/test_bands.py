@@ -123,3 +123,27 @@ def test_combinations_meet_in_the_middle(spark, target, least, most):
     assert sorted((tuple(x["keys"]), x["size"], x.score) for x in wide.collect()) == want
     for x in (found, wide):
         assert "NestedLoop" not in x._jdf.queryExecution().toString()
+
+
+def test_lists_are_paired_in_their_row(spark, monkeypatch):
+    """Short lists never become rows of a round; long ones do, and both give the pairs of taking the best again and again."""
+    r = random.Random(11)
+    value = lambda: r.choice([None, float("nan"), float("inf")]) if r.random() < 0.05 else r.randint(0, 60) / 2
+    rows = [(n if n else None, [value() for _ in range(r.randint(0, 12))], [value() for _ in range(r.randint(0, 12))]) for n in range(40)] + [(99, None, [1.0])]
+
+    def plain(h, c):
+        near = sorted((abs(x - y), x, y, i, j) for i, x in enumerate(h or []) for j, y in enumerate(c or []) if x is not None and y is not None and abs(x - y) <= 2)
+        used, out = (set(), set()), set()
+        for d, _, _, i, j in near:
+            if i not in used[0] and j not in used[1]:
+                used[0].add(i), used[1].add(j), out.add((i, j, d))
+        return out
+
+    want = {(n, *p) for n, h, c in rows for p in plain(h, c)}
+    asked = spark.createDataFrame(rows, "id long, h array<double>, c array<double>")
+    for most in (4096, 20):
+        monkeypatch.setattr(bands, "IN_PLACE", most)
+        found = bands.paired_lists(asked, "h", "c", 2.0)
+        assert {tuple(x) for x in found.select("id", "h", "c", "distance").collect()} == want
+        if most == 4096:
+            assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
