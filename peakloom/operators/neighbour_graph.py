@@ -10,7 +10,7 @@ but ``ENTRIES`` at most, so that some lie in every region that has its share of
 their edges, compares the query with what it has not seen, and keeps the best again; it ends when all in the beam have been followed. Only rows that are
 reached are compared: ``compared`` says how many.
 
-Vectors are compared by cosine. Defined cases: rows with a null vector, one that holds null or is not as long as the longest, and queries of that kind, take
+Vectors are compared by cosine; the build compares them in steps of 1 / ``STEPS``, which steers the graph only: the search compares the rows themselves. Defined cases: rows with a null vector, one that holds null or is not as long as the longest, and queries of that kind, take
 no part; zero vectors have a cosine of 0 with all; ids are unique; fewer rows than ``k`` give what there is; an empty library gives no rows.
 """
 
@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 
 from peakloom.functions import spectra as S
 from peakloom.operators import pools
-from peakloom.session import cut_lineage
+from peakloom.session import stored
 
 GROUP, PROJECTIONS, ROUNDS, ENOUGH, WIDER = 64, 3, 8, 0.005, 2
 ENTRIES, FOLLOWED = 512, 4
+STEPS = 32767
 
 
 def _units(rows: DataFrame, key: str, vector: str, size: int | None = None) -> tuple[DataFrame, int]:
@@ -38,9 +39,19 @@ def _units(rows: DataFrame, key: str, vector: str, size: int | None = None) -> t
     return held.where(F.size("vector") == size).select("id", S.unit(F.col("vector")).cast("array<float>").alias("vector")), size
 
 
-def _matrix(lists: pa.Array) -> np.ndarray:
-    values = lists.flatten().to_numpy(zero_copy_only=False)
-    return values.reshape(len(lists), -1) if len(lists) else np.zeros((0, 1), np.float32)
+def _halves(rows: DataFrame) -> DataFrame:
+    """The vectors, whose components lie between -1 and 1, as bytes of two for a component: a row is sent to each of its neighbours in every round."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [np.rint(x.values.to_numpy(zero_copy_only=False) * STEPS).astype(np.int16).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], names=["id", "vector"])
+
+    return rows.select("id", "vector").mapInArrow(run, "id long, vector binary")
+
+
+def _matrix(held: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(held.to_pylist()), np.int16).astype(np.float32).reshape(len(held), -1) / np.float32(STEPS)
 
 
 def _introduced(groups: DataFrame) -> DataFrame:
@@ -70,16 +81,17 @@ def build(library: DataFrame, k: int = 12, key: str = "vec_id", vector: str = "v
     """(a, b, near) with the k nearest that each row has found, and the rows (id, vector) that the search compares."""
     rows, size = _units(library, key, vector)
     kept, k = k, WIDER * k
-    rows = cut_lineage(rows)
+    rows = stored(rows)
+    halves = stored(_halves(rows))
     member = lambda least: F.struct("id", least.alias("least"), "vector")
     edges = None
     for i in range(PROJECTIONS):
         way = np.random.default_rng(seed + i).normal(size=size)
-        placed = pools.numbered(rows.withColumn("_p", S.dot(F.col("vector"), S.doubles(way))), [], ["_p", "id"], "_at")
-        groups = placed.groupBy(F.floor((F.col("_at") - 1) / GROUP).alias("_g")).agg(F.collect_list(member(F.lit(-1.5))).alias("members"))
+        placed = pools.numbered(rows.select("id", S.dot(F.col("vector"), S.doubles(way)).alias("_p")), [], ["_p", "id"], "_at")
+        groups = placed.join(halves, "id").groupBy(F.floor((F.col("_at") - 1) / GROUP).alias("_g")).agg(F.collect_list(member(F.lit(-1.5))).alias("members"))
         met = _introduced(groups)
         edges = met if edges is None else edges.unionByName(met)
-    edges = cut_lineage(_best(edges.withColumn("new", F.lit(1)), k))
+    edges = stored(_best(edges.withColumn("new", F.lit(1)), k))
     total = rows.count()
     for _ in range(rounds):
         # A row's neighbours, and some of those whose neighbour it is; old ones meet again only for the sake of new ones.
@@ -87,10 +99,10 @@ def build(library: DataFrame, k: int = 12, key: str = "vec_id", vector: str = "v
         back = pools.ranked(back, [F.desc("new"), F.xxhash64("a", "b"), F.col("b")], ["a"], "_n").where(F.col("_n") <= k).drop("_n")
         known = edges.select("a", "b", "new").unionByName(back).groupBy("a", "b").agg(F.max("new").alias("new"))
         least = edges.groupBy("a").agg(F.min("near").alias("least"), F.count("*").alias("_c")).select(F.col("a").alias("b"), F.when(F.col("_c") < k, -1.5).otherwise(F.col("least")).alias("least"))
-        held = known.join(least, "b").join(rows.withColumnRenamed("id", "b"), "b")
+        held = known.join(least, "b").join(halves.withColumnRenamed("id", "b"), "b")
         groups = held.groupBy("a").agg(F.collect_list(F.struct(F.col("b").alias("id"), "least", "vector")).alias("members"), F.max("new").alias("new")).where("new = 1")
         met = _introduced(groups).withColumn("new", F.lit(1))
-        after = cut_lineage(_best(edges.withColumn("new", F.lit(0)).unionByName(met), k))
+        after = stored(_best(edges.withColumn("new", F.lit(0)).unionByName(met), k))
         changed = after.where("new = 1").count()
         edges = after
         if changed <= ENOUGH * k * total:
@@ -102,12 +114,12 @@ def search(asked: DataFrame, graph: tuple[DataFrame, DataFrame], k: int, ef: int
     """(query, vec_id, score, rank) of the k best that the beam has found but the query's own id, and (query, compared)."""
     edges, rows = graph
     first = rows.select(F.size("vector")).first()
-    queries = cut_lineage(_units(asked, key, vector, first[0] if first else 1)[0].withColumnsRenamed({"id": "q", "vector": "asked"}))
+    queries = stored(_units(asked, key, vector, first[0] if first else 1)[0].withColumnsRenamed({"id": "q", "vector": "asked"}))
     # Both ways, so that a row which is nobody's neighbour is reached from its own; twice the row's own number at most.
     back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "near")
     width = edges.groupBy("a").count().agg(F.max("count")).first()[0] or 1
     back = pools.ranked(back, [F.desc("near"), F.col("b")], ["a"], "_n").where(F.col("_n") <= width).drop("_n")
-    ways = cut_lineage(edges.unionByName(back).select("a", "b").distinct())
+    ways = stored(edges.unionByName(back).select("a", "b").distinct())
 
     def compared(pairs: DataFrame) -> DataFrame:
         near = pairs.join(queries, "q").join(rows, "id").select("q", "id", S.dot(F.col("asked"), F.col("vector")).alias("near"))
@@ -115,14 +127,14 @@ def search(asked: DataFrame, graph: tuple[DataFrame, DataFrame], k: int, ef: int
 
     starts = min(ENTRIES, int(2 * rows.count() ** 0.5) + 1)
     entries = [r.id for r in rows.orderBy(F.xxhash64("id"), "id").select("id").limit(starts).collect()]
-    seen = cut_lineage(compared(queries.select("q", F.explode(F.lit(entries).cast("array<bigint>")).alias("id"))))
+    seen = stored(compared(queries.select("q", F.explode(F.lit(entries).cast("array<bigint>")).alias("id"))))
     for _ in range(most):
         beam = pools.ranked(seen, [F.desc("near"), F.col("id")], ["q"], "_n").where(F.col("_n") <= ef)
-        follow = cut_lineage(pools.ranked(beam.where("open"), [F.col("_n")], ["q"], "_m").where(F.col("_m") <= FOLLOWED).select("q", "id"))
+        follow = stored(pools.ranked(beam.where("open"), [F.col("_n")], ["q"], "_m").where(F.col("_m") <= FOLLOWED).select("q", "id"))
         if follow.isEmpty():
             break
         reached = follow.join(ways.withColumnRenamed("a", "id"), "id").select("q", F.col("b").alias("id")).distinct().join(seen.select("q", "id"), ["q", "id"], "left_anti")
         done = seen.join(follow.withColumn("_f", F.lit(True)), ["q", "id"], "left").select("q", "id", "near", (F.col("open") & F.col("_f").isNull()).alias("open"))
-        seen = cut_lineage(done.unionByName(compared(reached)))
+        seen = stored(done.unionByName(compared(reached)))
     best = pools.ranked(seen.where("q <> id").withColumn("score", F.round("near", 6)), [F.desc("score"), F.col("id")], ["q"]).where(F.col("rank") <= k)
     return best.select(F.col("q").alias(key), F.col("id").alias("vec_id"), "score", "rank"), seen.groupBy(F.col("q").alias(key)).agg(F.count("*").alias("compared"))

@@ -36,3 +36,16 @@ def test_small_and_empty_libraries(spark):
     assert sorted((x.query_id, x.vec_id) for x in found.collect()) == [(q, v) for q in range(4) for v in range(4) if q != v]
     none = neighbour_graph.search(asked, neighbour_graph.build(rows.limit(0)), 5)[0]
     assert none.collect() == []
+
+
+def test_neighbours_are_sent_in_two_bytes_for_a_component(spark):
+    """What a round of the build sends of a vector is half of its floats, and compares as they do."""
+    r = np.random.default_rng(5)
+    vectors = r.normal(size=(50, 64)).astype(np.float32)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors[7] = 0
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, vector array<float>")
+    held = neighbour_graph._halves(rows).orderBy("id").toArrow().column("vector").combine_chunks()
+    assert all(len(x) == 128 for x in held.to_pylist())
+    found = neighbour_graph._matrix(held)
+    assert np.abs(found @ found.T - vectors @ vectors.T).max() < 1e-4
