@@ -67,3 +67,23 @@ def test_residuals(vectors):
     near = pools.ranked(left.join(right, "bucket").where("q <> k").withColumn("d", F.round(off, 6)), [F.col("d"), F.col("k")], ["q"]).where("rank <= 3")
     want = {tuple(r) for r in near.groupBy(F.least("q", "k"), F.greatest("q", "k")).agg(F.min("d")).collect()}
     assert {tuple(r) for r in fragments.nearest_residuals(rows, 0.1, "vec_id", "vector", "bucket", 3).collect()} == want
+
+
+def test_equal_lists_are_asked_and_compared_once(spark, monkeypatch):
+    """Vectors of equal peaks meet once, whatever their copies; scores, ties and the query's own row are those of all rows."""
+    from pyspark.sql import functions as F
+
+    from peakloom.functions import spectra as S
+    from peakloom.operators import retrieval
+
+    lists = [[], [3.0], [3.0, 3.0], [40.0], [3.0, 9.0], [3.0, 9.5], [120.0, 7.0]]
+    rows = spark.createDataFrame([(i, lists[(i * i + i // 7) % len(lists)]) for i in range(90)], "vec_id long, peaks array<double>").repartition(3)
+    vector = lambda peaks: S.unit(S.gaussian_vector(peaks, *S.CARBON))
+    asked = rows.where("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), "peaks")
+    plain = rows.select("vec_id", vector(F.col("peaks")).alias("vector"), (F.size("peaks") > 0).alias("has"))
+    want = retrieval.product_topk(asked.select("query_id", vector(F.col("peaks")).alias("query")), plain, 0.5, 4)
+    met, whole = [], retrieval.best_pairs
+    monkeypatch.setattr(retrieval, "best_pairs", lambda a, b, *x, **y: met.append((a.count(), b.count())) or whole(a, b, *x, **y))
+    found = retrieval.alike_topk(asked, rows, vector, 0.5, 4)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.count() == 18 * 4
+    assert max(met[0]) <= len(lists)
