@@ -55,7 +55,7 @@ def crossover(pool: DataFrame, formula: str, asked_h: list[float], asked_c: list
         rows = cut_lineage(pools.quota(rows, "frag_formula", order, per_formula, total))
         cut, complement = F.concat_ws("/", "ends", "partners"), F.concat_ws("/", "partners", "ends")
         found = fragments.complement_pairs(rows.withColumns({"cut": cut, "complement": complement}), "frag_id", "cut", "complement", "source")
-        found = fragments.sums_to(found, rows, spectra.formula_text(spectra.formula_counts(target)), "frag_id", "counts")
+        found = found.join(fragments.sums_to(rows, spectra.formula_counts(target), "frag_id", "counts"), ["left_id", "right_id"], "left_semi")
         side = lambda x, rows=rows: rows.select(F.col("frag_id").alias(f"{x}_id"), F.col("fragment").alias(x), F.col("frag_score").alias(f"{x}_score"))
         joined = found.join(side("left"), "left_id").join(side("right"), "right_id").withColumn("score", F.col("left_score") + F.col("right_score"))
         joined = joined.orderBy(F.desc("score"), "left_id", "right_id").limit(pairs)
